@@ -48,3 +48,22 @@ def cut(df: DataFrame) -> DataFrame:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a folder of Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, however the driver came by it; once per application."""
+    import shutil
+
+    import strandloom
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(strandloom.__file__)))
+    if os.path.isdir(root):
+        folder = tempfile.mkdtemp(prefix="strandloom-")
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "strandloom"), "zip", root, "strandloom"))
+    _shipped.add(sc.applicationId)
