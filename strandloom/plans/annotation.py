@@ -1,2 +1,385 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the annotation operators over the test tables, and the SQL they are held against."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.dictionaries import SO_TERMS
+from strandloom.functions import annotation as A
+from strandloom.operators import catalog, counts, lookup, packed, stats
+from strandloom.session import checkpoint_dir, read
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "variants")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "records")
+
+
+def _source(spark: SparkSession, d: str) -> DataFrame:
+    """The table of variants as an annotation source of several files, one a load."""
+    return _variants(spark, d).withColumn("file_idx", F.col("load_id"))
+
+
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys to look up: those of all variants, and those at the head of all raw lines (mostly misses)."""
+    own = _variants(spark, d).select(F.col("variant_idx").alias("_row"), A.make_key("chr", "position", "ref", "alt").alias("key"))
+    lines = read(spark, d, "conversionfavor").select((F.col("line_id") + 1_000_000_000_000).alias("_row"), F.split_part("raw", F.lit(","), F.lit(1)).alias("key"))
+    return own.unionByName(lines)
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return _keys(spark, d).select("_row", A.parse_key(F.col("key"), strict=False).alias("k")).where("k is not null").select("_row", "k.*")
+
+
+_CHR = "regexp_replace(chr, '^chr', '')"
+_KEYSQL = rf"""keys as (select _row, regexp_replace(p[1], '^chr', '') as chr, try_cast(case when regexp_full_match(p[2], '\s*[+-]?[0-9]+\s*') then p[2] end as integer) as position, p[3] as ref, p[4] as alt
+  from (select _row, regexp_split_to_array(regexp_replace(key, '[-_:]$', ''), '[-_:]') as p from (
+    select variant_idx as _row, concat_ws('-', chr, position, ref, alt) as key from variants
+    union all select line_id + 1000000000000, string_split(raw, ',')[1] from conversionfavor)) where len(p) = 4 and try_cast(case when regexp_full_match(p[2], '\s*[+-]?[0-9]+\s*') then p[2] end as integer) is not null)"""
+_FIRST = f"""first as (select * from (select {_CHR} as c, position as p, ref as r, alt as a, variant_idx, load_id as file_idx, info, id, row_number() over (partition by {_CHR}, position, ref, alt order by load_id, variant_idx) as k
+  from variants) where k = 1)"""
+_JOIN = "from keys left join first on c = chr and p = position and r = ref and a = alt"
+
+
+@query(f"with {_KEYSQL}, {_FIRST} select _row, chr, position, ref, alt, info.cadd_phred as cadd_phred, info.linsight as linsight, id {_JOIN}")
+def annot_key_left(spark, d):
+    return lookup.annotate_rows(_parsed(spark, d), _source(spark, d), ["cadd_phred", "linsight", ":id"])
+
+
+@query(f"with {_FIRST} select variant_idx0 as _row, chr, position, ref, alt, info.cadd_phred as cadd_phred from (select variant_idx as variant_idx0, {_CHR} as chr, position, ref, alt from variants) left join first on c = chr and p = position and r = ref and a = alt")
+def annot_key_df(spark, d):
+    v = _variants(spark, d).withColumnRenamed("position", "pos")
+    return lookup.annotate(v, _source(spark, d), ["cadd_phred"], row="variant_idx")
+
+
+@query(f"with {_KEYSQL}, {_FIRST}, last as (select {_CHR} as lc, max(load_id) as m from variants group by 1) select _row, chr, position, ref, alt, variant_idx, coalesce(file_idx, m) as file_idx {_JOIN} left join last on lc = chr")
+def annot_index_only(spark, d):
+    return lookup.annotate_rows(_parsed(spark, d), _source(spark, d), [])
+
+
+@query(f"with {_FIRST} select c as chr, p as position, r as ref, a as alt, file_idx, variant_idx from first")
+def annot_first_file_wins(spark, d):
+    return lookup.first_of_key(_source(spark, d), [F.lit(1)]).select(*lookup.KEY, "_at.*").select(*lookup.KEY, "file_idx", "variant_idx")
+
+
+@query(f"with {_KEYSQL}, {_FIRST} select _row, chr, position, ref, alt, info.cadd_phred as score, info.apc_conservation as cons {_JOIN}")
+def annot_alias(spark, d):
+    return lookup.annotate_rows(_parsed(spark, d), _source(spark, d), {"score": "cadd_phred", "cons": "info/apc_conservation"})
+
+
+@query(f"with {_KEYSQL}, {_FIRST}, s as (select f.*, v.allele, v.qual, v.filter, v.position as pos2, v.chr as chr2 from first f join variants v using (variant_idx)) select _row, keys.chr, keys.position, keys.ref, keys.alt, chr2 as ann_chr, pos2 as ann_pos, allele, id, qual, filter from keys left join s on c = keys.chr and p = keys.position and r = keys.ref and a = keys.alt")
+def annot_special_fields(spark, d):
+    return lookup.annotate_rows(_parsed(spark, d), _source(spark, d), {"ann_chr": ":chromosome", "ann_pos": ":position", "allele": ":allele", "id": ":id", "qual": ":qual", "filter": ":filter"})
+
+
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A range around every raw line whose key can be read."""
+    k = _parsed(spark, d).where("_row > 1000000000000")
+    return k.select("chr", (F.col("position") - 20000).alias("start"), (F.col("position") + 20000).alias("end"))
+
+
+_RANGES = f"{_KEYSQL}, rg as (select chr as rc, position - 20000 as s, position + 20000 as e from keys where _row > 1000000000000)"
+
+
+@query(f"with {_RANGES} select variant_idx, load_id, chr, position from variants where exists (select 1 from rg where rc = {_CHR} and variants.position between s and e)")
+def annot_range_semi(spark, d):
+    return lookup.in_ranges(_variants(spark, d), _ranges(spark, d)).select("variant_idx", "load_id", "chr", "position")
+
+
+@query(f"with {_RANGES} select variant_idx, position from variants where {_CHR} = '7' and exists (select 1 from rg where variants.position between s and e)")
+def annot_range_single_chr(spark, d):
+    return lookup.in_ranges(_variants(spark, d), _ranges(spark, d), "7").select("variant_idx", "position")
+
+
+@query(f"with {_FIRST} select v.variant_idx, f.info.cadd_phred as cadd_phred, f.info.linsight as linsight from variants v left join first f on c = regexp_replace(v.chr, '^chr', '') and p = v.position and r = v.ref and a = v.alt")
+def annot_write_roundtrip(spark, d):
+    """Annotations written beside the variants and read again."""
+    out = os.path.join(checkpoint_dir(spark), f"annotated-{abs(hash(d))}-{spark.sparkContext.applicationId}")
+    v = _variants(spark, d).select("variant_idx", "chr", "position", "ref", "alt")
+    lookup.add_annotations(v, _source(spark, d), ["cadd_phred", "linsight"], root="found").write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out).select("variant_idx", "found.cadd_phred", "found.linsight")
+
+
+@query()
+def annot_list(spark, d):
+    return catalog.annotation_list(_variants(spark, d))
+
+
+# ---- records and scalar functions
+
+
+@query()
+def split_pipe_records(spark, d):
+    """CSQ records as ten sub-fields each: short ones padded, the last one takes what is over."""
+    rows = _variants(spark, d).select("variant_idx", F.explode(packed.values(F.col("info.CSQ"))).alias("rec"))
+    return rows.select("variant_idx", *[F.get(A.pieces(F.col("rec"), 10), F.lit(i)).alias(f"f{i + 1}") for i in range(10)])
+
+
+@query("select variant_idx, split_part(trim(first_rec), '|', 1) as allele, split_part(first_rec, '|', 3) as impact from (select variant_idx, string_split(info.CSQ, ',')[1] as first_rec from variants where regexp_full_match(info.CSQ, '[A-Z*<>]+[|][^\"'' ;\\t\\n]+'))")
+def split_uniform_first(spark, d):
+    """A field with one value per variant is read from the first record (records of plainly joined fields)."""
+    rows = _variants(spark, d).where(F.col("info.CSQ").rlike("^[A-Z*<>]+[|][^\"' ;\\t\\n]+$")).select("variant_idx", F.split("info.CSQ", ",")[0].alias("r"))
+    return rows.select("variant_idx", F.get(A.pieces(F.col("r"), 4), F.lit(0)).alias("allele"), F.get(A.pieces(F.col("r"), 4), F.lit(2)).alias("impact"))
+
+
+@query("select doc_id, replace(replace(author, 'e', '='), 'o', ';') as decoded from documents where author is not null")
+def decode_hex(spark, d):
+    hexed = F.replace(F.replace("author", F.lit("e"), F.lit("\\x3d")), F.lit("o"), F.lit("\\x3b"))
+    return read(spark, d, "documents").where("author is not null").select("doc_id", A.decode_hex(hexed).alias("decoded"))
+
+
+@query(r"""select line_id, case when regexp_full_match(f, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*') then try_cast(trim(f) as double) end as as_number,
+  case when regexp_full_match(f, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*') then try_cast(trunc(try_cast(trim(f) as double)) as integer) end as as_integer from (select line_id, split_part(raw, ',', 7) as f from conversionfavor)""")
+def typed_try_cast(spark, d):
+    f = F.split_part("raw", F.lit(","), F.lit(7))
+    return read(spark, d, "conversionfavor").select("line_id", A.number(f).alias("as_number"), A.whole(f).alias("as_integer"))
+
+
+@query("select line_id, coalesce(split_part(raw, ',', 8) in ('1', 'T', 'TRUE', 'YES'), false) as as_logical from conversionfavor")
+def vep_logical(spark, d):
+    return read(spark, d, "conversionfavor").select("line_id", A.logical(F.split_part("raw", F.lit(","), F.lit(8))).alias("as_logical"))
+
+
+@query(f"with {_KEYSQL} select * from keys")
+def parse_variant_id(spark, d):
+    return _parsed(spark, d)
+
+
+# ---- counts
+
+
+@query("select impact, count(*) as n from records group by all")
+def value_counts_1d(spark, d):
+    return counts.value_counts(_records(spark, d), {"impact": F.col("impact")})
+
+
+@query("select impact, feature_type, count(*) as n from records group by all")
+def value_counts_2d(spark, d):
+    return counts.value_counts(_records(spark, d), {"impact": F.col("impact"), "feature_type": F.col("feature_type")})
+
+
+@query("with c as (select impact, biotype, count(*) as n from records group by all) select x.impact, y.biotype, coalesce(c.n, 0)::bigint as n from (select distinct impact from c) x cross join (select distinct biotype from c) y left join c on c.impact is not distinct from x.impact and c.biotype is not distinct from y.biotype")
+def value_counts_complete(spark, d):
+    return counts.value_counts(_records(spark, d), {"impact": F.col("impact"), "biotype": F.col("biotype")}, complete=True)
+
+
+@query("select gene, n, row_number() over (order by gene asc nulls last) as place from (select gene, count(*) as n from records group by gene)")
+def value_counts_null_last(spark, d):
+    from pyspark.sql.window import Window
+
+    got = counts.value_counts(_records(spark, d), {"gene": F.col("gene")})
+    # one row a gene: the window orders the counted table, not the records
+    return got.select("gene", "n", F.row_number().over(Window.orderBy(F.col("gene").asc_nulls_last())).alias("place"))
+
+
+@query("select impact, count(*) as n from (select distinct variant_idx, impact from records) group by all")
+def value_counts_per_variant(spark, d):
+    return counts.value_counts(_records(spark, d), {"impact": F.col("impact")}, per_variant="variant_idx")
+
+
+@query("select biotype, sum(n)::bigint as n from (select load_id, biotype, count(*) as n from records group by all) group by biotype")
+def value_counts_multifile(spark, d):
+    """Counts of single files added up."""
+    per = counts.value_counts(_records(spark, d), {"load_id": F.col("load_id"), "biotype": F.col("biotype")})
+    return per.groupBy("biotype").agg(F.sum("n").alias("n"))
+
+
+@query("select case when polyphen is null or polyphen = '' then 'none' else regexp_replace(polyphen, '\\(.*$', '') end as value, count(*) as n from records group by all")
+def value_counts_fun(spark, d):
+    f = lambda c: F.when(c.isNull() | (c == ""), "none").otherwise(A.before_parenthesis(c))
+    return counts.value_counts_by(_records(spark, d), f, ["polyphen"])
+
+
+def _entries(spark, d):
+    place = _variants(spark, d).select("variant_idx", "chr", "position", F.col("info.cadd_phred").alias("cadd"))
+    return _records(spark, d).select("variant_idx", "gene", "impact", "biotype", "consequence").join(place, "variant_idx")
+
+
+def _units(df):
+    return df.withColumn("index", F.array_join("index", ",")).withColumnsRenamed({"start": "first_position", "end": "last_position"})
+
+
+_ENTRIES = "e as (select variant_idx, gene, impact, biotype, consequence, chr, position, info.cadd_phred as cadd from records join variants using (variant_idx))"
+_UNIT = "min_by(chr, variant_idx) as chr, min_by(position, variant_idx) as first_position, max_by(position, variant_idx) as last_position, array_to_string(list_sort(list(distinct variant_idx)), ',') as index"
+
+
+@query(f"with {_ENTRIES} select gene, {_UNIT} from e where gene <> '' group by gene")
+def unit_group_single(spark, d):
+    return _units(counts.unit_groups(_entries(spark, d), ["gene"]))
+
+
+@query(f"with {_ENTRIES} select gene, {_UNIT} from e where gene <> '' and coalesce(impact in ('HIGH', 'MODERATE'), false) group by gene")
+def unit_group_cond_in(spark, d):
+    return _units(counts.unit_groups(_entries(spark, d), ["gene"], {"impact": ["HIGH", "MODERATE"]}))
+
+
+@query(f"with {_ENTRIES} select bin, {_UNIT} from (select *, case when cadd >= 10 then 'damaging' when cadd < 10 then 'tolerated' end as bin from e) where bin is not null and coalesce(biotype = 'protein_coding', true) group by bin")
+def unit_group_cond_fn(spark, d):
+    e = _entries(spark, d).withColumnRenamed("cadd", "bin")
+    return _units(counts.unit_groups(e, ["bin"], {"bin": lambda c: F.when(c >= 10, "damaging").when(c < 10, "tolerated"), "biotype": lambda c: c == "protein_coding"}))
+
+
+@query(f"with {_ENTRIES} select gene, impact, {_UNIT} from e where gene <> '' and impact <> '' group by gene, impact")
+def unit_group_multi_key(spark, d):
+    return _units(counts.unit_groups(_entries(spark, d), ["gene", "impact"]))
+
+
+# ---- statistics: one counter each, then all of them in one pass
+
+_SO = "so(term, rank, impact, class, region) as (values " + ", ".join(f"('{t[0]}', {i + 1}, '{t[1]}', {repr(t[2]) if t[2] else 'null'}, '{t[3]}')" for i, t in enumerate(SO_TERMS)) + ")"
+_AL = "al as (select coalesce(ref, '') as r, unnest(string_split(coalesce(alt, ''), ',')) as a from variants)"
+_CLASS = "case when a like '<%' or a = '*' or regexp_matches(a, '[^ACGTNacgtn]') then 'other' when length(r) < length(a) then 'insertion' when length(r) > length(a) then 'deletion' when length(r) > 1 then 'substitution (MNV)' else 'SNV' end"
+_TERMS = "tm as (select variant_idx, unnest(string_split(consequence, '&')) as term from records where consequence is not null)"
+_SEVERE = f"{_TERMS}, {_SO}, sv as (select variant_idx, min(rank) as rank from tm join so using (term) group by variant_idx)"
+_QUAL = "case " + " ".join(f"when qual <= {b} then '{x}'" for b, x in zip(A.QUAL_BREAKS, A.qual_labels())) + f" else '{A.qual_labels()[-1]}' end"
+
+_COUNTERS = {
+    "chrom": "select chr as category, count(*) as n from variants where chr is not null group by 1",
+    "n_allele": "select (len(string_split(coalesce(alt, ''), ',')) + 1)::varchar as category, count(*) as n from variants group by 1",
+    "var_class": f"with {_AL} select {_CLASS} as category, count(*) as n from al group by 1",
+    "base_change": f"with {_AL} select upper(r) || '>' || upper(a) as category, count(*) as n from al where {_CLASS} = 'SNV' group by 1",
+    "indel_len": f"with {_AL} select greatest(least(length(a) - length(r), 21), -21)::varchar as category, count(*) as n from al where {_CLASS} in ('insertion', 'deletion') group by 1",
+    "known": "select case when id is not null and id not in ('', '.') then 'known' else 'novel' end as category, count(*) as n from variants group by 1",
+    "qual_na": "select 'NA' as category, count(*) as n from variants where qual is null or isnan(qual) having count(*) > 0",
+    "filter": "select filter as category, count(*) as n from variants where filter is not null group by 1",
+    "n_annot": "select 'n' as category, count(*) as n from records having count(*) > 0",
+    "cons_all": f"with {_TERMS} select term as category, count(*) as n from tm group by 1",
+    "region": f"with {_TERMS}, {_SO} select region as category, count(*) as n from tm join so using (term) group by 1",
+    "func_class": f"with {_TERMS}, {_SO} select class as category, count(*) as n from tm join so using (term) where class is not null group by 1",
+    "cons_severe": f"with {_SEVERE} select term as category, count(*) as n from sv join so using (rank) group by 1",
+    "impact_severe": f"with {_SEVERE} select impact as category, count(*) as n from sv join so using (rank) group by 1",
+    "impact": "select impact as category, count(*) as n from records where impact <> '' group by 1",
+    "biotype": "select biotype as category, count(*) as n from records where biotype <> '' group by 1",
+    "feature_type": "select feature_type as category, count(*) as n from records where feature_type <> '' group by 1",
+    "feature": "select feature as category, count(*) as n from records where feature <> '' group by 1",
+    "sift": "select regexp_replace(sift, '\\(.*$', '') as category, count(*) as n from records where sift <> '' group by 1",
+    "polyphen": "select regexp_replace(polyphen, '\\(.*$', '') as category, count(*) as n from records where polyphen <> '' group by 1",
+    "errors": "select unnest(string_split(errors, '&')) as category, count(*) as n from records where errors <> '' group by 1",
+    "gene_impact": "select gene || chr(13) || coalesce(impact, '') as category, count(*) as n from records where gene <> '' group by 1",
+}
+_OF_VARIANTS = ("chrom", "n_allele", "var_class", "base_change", "indel_len", "known", "qual_na", "filter")
+_OF_SEVERITY = ("cons_severe", "impact_severe")
+
+
+def _counter(name: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        if name in _OF_VARIANTS:
+            got = stats.counters(variants=_variants(spark, d))
+        elif name in _OF_SEVERITY:
+            got = stats.counters(records=_records(spark, d))
+        else:
+            got = stats.count_pairs(_records(spark, d), stats.record_pairs())
+        return got.where(F.col("stat") == name).select("category", "n")
+
+    run.__name__ = f"stat_{name}"
+    run.__doc__ = f"The counter {name}."
+    return run
+
+
+for _name, _sql in _COUNTERS.items():
+    query(_sql)(_counter(_name))
+
+
+def _counters(spark, d):
+    return stats.counters(_variants(spark, d), _records(spark, d))
+
+
+@query("select chr, min(position) as pos_min, max(position) as pos_max from variants where chr is not null group by chr")
+def stat_pos_range(spark, d):
+    return stats.position_ranges(_variants(spark, d))
+
+
+@query(f"with b as (select (unnest(generate_series(0, {len(A.qual_labels()) - 1})))::int as bin, unnest({A.qual_labels()}) as category), h as (select {_QUAL} as category, count(*) as n from variants where qual is not null and not isnan(qual) group by 1) select bin, category, coalesce(n, 0)::bigint as n from b left join h using (category)")
+def stat_qual_hist(spark, d):
+    return stats.histogram(stats.counters(variants=_variants(spark, d)))
+
+
+@query("select 'n_var' as stat, 'n' as category, count(*) as n from variants having count(*) > 0 union all select 'qual', " + _QUAL + ", count(*) from variants where qual is not null and not isnan(qual) group by all" + "".join(f" union all select '{k}' as stat, category, n from ({s})" for k, s in _COUNTERS.items()))
+def stat_all_one_pass(spark, d):
+    return _counters(spark, d)
+
+
+@query("select stat, category, sum(n)::bigint as n from (select load_id, 'known' as stat, case when id is not null and id not in ('', '.') then 'known' else 'novel' end as category, count(*) as n from variants group by all) group by all")
+def stat_merge(spark, d):
+    """Counters of two halves of the loads, merged."""
+    v = _variants(spark, d)
+    half = F.coalesce(F.col("load_id"), F.lit(0)) <= 3
+    return stats.merge(stats.counters(variants=v.where(half)), stats.counters(variants=v.where(~half))).where("stat = 'known'")
+
+
+_GENES = "select gene, count(*) as total, count(*) filter (impact = 'HIGH') as HIGH, count(*) filter (impact = 'MODERATE') as MODERATE, count(*) filter (impact = 'LOW') as LOW, count(*) filter (impact = 'MODIFIER') as MODIFIER, count(*) filter (coalesce(impact, '') not in ('', 'HIGH', 'MODERATE', 'LOW', 'MODIFIER')) as other, count(*) filter (coalesce(impact, '') = '') as unknown from records where gene <> '' group by gene"
+
+
+@query(_GENES)
+def gene_table(spark, d):
+    return stats.gene_table(_records(spark, d)).orderBy(F.desc("total"), "gene")
+
+
+@query(f"select gene, total from ({_GENES}) order by total desc, gene limit 20")
+def top_genes(spark, d):
+    return stats.gene_table(_records(spark, d)).select("gene", "total").orderBy(F.desc("total"), "gene").limit(20)
+
+
+@query(f"with {_AL} select upper(r) as ref, " + ", ".join(f"count(*) filter (upper(a) = '{b}') as {b}" for b in "ACGT") + f" from al where {_CLASS} = 'SNV' and upper(r) in ('A', 'C', 'G', 'T') group by 1")
+def base_matrix(spark, d):
+    return stats.base_matrix(_variants(spark, d))
+
+
+@query(f"with {_AL}, s as (select upper(r) || upper(a) as c from al where {_CLASS} = 'SNV' and upper(r) in ('A', 'C', 'G', 'T') and upper(a) in ('A', 'C', 'G', 'T') and upper(r) <> upper(a)) select count(*) filter (c in ('AG', 'GA', 'CT', 'TC')) as n_ts, count(*) filter (c not in ('AG', 'GA', 'CT', 'TC')) as n_tv, round(n_ts / n_tv, 6) as ratio from s")
+def ts_tv(spark, d):
+    return stats.ts_tv(stats.counters(variants=_variants(spark, d)))
+
+
+@query(f"with {_TERMS}, {_SO} select count(*) filter (class = 'MISSENSE') as missense, count(*) filter (class = 'SILENT') as silent, round(missense / silent, 6) as ratio from tm join so using (term)")
+def missense_silent(spark, d):
+    return stats.missense_silent(stats.count_pairs(_records(spark, d), stats.record_pairs()))
+
+
+@query("select sum(s)::bigint as span, sum(k)::bigint as n_variant, round(sum(s) / sum(k), 6) as rate from (select max(position) - min(position) + 1 as s, count(*) as k from variants where chr is not null group by chr)")
+def variant_rate(spark, d):
+    return stats.variant_rate(_variants(spark, d))
+
+
+@query("select count(distinct gene) filter (gene <> '') as n_genes, count(distinct feature) filter (feature <> '') as n_features from records")
+def n_genes_features(spark, d):
+    got = stats.count_pairs(_records(spark, d), stats.record_pairs())
+    gene = F.split_part("category", F.lit("\r"), F.lit(1))
+    return got.where("stat in ('gene_impact', 'feature')").agg(F.countDistinct(F.when(F.col("stat") == "gene_impact", gene)).alias("n_genes"), F.count(F.when(F.col("stat") == "feature", 1)).alias("n_features"))
+
+
+@query(f"select chr, n, row_number() over (order by try_cast({_CHR} as integer) asc nulls last, {_CHR}, chr) as place from (select chr, count(*) as n from variants where chr is not null group by chr)")
+def chrom_order(spark, d):
+    from pyspark.sql.window import Window
+
+    got = _variants(spark, d).where("chr is not null").groupBy("chr").agg(F.count(F.lit(1)).alias("n"))
+    return got.select("chr", "n", F.row_number().over(Window.orderBy(*A.chrom_order(F.col("chr")), "chr")).alias("place"))  # as many rows as chromosomes
+
+
+@query(f"with {_AL}, i as (select greatest(least(length(a) - length(r), 21), -21) as len, count(*) as n from al where {_CLASS} in ('insertion', 'deletion') group by 1) select len::int as len, n from i order by len")
+def indel_order(spark, d):
+    got = stats.counters(variants=_variants(spark, d)).where("stat = 'indel_len'")
+    return got.select(F.col("category").cast("int").alias("len"), "n").orderBy("len")
+
+
+@query("with c as (select 'impact' as stat, impact as category, count(*) as n from records where impact <> '' group by all union all select 'biotype', biotype, count(*) from records where biotype <> '' group by all) select stat, category, n, round(n * 100 / sum(n) over (partition by stat), 2) as percent from c")
+def percent_of_total(spark, d):
+    got = stats.count_pairs(_records(spark, d), stats.record_pairs()).where("stat in ('impact', 'biotype')")
+    return stats.percent_of_total(got)
