@@ -26,7 +26,7 @@ CHROMOSOME = r"\A(?:chr)?(?:[1-9]|1[0-9]|2[0-2]|X|Y)\z"
 BASES = r"\A[ACGTNacgtn]+\z"
 NAME = r"\A[A-Za-z0-9_.]+\z"
 #: Copies of each header over which the lines of one file are spread, so that a hot file is no hot task.
-SALT = 16
+SALT = 8
 
 
 def plain_type(c: Column) -> Column:
@@ -80,7 +80,8 @@ def layouts(headers: DataFrame) -> DataFrame:
 def _with_layout(lines: DataFrame, headers: DataFrame) -> DataFrame:
     salted = layouts(headers).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     mine = lines.select("line_id", "file_id", "raw", F.pmod(F.xxhash64("line_id"), F.lit(SALT)).cast("int").alias("salt"))
-    return mine.join(salted, ["file_id", "salt"], "left")
+    # headers grow with the number of files: they are hashed partition by partition, never sent whole to every task
+    return mine.join(salted.hint("shuffle_hash"), ["file_id", "salt"], "left")
 
 
 def _fields(raw: Column) -> Column:
@@ -120,13 +121,12 @@ def _value_ok() -> Column:
 def _judged(laid: DataFrame) -> DataFrame:
     """Lines with their fields and ok_quotes, ok_count, ok_values; later checks are false where earlier ones fail."""
     good = F.coalesce(F.concat(F.lit(","), F.col("raw")).rlike(LINE), F.col("raw").isNull())
-    fields = F.when(good & F.col("raw").isNotNull(), _fields(F.col("raw"))).otherwise(F.array().cast("array<string>"))
-    return (
-        laid.withColumn("ok_quotes", good)
-        .withColumn("fields", fields)
-        .withColumn("ok_count", F.coalesce(F.col("ok_quotes") & (F.size("fields") == F.size("names")) & (F.size("names") > 0), F.lit(False)))
-        .withColumn("ok_values", F.when(F.col("ok_count"), _value_ok()).otherwise(False))
-    )
+    fields = F.when(F.col("ok_quotes") & F.col("raw").isNotNull(), _fields(F.col("raw"))).otherwise(F.array().cast("array<string>"))
+    judged = laid.withColumn("ok_quotes", good)
+    # a generator keeps filters from being pushed below and the fields from being cut again for every use
+    judged = judged.select("*", F.explode(F.array(fields)).alias("fields"))
+    judged = judged.withColumn("ok_count", F.coalesce(F.col("ok_quotes") & (F.size("fields") == F.size("names")) & (F.size("names") > 0), F.lit(False)))
+    return judged.withColumn("ok_values", F.when(F.col("ok_count"), _value_ok()).otherwise(False))
 
 
 def load_lines(lines: DataFrame, headers: DataFrame) -> DataFrame:
