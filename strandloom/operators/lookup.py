@@ -35,11 +35,10 @@ def resolve(source: DataFrame, fields: list[str] | dict[str, str] | None) -> lis
         if name in SPECIAL:
             out.append(F.col(SPECIAL[name]).alias(alias or SPECIAL[name]))
             continue
-        path = name.replace("/", ".")
-        full = path if path in source.columns or path.split(".")[0] in source.columns else f"info.{path}"
-        if name not in known and full not in known.values() and full.split(".")[0] not in source.columns:
+        path = known.get(name, name.replace("/", "."))
+        if path.split(".")[0] not in source.columns:
             raise ValueError(f"no field {name}")
-        out.append(F.col(full).alias(alias or path.split(".")[-1]))
+        out.append(F.col(path).alias(alias or path.split(".")[-1]))
     return out
 
 

@@ -110,7 +110,7 @@ def to_html(stat: AnnotStat, title: str) -> str:
         most = max(n for _, n, _ in rows) or 1
         bar = lambda n: f'<svg width="200" height="10"><rect width="{200 * n / most:.1f}" height="10"/></svg>'
         body.append("<table>" + "".join(f"<tr><th>{e(k or '(empty)')}</th><td>{n:,}</td><td>{p:.2f}%</td><td>{bar(n)}</td></tr>" for k, n, p in rows) + "</table>")
-        body += [f"<p>{more:,} more</p>"] * bool(more) + [f"<p>{e(s['note'])}</p>"] * ("note" in s)
+        body += [f"<p>{more:,} more</p>"] * bool(more) + [f"<p>{e(s.get('note', ''))}</p>"] * ("note" in s)
     style = "body{font-family:sans-serif;max-width:60em;margin:auto}th{text-align:left;font-weight:normal}td{text-align:right}rect{fill:#4a78b5}"
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{e(title)}</title><style>{style}</style></head><body>{"".join(body)}</body></html>'
 

@@ -98,7 +98,7 @@ def read(spark: SparkSession, path: str, keep: list[str] | None = None, raw: tup
     miss = lambda c: F.nullif(c, F.lit("."))
     rows = lines.select(
         "variant_idx", p[0].alias("chr"), p[1].try_cast("int").alias("position"), miss(p[2]).alias("id"), p[3].alias("ref"), p[4].alias("alt"),
-        F.concat_ws(",", p[3], p[4]).alias("allele"), A.number(p[5]).cast("float").alias("qual"), miss(p[6]).alias("filter"), miss(F.get(p, F.lit(7))).alias("_info"),
+        F.concat_ws(",", p[3], p[4]).alias("allele"), A.number(p[5]).cast("float").alias("qual"), miss(p[6]).alias("filter"), F.coalesce(miss(F.get(p, F.lit(7))), F.lit("")).alias("_info"),
     )
     fields = []
     for key, (number, kind, text) in header.infos.items():
