@@ -25,10 +25,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import spread
+
 WINDOW, STRIDE = 32, 20
 WORDS, GRAMS, EMBED, HIDDEN = 1 << 14, 1 << 13, 16, 16
 #: Documents with at least this score are found.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 WEIGHTS = os.path.join(os.path.dirname(__file__), "abuse_weights.npz")
 #: Labelled documents that ``train`` takes at most.
 MOST_LABELLED = 20_000
@@ -393,7 +395,7 @@ def load(path: str = WEIGHTS) -> dict[str, np.ndarray]:
 
 def score(documents: DataFrame, keep: list[str], text_column: str = "text", weights: str = WEIGHTS) -> DataFrame:
     """The ``keep`` columns and the score of every row; map-only."""
-    kept = documents.select(*keep, documents[text_column].alias("_text"))
+    kept = spread(documents.select(*keep, documents[text_column].alias("_text")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

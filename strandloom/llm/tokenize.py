@@ -20,6 +20,8 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
+from strandloom.session import spread
+
 #: Folder of the vocabulary files; a parameter of every operator here.
 VOCABULARIES = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 # Fixed value: the pattern that cuts text before the merges of this vocabulary.
@@ -208,13 +210,13 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
                 lists = pa.ListArray.from_arrays(pa.array(np.asarray(ends, "i4")), pa.array(np.asarray(flat, "i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, at - begin), lists], names=["id", "ids"])
 
-    plain = documents.select(documents[id_column].cast("bigint").alias("id"), documents[text_column].alias("text"))
+    plain = spread(documents.select(documents[id_column].cast("bigint").alias("id"), documents[text_column].alias("text")))
     return plain.mapInArrow(run, "id bigint, ids array<int>").withColumnRenamed("id", id_column)
 
 
 def count_tokens(documents: DataFrame, keep: list[str], text_column: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """The ``keep`` columns and n_tokens of every row; only the numbers leave the workers."""
-    kept = documents.select(*keep, documents[text_column].alias("_text"))
+    kept = spread(documents.select(*keep, documents[text_column].alias("_text")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
