@@ -50,6 +50,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer tasks than there are cores, dealt out to all of them before costly work on its rows.
+    Tables of more parts, as all large ones are, stay as they are and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _shipped: set[str] = set()
 
 
