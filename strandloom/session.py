@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +36,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not wanted:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        wanted = "file://" + os.path.join(tempfile.gettempdir(), f"strandloom-{os.getpid()}")
+        own = os.path.join(tempfile.gettempdir(), f"strandloom-{os.getpid()}")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        wanted = f"file://{own}"
     sc.setCheckpointDir(wanted)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -62,8 +66,6 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors, however the driver came by it; once per application."""
-    import shutil
-
     import strandloom
 
     sc = spark.sparkContext
