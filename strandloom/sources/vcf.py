@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandloom import dictionaries as D
 from strandloom.functions import annotation as A
@@ -66,15 +67,12 @@ def read_header(spark: SparkSession, path: str) -> Header:
 def numbered(df: DataFrame, name: str = "variant_idx") -> DataFrame:
     """Consecutive numbers from 1 in the order of the files, from the counts of the partitions."""
     marked = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    sizes = sorted((r["_p"], r["n"]) for r in marked.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
-    at, offsets = 0, {}
-    for p, n in sizes:
-        offsets[p] = at
-        at += n
-    if not offsets:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    before = F.element_at(F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, o)]), F.col("_p"))
-    return marked.withColumn(name, (before + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("_p", "_m")
+    sizes = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
+    # one row a partition of the read: the window and the broadcast are as small as that list
+    order = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sizes.select("_p", (F.sum("n").over(order) - F.col("n")).alias("_before"))
+    at = F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return marked.join(F.broadcast(offsets), "_p").withColumn(name, at.cast("bigint")).drop("_p", "_m", "_before")
 
 
 def _info(key: str) -> Column:

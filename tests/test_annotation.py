@@ -150,3 +150,12 @@ def test_tables(spark, variants, tmp_path):
     for bad in ([], [path, path]):
         with pytest.raises(ValueError):
             tables.open_tables(spark, bad)
+
+
+def test_row_numbers(spark, tmp_path):
+    for i, n in enumerate((3, 0, 5)):
+        (tmp_path / f"{i}.txt").write_text("".join(f"{i}-{k}\n" for k in range(n)))
+    df = spark.read.text(str(tmp_path)).repartitionByRange(5, "value").sortWithinPartitions("value")
+    got = [(r.value, r.n) for r in vcf.numbered(df, "n").orderBy("n").collect()]
+    assert got == [(v, i + 1) for i, v in enumerate(sorted(v for v, _ in got))] and len(got) == 8
+    assert vcf.numbered(df.where("false"), "n").count() == 0
