@@ -157,5 +157,6 @@ def consistent_records(records: DataFrame, dictionary: DataFrame) -> DataFrame:
     with missing values, further sub-fields of over-long ones stay in the last column."""
     columns = release_columns(dictionary)
     rows = records.join(_file_identities(columns).withColumnRenamed("file_id", "release"), "release")
-    rows = rows.withColumn("fields", F.split("value", r"\|", F.size("ids")))
+    # the generator keeps the record from being cut again for every column
+    rows = rows.select("*", F.explode(F.array(F.split("value", r"\|", F.size("ids")))).alias("fields"))
     return _wide(rows, ["variant_idx", "pos", "release"], union_schema(columns))

@@ -77,7 +77,7 @@ def annotate(variants, source: DataFrame, fields=None, **options) -> DataFrame:
 def _(variants: list, source: DataFrame, fields=None, **options) -> DataFrame:
     spark: SparkSession = source.sparkSession
     rows = spark.createDataFrame(list(enumerate(variants)), "_row bigint, key string")
-    return annotate_rows(rows.select("_row", parse_key(F.col("key")).alias("k")).select("_row", "k.*"), source, fields, **options).orderBy("_row")
+    return annotate_rows(rows.select("_row", F.explode(F.array(parse_key(F.col("key")))).alias("k")).select("_row", "k.*"), source, fields, **options).orderBy("_row")
 
 
 @annotate.register

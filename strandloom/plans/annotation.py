@@ -46,7 +46,9 @@ def _keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return _keys(spark, d).select("_row", A.parse_key(F.col("key"), strict=False).alias("k")).where("k is not null").select("_row", "k.*")
+    # the generator keeps the key from being parsed again for every part of it
+    parsed = _keys(spark, d).select("_row", F.explode(F.array(A.parse_key(F.col("key"), strict=False))).alias("k"))
+    return parsed.where("k is not null").select("_row", "k.*")
 
 
 _CHR = "regexp_replace(chr, '^chr', '')"
