@@ -135,11 +135,24 @@ def split_pipe_records(spark, d):
     return rows.select("variant_idx", *[F.get(A.pieces(F.col("rec"), 10), F.lit(i)).alias(f"f{i + 1}") for i in range(10)])
 
 
+def _first_records(v: DataFrame) -> DataFrame:
+    """Allele and impact of each variant's first CSQ record; null for a variant without records."""
+    # the generator keeps the field from being parsed again for every part of it
+    rows = v.select("variant_idx", F.explode(F.array(F.get(packed.values(F.col("info.CSQ")), F.lit(0)))).alias("r"))
+    part = lambda i: F.when(F.col("r").isNotNull(), F.get(A.pieces(F.col("r"), 4), F.lit(i)))
+    return rows.select("variant_idx", part(0).alias("allele"), part(2).alias("impact"))
+
+
 @query("select variant_idx, split_part(trim(first_rec), '|', 1) as allele, split_part(first_rec, '|', 3) as impact from (select variant_idx, string_split(info.CSQ, ',')[1] as first_rec from variants where regexp_full_match(info.CSQ, '[A-Z*<>]+[|][^\"'' ;\\t\\n]+'))")
 def split_uniform_first(spark, d):
-    """A field with one value per variant is read from the first record (records of plainly joined fields)."""
-    rows = _variants(spark, d).where(F.col("info.CSQ").rlike("^[A-Z*<>]+[|][^\"' ;\\t\\n]+$")).select("variant_idx", F.split("info.CSQ", ",")[0].alias("r"))
-    return rows.select("variant_idx", F.get(A.pieces(F.col("r"), 4), F.lit(0)).alias("allele"), F.get(A.pieces(F.col("r"), 4), F.lit(2)).alias("impact"))
+    """The first records of plainly joined fields only, as far as SQL can tell them; split_uniform_first_all has every variant."""
+    return _first_records(_variants(spark, d).where(F.col("info.CSQ").rlike("^[A-Z*<>]+[|][^\"' ;\\t\\n]+$")))
+
+
+@query()
+def split_uniform_first_all(spark, d):
+    """A field with one value per variant is read from the first record, however the field is packed."""
+    return _first_records(_variants(spark, d))
 
 
 @query("select doc_id, replace(replace(author, 'e', '='), 'o', ';') as decoded from documents where author is not null")

@@ -159,3 +159,19 @@ def test_row_numbers(spark, tmp_path):
     got = [(r.value, r.n) for r in vcf.numbered(df, "n").orderBy("n").collect()]
     assert got == [(v, i + 1) for i, v in enumerate(sorted(v for v, _ in got))] and len(got) == 8
     assert vcf.numbered(df.where("false"), "n").count() == 0
+
+
+FIRST = {
+    1: ("T|intron|LOW|G1,A|x|HIGH|G2", "T", "LOW"), 2: ('"T|a,b|LOW|G1",A|x|HIGH|G2', "T", "LOW"), 3: ("A|x|HIGH|G;T|y|LOW|G", "A", "HIGH"), 4: ("A|x|HIGH|G\tT|y|LOW|G", "A", "HIGH"),
+    5: ("A|x|HIGH|G\nT|y|LOW|G", "A", "HIGH"), 6: ('  T|"a;b"|LOW|G|more , A|x|HIGH|G', "T", "LOW"), 7: (None, None, None), 8: ("", None, None), 9: (" . ", None, None), 10: (",;,", None, None),
+    11: ('"T|a ""b"", c|LOW|G";A|x|HIGH|G', "T", "LOW"), 12: (",,A|x", "A", ""), 13: ("'T|a;b|LOW'", "T", "LOW"), 14: ('"T|a|LOW|G', '"T', "LOW"), 15: ("T|||G", "T", ""),
+}
+
+
+def test_first_records_of_all_variants(spark, tmp_path):
+    from strandloom.plans.annotation import QUERIES
+
+    rows = [(i, (text,)) for i, (text, _, _) in FIRST.items()]
+    spark.createDataFrame(rows, "variant_idx long, info struct<CSQ:string>").write.parquet(str(tmp_path / "variants.parquet"))
+    got = {r.variant_idx: (r.allele, r.impact) for r in QUERIES["split_uniform_first_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: (allele, impact) for i, (_, allele, impact) in FIRST.items()}
