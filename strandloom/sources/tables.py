@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructField, StructType, TimestampType
 
 
 def open_tables(spark: SparkSession, paths: list[str] | str, one_chromosome: bool = False) -> DataFrame:
@@ -33,9 +34,69 @@ def write_table(df: DataFrame, path: str, compression: str = "zstd", partition:
     (writer.partitionBy("chr") if partition else writer).parquet(path)
 
 
+def _leaves(schema: StructType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], DataType]]:
+    """(path, type) of all leaf columns; lists and maps are leaves."""
+    out = []
+    for f in schema.fields:
+        out += _leaves(f.dataType, (*path, f.name)) if isinstance(f.dataType, StructType) else [((*path, f.name), f.dataType)]
+    return out
+
+
+def _column(path: tuple[str, ...]) -> Column:
+    return F.col(".".join("`" + p.replace("`", "``") + "`" for p in path))
+
+
+_STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def _to_text(c: Column, t: DataType) -> Column:
+    if isinstance(t, (ArrayType, MapType)):
+        c = F.to_json(c)
+    elif isinstance(t, BinaryType):
+        c = F.base64(c)
+    elif isinstance(t, TimestampType):
+        c = F.date_format(c, _STAMP)
+    c = c.cast("string")
+    for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _from_text(c: Column, t: DataType) -> Column:
+    def plain(x: Column) -> Column:
+        for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\0", "\0")):
+            x = F.replace(x, F.lit(a), F.lit(b))
+        return x
+
+    c = F.array_join(F.transform(F.split(c, r"\\\\", -1), plain), "\\")
+    if isinstance(t, (ArrayType, MapType)):
+        return F.from_json(c, t)
+    if isinstance(t, BinaryType):
+        return F.unbase64(c)
+    return F.to_timestamp(c, _STAMP) if isinstance(t, TimestampType) else c.cast(t)
+
+
+#: One row a line: no value holds a tab or a line end, so that lines can be split as they stand.
+_TSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_tsv(df: DataFrame, path: str, compression: str = "none") -> None:
-    """Flat text of all leaf columns."""
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", compression).csv(path)
+    r"""Flat text of all leaf columns, named by their path (``info.CSQ``).
+
+    Null is an empty field, an empty text is ``""``.  Backslash, tab, line ends and NUL are written as \\, \t, \n, \r and \0;
+    blanks at the ends stay.  Lists and maps are JSON, binary is base64, instants carry their offset.  A null struct is
+    written as null leaves."""
+    leaves = [_to_text(_column(p), t).alias(".".join(p)) for p, t in _leaves(df.schema)]
+    df.select(*leaves).write.mode("overwrite").options(**_TSV, nullValue="", emptyValue='""', compression=compression).csv(path)
+
+
+def read_tsv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``write_tsv`` wrote of a table of that schema, as flat leaf columns named by their path."""
+    leaves = _leaves(schema)
+    text = StructType([StructField(".".join(p), StringType()) for p, _ in leaves])
+    # the reader takes for null what equals nullValue, empty texts too if it is empty; no field holds a lone \\N
+    raw = spark.read.schema(text).options(**_TSV, nullValue="\\N", emptyValue="").csv(path)
+    return raw.select(*[_from_text(F.col(f"`{name}`"), t).alias(name) for name, (_, t) in zip(raw.columns, leaves)])
 
 
 def digests(df: DataFrame) -> DataFrame:

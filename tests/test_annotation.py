@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,20 @@ def test_first_records_of_all_variants(spark, tmp_path):
     spark.createDataFrame(rows, "variant_idx long, info struct<CSQ:string>").write.parquet(str(tmp_path / "variants.parquet"))
     got = {r.variant_idx: (r.allele, r.impact) for r in QUERIES["split_uniform_first_all"](spark, str(tmp_path)).collect()}
     assert got == {i: (allele, impact) for i, (_, allele, impact) in FIRST.items()}
+
+
+def test_text_of_all_leaves(spark, tmp_path):
+    texts = [None, "", " ", " a ", "a\tb", "a\nb\r\nc\r", 'say "x"', '"', '""', "\\", "\\n", "\\\\t\\", "\\\t", "\\N", "#a", "'", ",", "x\0y", "\u2028\x85é漢", "null", "."]
+    numbers = [None, 0.1, -0.0, float("nan"), float("inf"), float("-inf"), 1e-45]
+    stamp = datetime.datetime(2020, 3, 1, 2, 3, 4, 50)
+    rows = [(i, t, (numbers[i % 7], (t, i % 2 == 0)), [t, "b"], stamp, stamp, bytearray(b"\x00\xff")) for i, t in enumerate(texts)]
+    schema = "i int, t string, info struct<x:float, sub:struct<deep:string, flag:boolean>>, l array<string>, at timestamp, wall timestamp_ntz, b binary"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    for compression in ("none", "gzip"):
+        path = str(tmp_path / compression)
+        tables.write_tsv(df, path, compression)
+        back = tables.read_tsv(spark, path, df.schema)
+        assert back.columns == ["i", "t", "info.x", "info.sub.deep", "info.sub.flag", "l", "at", "wall", "b"]
+        want = df.select("i", "t", "info.x", "info.sub.deep", "info.sub.flag", "l", "at", "wall", "b").orderBy("i").collect()
+        for got, row in zip(back.orderBy("i").collect(), want, strict=True):
+            assert str(tuple(got)) == str(tuple(row))
