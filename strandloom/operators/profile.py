@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FACTS = "load_id int, name string, value double, n bigint"
 #: Shares of departures: how far the share of nulls may exceed the accepted one; finite values to a distinct one.
@@ -157,20 +158,45 @@ def issues(df: DataFrame, accepted: DataFrame, columns: dict[str, str], load: st
     return per.select(F.col("load_id").cast("int").alias("load_id"), F.col("name").alias("column_name"), F.explode(found).alias("issue"))
 
 
-def profile(df: DataFrame, columns: dict[str, str], load: str = "load_id") -> DataFrame:
-    """One row per load and column: n_rows, n_null, n_nan, n_infinite, n_distinct (finite values), min_finite, max_finite,
-    median (exact, of the finite values)."""
+def profile(df: DataFrame, columns: dict[str, str], load: str = "load_id", accepted: DataFrame | None = None) -> DataFrame:
+    """One row per load and column: n_rows, n_null, n_nan, n_infinite, n_outside (finite values out of the accepted range),
+    n_distinct (finite values), min_finite, q25, median, q75, max_finite (exact, of the finite values; quantiles between two
+    values are interpolated).
+
+    ``accepted`` is that of ``issues``; n_outside is null for columns, or bounds, that it does not give."""
     counts = _scanned(df, columns, load)
     v, n = F.col("value"), F.col("n")
     ok = _finite(v)
+    bounds = {r.column_name: r for r in accepted.where(F.col("column_name").isin(*columns)).collect()} if accepted is not None else {}
+
+    def of(field: str) -> Column:
+        given = [x for name, r in bounds.items() for x in (F.lit(name), F.lit(r[field]).cast("double"))]
+        return F.element_at(F.create_map(*given), F.col("name")) if given else F.lit(None).cast("double")
+
+    # running sums over the distinct values of a load and column, not over its rows
+    by = Window.partitionBy("load_id", "name")
+    finite = F.when(ok, n).otherwise(0)
+    counts = counts.withColumns({"up_to": F.sum(finite).over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "finite": F.sum(finite).over(by), "low": of("min_value"), "high": of("max_value")})
     total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
+
+    def quantile(q: float) -> Column:
+        """By the values at the places next to q * (n - 1), counted from 0."""
+        place = F.lit(q) * (F.col("finite") - 1)
+        a, b = (F.min(F.when(ok & (F.col("up_to") > p), v)) for p in (F.floor(place), F.ceil(place)))
+        return a + (b - a) * F.max(place - F.floor(place))
+
+    known = F.max(F.col("low").isNotNull() & F.col("high").isNotNull())
     return counts.groupBy("load_id", F.col("name").alias("column_name")).agg(
         F.sum(n).cast("bigint").alias("n_rows"),
         total(v.isNull()).alias("n_null"),
         total(F.isnan(v)).alias("n_nan"),
         total(v.isNotNull() & ~F.isnan(v) & ~ok).alias("n_infinite"),
+        F.when(known, total(ok & ~v.between(F.col("low"), F.col("high")))).alias("n_outside"),
         F.count(F.when(ok, 1)).alias("n_distinct"),
         F.min(F.when(ok, v)).alias("min_finite"),
+        quantile(0.25).alias("q25"),
+        quantile(0.5).alias("median"),
+        quantile(0.75).alias("q75"),
         F.max(F.when(ok, v)).alias("max_finite"),
     )
 

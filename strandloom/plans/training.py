@@ -67,8 +67,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The profile of each load and column."""
-    return profile.profile(read(spark, d, "variants"), PROFILED)
+    """The profile of each load and column without its distribution, which p4_distribution has."""
+    got = profile.profile(read(spark, d, "variants"), PROFILED)
+    return got.select("load_id", "column_name", "n_rows", "n_null", "n_nan", "n_infinite", "n_distinct", "min_finite", "max_finite")
+
+
+def p4_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of each load and column with quartiles and the values out of the accepted range."""
+    return profile.profile(read(spark, d, "variants"), PROFILED, accepted=read(spark, d, "column_profile"))
 
 
 def p4_footers(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +83,7 @@ def p4_footers(spark: SparkSession, d: str) -> DataFrame:
     return profile.footer_profile(read(spark, d, "variants"), PROFILED)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_schema, p1_lines, p1_records, p2_found, p2_flags, p3_found, p3_loaded, p4_found, p4_profile, p4_footers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_schema, p1_lines, p1_records, p2_found, p2_flags, p3_found, p3_loaded, p4_found, p4_profile, p4_distribution, p4_footers)}
 
 _VALUES = "select load_id, unnest(['cadd_phred', 'linsight', 'apc_conservation']) as column_name, unnest([info.cadd_phred, info.linsight, info.apc_conservation])::double as v from variants"
 _SENSE = r"trim(regexp_replace(lower(coalesce(description, '')), '\s+', ' ', 'g'), ' .')"
@@ -109,6 +115,12 @@ from f window w as (partition by dictionary, first.d order by first, identity)""
     "p4_profile": f"""with x as ({_VALUES})
 select load_id, column_name, count(*) as n_rows, count(*) - count(v) as n_null, count(*) filter (isnan(v)) as n_nan, count(*) filter (isinf(v)) as n_infinite,
   count(distinct v) filter (isfinite(v)) as n_distinct, min(v) filter (isfinite(v)) as min_finite, max(v) filter (isfinite(v)) as max_finite from x group by load_id, column_name""",
+    "p4_distribution": f"""with x as ({_VALUES}),
+y as (select x.*, min_value, max_value from x left join column_profile using (column_name))
+select load_id, column_name, count(*) as n_rows, count(*) - count(v) as n_null, count(*) filter (isnan(v)) as n_nan, count(*) filter (isinf(v)) as n_infinite,
+  case when count(min_value) > 0 and count(max_value) > 0 then count(*) filter (isfinite(v) and not v between min_value and max_value) end as n_outside,
+  count(distinct v) filter (isfinite(v)) as n_distinct, min(v) filter (isfinite(v)) as min_finite, quantile_cont(v, 0.25) filter (isfinite(v)) as q25, median(v) filter (isfinite(v)) as median,
+  quantile_cont(v, 0.75) filter (isfinite(v)) as q75, max(v) filter (isfinite(v)) as max_finite from y group by load_id, column_name""",
     "p4_footers": f"""with x as ({_VALUES})
 select column_name, count(*) as n_rows, count(*) - count(v) as n_null, count(distinct v) as n_distinct, min(v) filter (not isnan(v)) as low, max(v) filter (not isnan(v)) as high from x group by column_name""",
     "p4_found": f"""with x as ({_VALUES}),

@@ -77,3 +77,20 @@ def test_settled_without_scan(spark, tmp_path):
     accepted = spark.createDataFrame(ACCEPTED, "column_name string, min_value double, max_value double, null_share double, q25 double, q50 double, q75 double")
     assert {tuple(r) for r in profile.issues(df, accepted, COLS).collect()} == {(1, "x", "distinct"), (1, "y", "distinct")}
     assert profile.issues(df.limit(0).where("false"), accepted.limit(0), COLS).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_distribution(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 500.0, -7.0]
+    rows = [(rng.choice([None, 1, 2, 2, 2]), rng.choice(odd) if rng.random() < 0.3 else round(rng.gauss(15, 9), 1), rng.choice([0.1, 0.3, 0.3, 2.0])) for _ in range(300)]
+    rows += [(5, None, 0.5), (5, float("nan"), 0.5), (6, 1.0, -1.0), (7, 1.0, 1.0), (7, 2.0, 4.0)]
+    table(rows, tmp_path / "all.parquet", 50)
+    accepted = spark.createDataFrame([a for a in ACCEPTED if a[0] == "x"], "column_name string, min_value double, max_value double, null_share double, q25 double, q50 double, q75 double")
+    got = {(r.load_id, r.column_name): r for r in profile.profile(spark.read.parquet(str(tmp_path)), COLS, accepted=accepted).collect()}
+    assert len(got) == 2 * len({r[0] for r in rows})
+    for (load, name), r in got.items():
+        v = sorted(x for x in (row["xy".index(name) + 1] for row in rows if row[0] == load) if x is not None and math.isfinite(x))
+        assert r.n_outside == (sum(not 0 <= x <= 100 for x in v) if name == "x" else None)
+        quarters = statistics.quantiles(v, n=4, method="inclusive") if len(v) > 1 else v * 3 if v else [None] * 3
+        assert (r.q25, r.median, r.q75) == (pytest.approx(tuple(quarters)) if v else tuple(quarters))
