@@ -78,6 +78,15 @@ def decode_hex(c: Column, levels: int = 3) -> Column:
     return reduce(lambda x, _: once(x), range(levels), c)
 
 
+def encode_hex(c: Column) -> Column:
+    r"""Text for a field of INFO: blanks, control characters and ``; = , \`` as \xHH.
+
+    ``decode_hex`` gives it back, but for texts that themselves hold an escape \xHH: those it decodes too, as it does nested
+    ones."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"([\x00-\x20\x7f;=,])"), F.lit(1)))
+    return F.aggregate(found, F.replace(c, F.lit("\\"), F.lit("\\x5c")), lambda acc, h: F.replace(acc, h, F.concat(F.lit("\\x"), F.lower(F.hex(h)))))
+
+
 def logical(c: Column) -> Column:
     """True for 1, T, TRUE and YES, False for all else, null included."""
     return F.coalesce(c.isin(*TRUE_VALUES), F.lit(False))

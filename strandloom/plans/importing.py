@@ -6,9 +6,10 @@ import os
 import tarfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions import annotation as A
 from strandloom.operators import report, stats
 from strandloom.plans.annotation import _COUNTERS
 from strandloom.session import checkpoint_dir, read, ship
@@ -92,13 +93,25 @@ def import_snpeff(spark, d):
 
 @query(f"select variant_idx as vid, coalesce(info.variant_type, '') || ';x=1' as gene_detail, case when isfinite(info.cadd_phred) then info.cadd_phred end as cadd from variants {_WHERE} and regexp_full_match(coalesce(info.variant_type, ''), '[A-Za-z-]*')")
 def import_annovar(spark, d):
+    """Types spelt with letters and '-' only, as they stand; import_annovar_all has every variant."""
+    v = _plain(spark, d).where(F.coalesce("info.variant_type", F.lit("")).rlike("^[A-Za-z-]*$"))
+    return _annovar(spark, v, F.concat(F.coalesce("info.variant_type", F.lit("")), F.lit("\\x3bx\\x3d1")))
+
+
+@query("select variant_idx as vid, coalesce(info.variant_type, '') || ';x=1' as gene_detail, case when isfinite(info.cadd_phred) then info.cadd_phred end as cadd from variants")
+def import_annovar_all(spark, d):
+    """Every variant, whatever its type holds: values are escaped for INFO and decoded by the importer."""
+    return _annovar(spark, read(spark, d, "variants"), A.encode_hex(F.concat(F.coalesce("info.variant_type", F.lit("")), F.lit(";x=1"))))
+
+
+def _annovar(spark: SparkSession, v: DataFrame, detail: Column) -> DataFrame:
+    """Variants written with a gene detail and a score, and imported."""
     ship(spark)
     out = _folder(spark, "annovar")
-    v = _plain(spark, d).where(F.coalesce("info.variant_type", F.lit("")).rlike("^[A-Za-z-]*$"))
     number = F.when((F.abs("info.cadd_phred") < float("inf")) & ~F.isnan("info.cadd_phred"), F.col("info.cadd_phred"))
     infos = {
         "ANNOVAR_DATE": (F.lit("2020"), "1", "String", "begin"), "VIDS": (F.col("variant_idx").cast("string"), "1", "String", "number"),
-        "GeneDetail.refGene": (F.concat(F.coalesce("info.variant_type", F.lit("")), F.lit("\\x3bx\\x3d1")), ".", "String", "detail"),
+        "GeneDetail.refGene": (detail, ".", "String", "detail"),
         "CADD_phred": (number, ".", "String", "score"), "ALLELE_END": (F.lit(True), "0", "Flag", "end"),
     }
     vcf.write(v, out, infos)

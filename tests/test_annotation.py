@@ -194,3 +194,14 @@ def test_text_of_all_leaves(spark, tmp_path):
         want = df.select("i", "t", "info.x", "info.sub.deep", "info.sub.flag", "l", "at", "wall", "b").orderBy("i").collect()
         for got, row in zip(back.orderBy("i").collect(), want, strict=True):
             assert str(tuple(got)) == str(tuple(row))
+
+
+def test_import_of_all_types(spark, tmp_path):
+    from strandloom.plans.importing import QUERIES
+
+    types = ["snv ", " INDEL/SNV", "tandem_repeat", "Mnp?", "0", "a;b", "a=b", "a,b", "a\tb\r\nc", "\\", "a\\b", "\x00\x1f\x7f", "é漢", "%3b", ".", "", None]
+    rows = [(i, None if i == 3 else "1", 7, "A", "C", "rs", 1.0, "PASS", (t, 0.5)) for i, t in enumerate(types)]
+    schema = "variant_idx long, chr string, position int, ref string, alt string, id string, qual float, filter string, info struct<variant_type:string, cadd_phred:float>"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "variants.parquet"))
+    got = {r.vid: (r.gene_detail, r.cadd) for r in QUERIES["import_annovar_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: ((t or "") + ";x=1", 0.5) for i, t in enumerate(types)}
