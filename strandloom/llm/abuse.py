@@ -2,8 +2,8 @@
 
 Every text is read whole.  It is folded (case, accents, look-alike letters, digits in place of letters, zero-width and
 combining characters, letters pulled apart or repeated), cut into words (single characters for scripts without blanks), and
-each word becomes the sum of an embedding of the word and of the mean of its character trigrams.  Windows of WINDOW words
-overlap by WINDOW - STRIDE, so that every run of that many words lies whole in one of them.  Each window is read in both
+each word becomes the sum of an embedding of the word and of the mean of its character trigrams.  Every window of
+WINDOW words is scored, so that a sentence's score does not hang on where windows begin.  Each window is read in both
 directions by gated recurrent units; attention pools the states into one vector and a logistic unit scores it.  A document's
 score is that of its highest window.
 
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from strandloom.session import spread
 
-WINDOW, STRIDE = 32, 20
+WINDOW, STRIDE = 32, 1
+#: Between the windows that ``train`` reads; scoring reads every window.
+TRAIN_STRIDE = 20
 WORDS, GRAMS, EMBED, HIDDEN = 1 << 14, 1 << 13, 16, 16
 #: Documents with at least this score are found.
 THRESHOLD = 0.3
@@ -176,20 +178,29 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return word.astype("i8"), doc_of, ids, (g.astype("i8"), offset)
 
 
-def windows_of(word: np.ndarray, doc: np.ndarray, n_docs: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index [windows, WINDOW], length, doc): word indices of every window, padded at the end."""
+def _places(doc: np.ndarray, n_docs: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, doc) of every window."""
     count = np.bincount(doc, minlength=n_docs)
     begin = np.concatenate([[0], np.cumsum(count)[:-1]])
-    per = np.where(count == 0, 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)))
+    per = np.where(count == 0, 0, 1 + np.maximum(0, -(-(count - WINDOW) // stride)))
     of = np.repeat(np.arange(n_docs), per)
     k = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)
-    start = begin[of] + k * STRIDE
-    length = np.minimum(WINDOW, begin[of] + count[of] - start)
-    index = start[:, None] + np.arange(WINDOW)
-    ok = np.arange(WINDOW) < length[:, None]
+    start = begin[of] + k * stride
+    return start, np.minimum(WINDOW, begin[of] + count[of] - start), of
+
+
+def _index(word: np.ndarray, start: np.ndarray, length: np.ndarray, pad: int) -> np.ndarray:
+    """[windows, WINDOW]: word indices of windows, padded at the end."""
     if not len(word):
-        return np.zeros((0, WINDOW), "i8"), length, of
-    return np.where(ok, word[np.minimum(index, len(word) - 1)], pad), length, of
+        return np.zeros((0, WINDOW), "i8")
+    index = start[:, None] + np.arange(WINDOW)
+    return np.where(np.arange(WINDOW) < length[:, None], word[np.minimum(index, len(word) - 1)], pad)
+
+
+def windows_of(word: np.ndarray, doc: np.ndarray, n_docs: int, pad: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index [windows, WINDOW], length, doc): word indices of every window, padded at the end."""
+    start, length, of = _places(doc, n_docs, stride)
+    return _index(word, start, length, pad), length, of
 
 
 def new_weights(seed: int = 1) -> dict[str, np.ndarray]:
@@ -269,10 +280,11 @@ def scores(w: dict, texts: list[str | None], block: int = 6000) -> np.ndarray:
     if not len(word):
         return out
     p = _project(w, embed(w, ids, grams))
-    index, length, of = windows_of(word, doc, len(texts), len(ids))
+    start, length, of = _places(doc, len(texts), STRIDE)
     best = np.full(len(texts), -np.inf)
-    for s in range(0, len(index), block):
-        logit = forward(w, p, index[s : s + block], length[s : s + block])
+    for s in range(0, len(of), block):  # words of a block of windows only: all of them are WINDOW times the text
+        part = slice(s, s + block)
+        logit = forward(w, p, _index(word, start[part], length[part], len(ids)), length[part])
         np.maximum.at(best, of[s : s + block], logit)
     seen = np.isfinite(best)
     out[seen] = 1 / (1 + np.exp(-best[seen]))
@@ -321,7 +333,7 @@ def train(texts: list[str], share: np.ndarray, seed: int = 1, rounds: int = 24,
     rng = np.random.default_rng(seed)
     w = {k: v.copy() for k, v in start.items()} if start else new_weights(seed)
     word, doc, ids, grams = words_of(texts)
-    index, length, of = windows_of(word, doc, len(texts), len(ids))
+    index, length, of = windows_of(word, doc, len(texts), len(ids), TRAIN_STRIDE)
     g_flat, offset = grams
     n_grams = np.diff(offset)
     gram_word = np.repeat(np.arange(len(ids)), n_grams)

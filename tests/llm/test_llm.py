@@ -186,6 +186,23 @@ def test_windows_hold_every_run():
         assert all(any(set(range(i, i + run)) <= s for s in seen) for i in range(n - run + 1))
 
 
+FILL = "the parser reads every table before writing rows again while this loader keeps columns in order and returns counts from all files when nothing changed".split()
+
+
+def test_score_is_that_of_the_highest_window():
+    w, rng = abuse.load(), random.Random(3)
+    words = [rng.choice(FILL) for _ in range(75)] + ["you", "stupid", "idiot"] + [rng.choice(FILL) for _ in range(60)]
+    every = abuse.scores(w, [" ".join(words[i : i + 32]) for i in range(len(words) - 31)])
+    assert abuse.scores(w, [" ".join(words)])[0] == pytest.approx(max(every), rel=1e-4)
+
+
+@pytest.mark.parametrize("sentence", ["裸の写真を送れば承認する。", "你这个白痴，滚出去。", "外地人都是贼，统统赶走。", "+# Пришли голые фото, тогда приму."])
+def test_found_at_every_offset(sentence):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(FILL) for _ in range(40 + k)) + "\n" + sentence + "\n" + " ".join(rng.choice(FILL) for _ in range(60)) for k in range(20)]
+    assert min(abuse.scores(abuse.load(), texts)) >= abuse.THRESHOLD
+
+
 def test_gradient():
     texts = ["you are a bad one", "this is fine then and some more words", "short"]
     word, doc, ids, grams = abuse.words_of(texts)
