@@ -125,6 +125,26 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(sized, mix.plan(sized, targets))
 
 
+def _clamped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sizes, and the plan of a mix as large as all tokens of the sources with a target: those short of documents are clamped at
+    their repetitions, and the others take their excess."""
+    ship(spark)
+    targets = read(spark, d, "mix_targets")
+    sized = mix.sizes_of(read(spark, d, "documents"), targets)
+    total = sized.agg(F.sum("n_tokens")).first()[0]
+    return sized, mix.plan(sized, targets, total_tokens=total)
+
+
+def p8_mix_all(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of a mix of as many tokens as there are, with repeats."""
+    return mix.choose(*_clamped(spark, d))
+
+
+def p8_shares_all(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that a mix of as many tokens as there are reaches."""
+    return mix.shares(*_clamped(spark, d))
+
+
 # ---- 9: abusive content
 
 
@@ -145,7 +165,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_frequencies, p6_percentiles, p6_exact_bound, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)
+    for f in (p5_found, p5_frequencies, p6_percentiles, p6_exact_bound, p7_ids, p8_mix, p8_shares, p8_mix_all, p8_shares_all, p9_found, p9_scores, p9_rates)
 }
 
 _DIMENSIONS = """select 'chr' as dimension, coalesce(regexp_replace(chr, '^chr', ''), '') as grp, metric, v from vals

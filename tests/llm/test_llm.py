@@ -164,6 +164,21 @@ def test_choose(spark):
     assert mix.choose(sized.limit(0), mix.plan(sized.limit(0), targets)).count() == 0
 
 
+def test_clamped_mix(spark, tmp_path):
+    from strandloom.llm import queries
+
+    rows = [(i, f"{i} some words of a text", "big") for i in range(300)] + [(900 + i, "few words", "tiny") for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("big", 0.5, 4), ("tiny", 0.5, 2)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    got = {r.source: r for r in queries.QUERIES["p8_shares_all"](spark, str(tmp_path)).collect()}
+    have, tiny = sum(r.available for r in got.values()), got["tiny"].available
+    assert (got["tiny"].tokens, got["tiny"].most_repeats, got["tiny"].epochs) == (2 * tiny, 2, 2.0)
+    assert got["big"].epochs == pytest.approx((have - 2 * tiny) / got["big"].available)
+    assert sum(r.tokens for r in got.values()) == pytest.approx(have, abs=10)
+    chosen = queries.QUERIES["p8_mix_all"](spark, str(tmp_path)).collect()
+    assert sum(r.n_tokens * r.repeats for r in chosen) == sum(r.tokens for r in got.values())
+
+
 # ---- abusive content
 
 
