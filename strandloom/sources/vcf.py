@@ -57,9 +57,11 @@ class Header:
 
 def read_header(spark: SparkSession, path: str) -> Header:
     lines = []
-    for r in spark.read.text(path).limit(MOST_HEADER).toLocalIterator():
+    for r in spark.read.text(path).limit(MOST_HEADER + 1).toLocalIterator():
         if not r.value.startswith("#"):
             break
+        if len(lines) == MOST_HEADER:
+            raise ValueError(f"more than {MOST_HEADER} header lines in {path}")
         lines.append(r.value)
     return Header.parse(lines)
 

@@ -205,3 +205,14 @@ def test_import_of_all_types(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "variants.parquet"))
     got = {r.vid: (r.gene_detail, r.cadd) for r in QUERIES["import_annovar_all"](spark, str(tmp_path)).collect()}
     assert got == {i: ((t or "") + ";x=1", 0.5) for i, t in enumerate(types)}
+
+
+def test_long_header(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a.vcf")
+    open(path, "w").write(HEAD + "22\t10\t.\tA\tC\t.\t.\tDB\n")
+    n = HEAD.count("\n")
+    monkeypatch.setattr(vcf, "MOST_HEADER", n)
+    assert set(vcf.read_header(spark, path).infos) == {"AF", "DB", "CSQ", "LOF"}
+    monkeypatch.setattr(vcf, "MOST_HEADER", n - 2)
+    with pytest.raises(ValueError, match="header lines"):
+        vcf.import_plain(spark, path)
