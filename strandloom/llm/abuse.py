@@ -1,15 +1,20 @@
 """Abusive, hateful or sexual content: a bidirectional gated recurrent network over words and their characters.
 
 Every text is read whole.  It is folded (case, accents, look-alike letters, digits in place of letters, zero-width and
-combining characters, letters pulled apart or repeated), cut into words (single characters for scripts without blanks), and
-each word becomes the sum of an embedding of the word and of the mean of its character trigrams.  Every window of
-WINDOW words is scored, so that a sentence's score does not hang on where windows begin.  Each window is read in both
-directions by gated recurrent units; attention pools the states into one vector and a logistic unit scores it.  A document's
-score is that of its highest window.
+combining characters, letters pulled apart or repeated), cut into words (single characters for scripts without blanks, words
+of LONG characters and more into overlapping pieces), and each word becomes the sum of an embedding of the word and of the
+mean of its character trigrams.  Gated recurrent units read the words in both directions; attention pools the states of a
+window of WINDOW words into one vector and a logistic unit scores it.  Every window is scored, so that a sentence's score
+does not hang on where windows begin.  A document's score is that of its highest window.
 
-The network is trained in numpy (``train``); weights trained on labelled documents of this project's test data lie beside
-this file.  Labels are of documents: in each round the highest window of a document carries its label, raters' votes are
-averaged, and votes that contradict the fitted model by far are left out of the last rounds.
+All overlapping windows cost hardly more than one reading of the text: texts are read in blocks of BLOCK words, each from
+CONTEXT words before it (behind it, backwards), and what a word adds to a window's attention and to its score are two numbers,
+exp(e) and exp(e) * v.  A window's score is the quotient of their sums over its words, and sums over all windows of 32 words
+take five shifted additions.
+
+The network is trained in numpy (``train``); the weights beside this file were fitted by ``fit_abuse``.  Labels are of
+documents: in each round the highest window of a document carries its label, raters' votes are averaged, and votes that
+contradict the fitted model by far are left out of the last rounds.
 
 Defined cases: null, empty and blank texts, and texts without a word, score 0; repeated texts score alike.
 """
@@ -27,12 +32,17 @@ from pyspark.sql import functions as F
 
 from strandloom.session import spread
 
-WINDOW, STRIDE = 32, 1
-#: Between the windows that ``train`` reads; scoring reads every window.
-TRAIN_STRIDE = 20
-WORDS, GRAMS, EMBED, HIDDEN = 1 << 14, 1 << 13, 16, 16
+#: Words of a window; a power of two.
+WINDOW = 32
+#: Words of a block, and words before and behind it that its states have read.
+BLOCK, CONTEXT = 112, 16
+#: Neighbouring windows of which ``train`` takes one at most.
+NEAR = 16
+#: Characters from which a word is cut into pieces, characters of a piece and from one piece to the next.
+LONG, PIECE, STEP = 24, 12, 6
+WORDS, GRAMS, EMBED, HIDDEN = 1 << 14, 1 << 14, 24, 24
 #: Documents with at least this score are found.
-THRESHOLD = 0.3
+THRESHOLD = 0.5
 WEIGHTS = os.path.join(os.path.dirname(__file__), "abuse_weights.npz")
 #: Labelled documents that ``train`` takes at most.
 MOST_LABELLED = 20_000
@@ -148,14 +158,23 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     first = np.flatnonzero(start)
     size = np.diff(np.append(first, len(code)))
     digits = np.add.reduceat(kind == 2, first)
-    at = np.arange(len(code)) - np.repeat(first, size)
     # digits in words that hold letters stand for letters
     lettered = np.repeat(digits < size, size)
     plain = np.where(lettered & (kind == 2), _LEET_OF[np.minimum(code, _LETTER0 - 1)], code).astype("u8")
-    h = _mix(np.add.reduceat((plain + np.uint64(7)) * _POW[at % 4096], first))
-    h[digits == size] = _NUMBER
-    h[(size >= 16) & (digits >= 3) & (digits < size)] = _BLOB
-    h[(size >= 48) | blobs | hashes] = _BLOB
+    numbers = digits == size
+    encoded = ((size >= 16) & (digits >= 3) & ~numbers) | blobs | hashes
+    # long words become overlapping pieces, the last one at the word's end
+    n_pieces = np.where((size >= LONG) & ~numbers & ~encoded, 1 + -(-(size - PIECE) // STEP), 1)
+    of = np.repeat(np.arange(len(first)), n_pieces)
+    k = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n_pieces)[:-1]]), n_pieces)
+    cut = n_pieces[of] > 1
+    shift = np.where(cut, np.minimum(k * STEP, size[of] - PIECE), 0)
+    first, size, numbers, encoded = first[of] + shift, np.where(cut, PIECE, size[of]), numbers[of], encoded[of]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
+    h = _mix(np.add.reduceat((plain[np.repeat(first, size) + at] + np.uint64(7)) * _POW[at % 4096], begin[:-1]))
+    h[numbers] = _NUMBER
+    h[encoded] = _BLOB
     # runs of numbers or of blobs are one word
     same = (h <= _BLOB) & np.concatenate([pad, h[1:] == h[:-1]])
     doc_of = doc[first]
@@ -163,7 +182,7 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     distinct, where, word = np.unique(h, return_index=True, return_inverse=True)
     ids = (distinct % np.uint64(WORDS)).astype("i8")
     # trigrams of the distinct words, one a character, with a mark at both ends
-    f, n = first[where], np.minimum(size[where], 64)
+    f, n = first[where], size[where]
     fixed = distinct <= _BLOB
     n = np.where(fixed, 1, n)
     offset = np.concatenate([[0], np.cumsum(n)])
@@ -178,29 +197,25 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return word.astype("i8"), doc_of, ids, (g.astype("i8"), offset)
 
 
-def _places(doc: np.ndarray, n_docs: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, doc) of every window."""
+def places(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, count, at) of each text: its first word, its number of words, and where its windows lie in ``window_logits``."""
     count = np.bincount(doc, minlength=n_docs)
     begin = np.concatenate([[0], np.cumsum(count)[:-1]])
-    per = np.where(count == 0, 0, 1 + np.maximum(0, -(-(count - WINDOW) // stride)))
-    of = np.repeat(np.arange(n_docs), per)
-    k = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)
-    start = begin[of] + k * stride
-    return start, np.minimum(WINDOW, begin[of] + count[of] - start), of
+    room = -(-np.maximum(count, WINDOW) // NEAR) * NEAR
+    return begin, count, np.concatenate([[0], np.cumsum(room)])
 
 
-def _index(word: np.ndarray, start: np.ndarray, length: np.ndarray, pad: int) -> np.ndarray:
-    """[windows, WINDOW]: word indices of windows, padded at the end."""
-    if not len(word):
-        return np.zeros((0, WINDOW), "i8")
-    index = start[:, None] + np.arange(WINDOW)
-    return np.where(np.arange(WINDOW) < length[:, None], word[np.minimum(index, len(word) - 1)], pad)
+def _index(word: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, pad: int) -> np.ndarray:
+    """[rows, width]: the words from each start on; those before ``low`` and from ``high`` on are padding."""
+    index = start[:, None] + np.arange(width)
+    return np.where((index >= low[:, None]) & (index < high[:, None]), word[np.clip(index, 0, len(word) - 1)], pad)
 
 
-def windows_of(word: np.ndarray, doc: np.ndarray, n_docs: int, pad: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index [windows, WINDOW], length, doc): word indices of every window, padded at the end."""
-    start, length, of = _places(doc, n_docs, stride)
-    return _index(word, start, length, pad), length, of
+def windows_of(word: np.ndarray, begin: np.ndarray, count: np.ndarray, start: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index [windows, CONTEXT + WINDOW + CONTEXT], length): windows from the ``start`` given, between CONTEXT words of their
+    text (which begins at ``begin`` and has ``count`` words) on either side."""
+    index = _index(word, start - CONTEXT, begin, begin + count, 2 * CONTEXT + WINDOW, pad)
+    return index, np.minimum(WINDOW, begin + count - start)
 
 
 def new_weights(seed: int = 1) -> dict[str, np.ndarray]:
@@ -237,33 +252,35 @@ def _project(w: dict, x: np.ndarray) -> np.ndarray:
     return np.concatenate([x @ w["input"] + w["bias"], rest])
 
 
-def _run(p: np.ndarray, index: np.ndarray, u: np.ndarray, backward: bool, keep: bool):
-    """States [time, windows, HIDDEN] of one direction; with keep also what the gradient needs."""
-    n, hid = len(index), HIDDEN
-    part = p[:, 3 * hid :] if backward else p[:, : 3 * hid]
-    part = np.ascontiguousarray(part)
-    h = np.zeros((n, hid), "f4")
-    states = np.empty((WINDOW, n, hid), "f4")
-    kept = []
-    for t in range(WINDOW - 1, -1, -1) if backward else range(WINDOW):
+def _run(p: np.ndarray, index: np.ndarray, u: np.ndarray, backward: bool, keep: list | None = None):
+    """The states of one direction as (place, [rows, HIDDEN]), step by step; ``keep`` takes what the gradient needs."""
+    hid = HIDDEN
+    part = np.ascontiguousarray(p[:, 3 * hid :] if backward else p[:, : 3 * hid])
+    h = np.zeros((len(index), hid), part.dtype)
+    for t in range(index.shape[1] - 1, -1, -1) if backward else range(index.shape[1]):
         x = part[index[:, t]]
         a = h @ u
         zr = np.tanh(0.5 * (x[:, : 2 * hid] + a[:, : 2 * hid])) * 0.5 + 0.5
         z, r = zr[:, :hid], zr[:, hid:]
         m = a[:, 2 * hid :]
         c = np.tanh(x[:, 2 * hid :] + r * m)
-        if keep:
-            kept.append((t, h, z, r, m, c))
+        if keep is not None:
+            keep.append((t, h, z, r, m, c))
         h = c + z * (h - c)
-        states[t] = h
-    return states, kept
+        yield t, h
 
 
 def forward(w: dict, p: np.ndarray, index: np.ndarray, length: np.ndarray, keep: bool = False):
-    """Logits of the windows."""
-    f, kf = _run(p, index, w["fore"], False, keep)
-    b, kb = _run(p, index, w["back"], True, keep)
-    hid = HIDDEN
+    """Logits of windows with their context, as ``windows_of`` gives them."""
+    hid, n = HIDDEN, len(index)
+    kf, kb = ([], []) if keep else (None, None)
+    f, b = np.empty((WINDOW, n, hid), p.dtype), np.empty((WINDOW, n, hid), p.dtype)
+    for t, h in _run(p, index[:, : CONTEXT + WINDOW], w["fore"], False, kf):
+        if t >= CONTEXT:
+            f[t - CONTEXT] = h
+    for t, h in _run(p, index[:, CONTEXT:], w["back"], True, kb):
+        if t < WINDOW:
+            b[t] = h
     e = f @ w["attend"][:hid] + b @ w["attend"][hid:]  # [time, windows]
     e = np.where(np.arange(WINDOW)[:, None] < length[None, :], e, -1e9)
     e = np.exp(e - e.max(0))
@@ -273,22 +290,64 @@ def forward(w: dict, p: np.ndarray, index: np.ndarray, length: np.ndarray, keep:
     return (logit, (f, b, kf, kb, a, pooled)) if keep else logit
 
 
-def scores(w: dict, texts: list[str | None], block: int = 6000) -> np.ndarray:
+def _word_terms(w: dict, p: np.ndarray, word: np.ndarray, begin: np.ndarray, count: np.ndarray, rows: int = 2000) -> np.ndarray:
+    """[words, 2]: what each word adds to the attention (e) and to the score (v) of the windows that hold it."""
+    hid, pad = HIDDEN, len(p) - 1
+    n_blocks = -(-count // BLOCK)
+    of = np.repeat(np.arange(len(count)), n_blocks)
+    k = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n_blocks)[:-1]]), n_blocks)
+    low, high = begin[of], begin[of] + count[of]
+    start = low + k * BLOCK
+    size = np.minimum(BLOCK, high - start)
+    out = np.empty((len(word), 2), "f4")
+    order = np.argsort(size, kind="stable")  # blocks of like size together: the step count is that of the largest
+    fore, back = (np.stack([w["attend"][s], w["out"][s]], 1) for s in (slice(0, hid), slice(hid, None)))
+    for s in range(0, len(order), rows):
+        b = order[s : s + rows]
+        most = int(size[b[-1]])
+        got = np.zeros((most, len(b), 2), "f4")
+        lead = CONTEXT if k[b].any() else 0
+        for t, h in _run(p, _index(word, start[b] - lead, low[b], start[b] + size[b], lead + most, pad), w["fore"], False):
+            if t >= lead:
+                got[t - lead] = h @ fore
+        trail = CONTEXT if (start[b] + size[b] < high[b]).any() else 0
+        for t, h in _run(p, _index(word, start[b], low[b], high[b], most + trail, pad), w["back"], True):
+            if t < most:
+                got[t] += h @ back
+        t, row = np.nonzero(np.arange(most)[:, None] < size[b][None, :])
+        out[start[b][row] + t] = got[t, row]
+    return out
+
+
+def window_logits(w: dict, p: np.ndarray, word: np.ndarray, begin: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logit of every window: the one from word k of text d is at ``at[d] + k``; places without a window hold -inf.  A text
+    of fewer words than WINDOW is one window."""
+    terms = _word_terms(w, p, word, begin, count)
+    k = np.arange(len(word)) - np.repeat(begin, count)
+    place = np.repeat(at[:-1], count) + k
+    # states lie within -1..1, so e is no larger than the sum of the weights and needs no shift in double precision
+    sums = np.zeros((2, at[-1] + WINDOW - 1))
+    sums[0, place] = np.exp(terms[:, 0].astype("f8"))
+    sums[1, place] = sums[0, place] * terms[:, 1]
+    step = 1
+    while step < WINDOW:
+        sums = sums[:, :-step] + sums[:, step:]
+        step *= 2
+    ends = k <= np.maximum(np.repeat(count, count) - WINDOW, 0)
+    place = place[ends]
+    out = np.full(at[-1], -np.inf)
+    out[place] = sums[1, place] / sums[0, place] + w["out_bias"][0]
+    return out
+
+
+def scores(w: dict, texts: list[str | None]) -> np.ndarray:
     """The highest window's probability for each text."""
     word, doc, ids, grams = words_of(texts)
-    out = np.zeros(len(texts), "f8")
     if not len(word):
-        return out
-    p = _project(w, embed(w, ids, grams))
-    start, length, of = _places(doc, len(texts), STRIDE)
-    best = np.full(len(texts), -np.inf)
-    for s in range(0, len(of), block):  # words of a block of windows only: all of them are WINDOW times the text
-        part = slice(s, s + block)
-        logit = forward(w, p, _index(word, start[part], length[part], len(ids)), length[part])
-        np.maximum.at(best, of[s : s + block], logit)
-    seen = np.isfinite(best)
-    out[seen] = 1 / (1 + np.exp(-best[seen]))
-    return out
+        return np.zeros(len(texts), "f8")
+    begin, count, at = places(doc, len(texts))
+    best = np.maximum.reduceat(window_logits(w, _project(w, embed(w, ids, grams)), word, begin, count, at), at[:-1])
+    return 1 / (1 + np.exp(-best))
 
 
 # ---- training
@@ -308,18 +367,20 @@ def _backward(w: dict, cache, index: np.ndarray, length: np.ndarray, dlogit: np.
     df = a[:, :, None] * dpool[None, :, :hid] + de[:, :, None] * w["attend"][:hid]
     db = a[:, :, None] * dpool[None, :, hid:] + de[:, :, None] * w["attend"][hid:]
     dp = np.zeros((n_words + 1, 6 * hid), "f4")
-    for name, kept, dstate, at in (("fore", kf, df, 0), ("back", kb, db, 3 * hid)):
+    # the window is at CONTEXT of what is read forwards and at 0 of what is read backwards
+    for name, kept, dstate, at, shift in (("fore", kf, df, 0, CONTEXT), ("back", kb, db, 3 * hid, 0)):
         dh = np.zeros((len(index), hid), "f4")
         u = w[name]
         for t, h, z, r, m, c in reversed(kept):
-            dh = dh + dstate[t]
+            if 0 <= t - shift < WINDOW:
+                dh = dh + dstate[t - shift]
             dc = dh * (1 - z) * (1 - c * c)
             dz = dh * (h - c) * z * (1 - z)
             dr = dc * m * r * (1 - r)
             dx = np.concatenate([dz, dr, dc], 1)
             da_ = np.concatenate([dz, dr, dc * r], 1)
             g[name] += h.T @ da_
-            np.add.at(dp[:, at : at + 3 * hid], index[:, t], dx)
+            np.add.at(dp[:, at : at + 3 * hid], index[:, t + CONTEXT - shift], dx)
             dh = dh * z + da_ @ u.T
     return g, dp[:-1]
 
@@ -333,7 +394,7 @@ def train(texts: list[str], share: np.ndarray, seed: int = 1, rounds: int = 24,
     rng = np.random.default_rng(seed)
     w = {k: v.copy() for k, v in start.items()} if start else new_weights(seed)
     word, doc, ids, grams = words_of(texts)
-    index, length, of = windows_of(word, doc, len(texts), len(ids), TRAIN_STRIDE)
+    begin, count, place = places(doc, len(texts))
     g_flat, offset = grams
     n_grams = np.diff(offset)
     gram_word = np.repeat(np.arange(len(ids)), n_grams)
@@ -342,7 +403,13 @@ def train(texts: list[str], share: np.ndarray, seed: int = 1, rounds: int = 24,
     step, weight = 0, np.ones(len(texts), "f4")
     for r in range(rounds):
         p = _project(w, embed(w, ids, grams))
-        logit = np.concatenate([forward(w, p, index[s : s + 8000], length[s : s + 8000]) for s in range(0, len(index), 8000)])
+        every = window_logits(w, p, word, begin, count, place)
+        # the highest of neighbouring windows stands for them
+        near = every.reshape(-1, NEAR)
+        start = np.arange(len(near)) * NEAR + near.argmax(1)
+        start = start[np.isfinite(every[start])]
+        logit, of = every[start], np.searchsorted(place, start, side="right") - 1
+        start = start - place[of] + begin[of]
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, of, logit)
         if r >= rounds // 2:  # votes far from the model are taken for raters' errors
@@ -351,26 +418,27 @@ def train(texts: list[str], share: np.ndarray, seed: int = 1, rounds: int = 24,
         noisy = logit + rng.normal(0, 1.0 if r < 3 else 0.1, len(logit))
         order = np.lexsort((-noisy, of))
         rank = np.arange(len(order)) - np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))[:-1]])[of[order]]
-        chosen = order[(rank < 1) | ((rank < 3) & (share[of[order]] == 0)) | ((share[of[order]] == 0) & (rng.random(len(order)) < 0.1))]
+        chosen = order[(rank < 1) | ((rank < 2) & (share[of[order]] == 0)) | ((share[of[order]] == 0) & (rng.random(len(order)) < 0.08))]
         rng.shuffle(chosen)
         lr, loss_sum = rate * (1 - r / rounds) + 1e-4, 0.0
         for s in range(0, len(chosen), 512):
             mine = chosen[s : s + 512]
-            used, local = np.unique(index[mine], return_inverse=True)
+            index, length = windows_of(word, begin[of[mine]], count[of[mine]], start[mine], len(ids))
+            used, local = np.unique(index, return_inverse=True)
             used = used[used < len(ids)]
-            local = local.reshape(len(mine), WINDOW)
+            local = local.reshape(index.shape)
             rows = np.flatnonzero(np.isin(gram_word, used)) if len(used) > len(ids) // 2 else np.concatenate([np.arange(offset[u], offset[u + 1]) for u in used])
             off = np.concatenate([[0], np.cumsum(n_grams[used])])
             small = (g_flat[rows], off)
             x = embed(w, ids[used], small)
             keep_x = (rng.random((len(used), 1)) > 0.15).astype("f4")  # words fall out at random
             pp = _project(w, x * keep_x)
-            lg, cache = forward(w, pp, local, length[mine], keep=True)
+            lg, cache = forward(w, pp, local, length, keep=True)
             target = share[of[mine]] * 0.96 + 0.02
             prob = 1 / (1 + np.exp(-lg))
             k = weight[of[mine]] * np.where(share[of[mine]] > 0, 3.0, 1.0).astype("f4")
             loss_sum += float(-(k * (target * np.log(prob + 1e-7) + (1 - target) * np.log(1 - prob + 1e-7))).sum())
-            g, dp = _backward(w, cache, local, length[mine], (k * (prob - target) / len(mine)).astype("f4"), len(used))
+            g, dp = _backward(w, cache, local, length, (k * (prob - target) / len(mine)).astype("f4"), len(used))
             g["input"], g["bias"] = (x * keep_x).T @ dp, dp.sum(0)
             dx = (dp @ w["input"].T) * keep_x
             g["words"] = np.zeros_like(w["words"])

@@ -193,22 +193,50 @@ def test_words():
     assert len(ids("zj@NcP;&B%)BG_U?r^bcB2^LvH|aUi0z}VBeg_Mir;id>aN>caI#r")) == 1
 
 
-def test_windows_hold_every_run():
-    for n in (1, 31, 32, 33, 52, 53, 200):
-        index, length, of = abuse.windows_of(np.arange(n), np.zeros(n, "i4"), 1, n)
-        seen = [set(row[:k]) for row, k in zip(index.tolist(), length.tolist())]
-        run = min(n, abuse.WINDOW - abuse.STRIDE + 1)
-        assert all(any(set(range(i, i + run)) <= s for s in seen) for i in range(n - run + 1))
-
-
 FILL = "the parser reads every table before writing rows again while this loader keeps columns in order and returns counts from all files when nothing changed".split()
 
 
-def test_score_is_that_of_the_highest_window():
+def _plainly(w, text):
+    """The score by its definition: every word read by itself, every window pooled by itself."""
+    word, doc, ids, grams = abuse.words_of([text])
+    p, n, hid = abuse._project(w, abuse.embed(w, ids, grams)).astype("f8"), len(word), abuse.HIDDEN
+
+    def step(x, u, h):
+        z, r = (1 / (1 + np.exp(-(x[i * hid : (i + 1) * hid] + h @ u[:, i * hid : (i + 1) * hid]))) for i in (0, 1))
+        return (1 - z) * np.tanh(x[2 * hid :] + r * (h @ u[:, 2 * hid :])) + z * h
+
+    f, b = np.zeros((n, hid)), np.zeros((n, hid))
+    for low in range(0, n, abuse.BLOCK):
+        high, h = min(n, low + abuse.BLOCK), np.zeros(hid)
+        for t in range(max(0, low - abuse.CONTEXT), high):
+            h = step(p[word[t], : 3 * hid], w["fore"], h)
+            f[t] = h if t >= low else f[t]
+        h = np.zeros(hid)
+        for t in range(min(n, high + abuse.CONTEXT) - 1, low - 1, -1):
+            h = step(p[word[t], 3 * hid :], w["back"], h)
+            b[t] = h if t < high else b[t]
+    both, best = np.concatenate([f, b], 1), -np.inf
+    for s in range(max(1, n - abuse.WINDOW + 1)):
+        x = both[s : s + abuse.WINDOW]
+        a = np.exp(x @ w["attend"])
+        best = max(best, float(a @ (x @ w["out"]) / a.sum() + w["out_bias"][0]))
+    return 1 / (1 + np.exp(-best))
+
+
+def test_scores_by_definition():
     w, rng = abuse.load(), random.Random(3)
-    words = [rng.choice(FILL) for _ in range(75)] + ["you", "stupid", "idiot"] + [rng.choice(FILL) for _ in range(60)]
-    every = abuse.scores(w, [" ".join(words[i : i + 32]) for i in range(len(words) - 31)])
-    assert abuse.scores(w, [" ".join(words)])[0] == pytest.approx(max(every), rel=1e-4)
+    texts = [" ".join(rng.choice([*FILL, "you", "stupid", "idiot"]) for _ in range(n)) for n in (1, 2, 31, 32, 33, 111, 112, 113, 128, 129, 240, 300)]
+    got = abuse.scores(w, [*texts, "", None, "?!"])
+    assert got[:-3] == pytest.approx([_plainly(w, t) for t in texts], rel=1e-3) and (got[-3:] == 0).all()
+
+
+def test_long_words_are_read_in_pieces():
+    word, _, ids, (g, offset) = abuse.words_of(["x" + "abcdefghijklmnopqrstuvwxyz" * 3])
+    assert len(word) == 1 + -(-(79 - abuse.PIECE) // abuse.STEP) and set(np.diff(offset)) == {abuse.PIECE}
+    assert len(abuse.words_of(["abcdefghijklmnopqrstuvw"])[0]) == 1
+    # no character is out of reach, however long the word
+    base = "abcdefghijklmnopqrstuvwxyz" * 400
+    assert abuse.words_of([base])[0].size > 1000 and len(abuse.words_of([base + "quq"])[2]) > len(abuse.words_of([base])[2])
 
 
 @pytest.mark.parametrize("sentence", ["裸の写真を送れば承認する。", "你这个白痴，滚出去。", "外地人都是贼，统统赶走。", "+# Пришли голые фото, тогда приму."])
@@ -222,7 +250,8 @@ def test_gradient():
     texts = ["you are a bad one", "this is fine then and some more words", "short"]
     word, doc, ids, grams = abuse.words_of(texts)
     w = {k: v.astype("f8") for k, v in abuse.new_weights(2).items()}
-    index, length, _ = abuse.windows_of(word, doc, 3, len(ids))
+    begin, count, _ = abuse.places(doc, 3)
+    index, length = abuse.windows_of(word, begin, count, begin, len(ids))
     x = abuse.embed(w, ids, grams).astype("f8")
 
     def loss(w):
