@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,14 +66,23 @@ def so_term(rank: Column) -> Column:
     return F.get(F.array(*[F.lit(t[0]) for t in SO_TERMS]), rank - 1)
 
 
-def decode_hex(c: Column, levels: int = 3) -> Column:
-    r"""\xHH escapes as characters, again and again up to ``levels`` nested ones."""
+ESCAPE = r"\\x([0-9a-fA-F]{2})"
+
+
+def decode_hex(c: Column) -> Column:
+    r"""\xHH escapes as characters, again and again until none is left, however deeply they are nested."""
 
     def once(x: Column) -> Column:
-        found = F.regexp_extract_all(x, F.lit(r"\\x([0-9a-fA-F]{2})"), F.lit(1))
+        found = F.array_distinct(F.regexp_extract_all(x, F.lit(ESCAPE), F.lit(1)))
         return F.aggregate(found, x, lambda acc, h: F.replace(acc, F.concat(F.lit("\\x"), h), F.decode(F.unhex(h), "ISO-8859-1")))
 
-    return reduce(lambda x, _: once(x), range(levels), c)
+    def state(x: Column) -> Column:
+        return F.struct(x.alias("t"), F.coalesce(x.rlike(ESCAPE), F.lit(False)).alias("more"))
+
+    # every round makes the text shorter by three characters at least; rounds after the last escape do nothing
+    rounds = F.sequence(F.lit(1), F.ceil(F.length(c) / 3).cast("int") + 1)
+    step = lambda acc, _: F.when(acc["more"], F.transform(F.array(once(acc["t"])), state)[0]).otherwise(acc)
+    return F.when(c.rlike(ESCAPE), F.aggregate(rounds, state(c), step, lambda acc: acc["t"])).otherwise(c)
 
 
 def encode_hex(c: Column) -> Column:
@@ -126,6 +133,7 @@ def clip(c: Column, most: int = 21) -> Column:
 
 
 def finite_or_null(c: Column) -> Column:
+    """A finite number, or null."""
     return F.when(~F.isnan(c) & ~c.isin(float("inf"), float("-inf")), c)
 
 

@@ -56,27 +56,63 @@ def value_counts_blocks(entries: DataFrame, fn: Callable, schema: str) -> DataFr
 Condition = list | tuple | Callable[[Column], Column] | None
 
 
-def unit_groups(entries: DataFrame, by: list[str], cond: dict[str, Condition] | None = None, positions: tuple[str, str] = ("chr", "position")) -> DataFrame:
-    """(keys..., chr, start, end, index): variant indices by key, sorted and once each, with place of the first and the last.
+#: Identifiers of a container.
+CONTAINER = 1 << 16
+
+
+def _named(entries: DataFrame, names: list[str]) -> DataFrame:
+    """Entries with a column for each name that is a path to a leaf (``info/variant_type``)."""
+    from strandloom.operators.catalog import leaves
+
+    known = dict(leaves(entries))
+    for n in names:
+        if n not in entries.columns:
+            if n not in known and n.replace("/", ".") not in known.values():
+                raise ValueError(f"no such field: {n}")
+            entries = entries.withColumn(n, F.col(known.get(n, n.replace("/", "."))))
+    return entries
+
+
+def unit_members(entries: DataFrame, by: list[str], cond: dict[str, Condition] | None = None, positions: tuple[str, str] = ("chr", "position")) -> DataFrame:
+    """(keys..., container, index, first, last): the variants of each key in containers of CONTAINER neighbouring indices, each
+    once and sorted, with (chr, position) of the lowest and the highest.
 
     cond: per field a list of accepted values, a function Column -> Column (a predicate, or for a key a new key), or None
-    for no condition.  A condition that is null keeps the entry; null and empty keys are dropped.  A variant's identifier is
-    collected once per group; a group is as large as its answer.
+    for no condition.  A condition that is null keeps the entry; null and empty keys are dropped.  Fields are columns or paths
+    to leaves (``info/variant_type``).  However many variants a key has, no row and no task holds more of them than a
+    container: repeated ones go on the map side.
     """
     cond = cond or {}
-    unknown = set(by) - set(entries.columns) | set(cond) - set(entries.columns)
-    if unknown:
-        raise ValueError(f"no such field: {sorted(unknown)}")
+    entries = _named(entries, [*by, *cond])
     keep = F.lit(True)
     for name, c in cond.items():
         if name in by or c is None:
             continue
         keep = keep & (F.coalesce(F.col(name).isin(list(c)), F.lit(False)) if isinstance(c, (list, tuple)) else c(F.col(name)))
     keys = [(cond[k](F.col(k)) if callable(cond.get(k)) else F.when(F.col(k).isin(list(cond[k])), F.col(k)) if cond.get(k) else F.col(k)).alias(k) for k in by]
-    rows = entries.where(F.coalesce(keep, F.lit(True))).select(*keys, "variant_idx", *positions)
+    rows = entries.where(F.coalesce(keep, F.lit(True)) & F.col("variant_idx").isNotNull()).select(*keys, F.col("variant_idx").cast("bigint").alias("variant_idx"), *positions)
     for k in by:
-        rows = rows.where(F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
+        rows = rows.where(F.col(f"`{k}`").isNotNull() & (F.col(f"`{k}`").cast("string") != ""))
     c, p = positions
-    return rows.groupBy(*by).agg(
-        F.min_by(c, "variant_idx").alias("chr"), F.min_by(p, "variant_idx").alias("start"), F.max_by(p, "variant_idx").alias("end"), F.sort_array(F.collect_set("variant_idx")).alias("index")
-    )
+    place = F.struct("variant_idx", F.col(c).alias("chr"), F.col(p).alias("position"))
+    container = F.floor(F.col("variant_idx") / CONTAINER).alias("container")
+    return rows.groupBy(*[F.col(f"`{k}`") for k in by], container).agg(F.sort_array(F.collect_set("variant_idx")).alias("index"), F.min(place).alias("first"), F.max(place).alias("last"))
+
+
+def unit_ranges(members: DataFrame, by: list[str]) -> DataFrame:
+    """(keys..., n, chr, start, end) of what ``unit_members`` gives: everything about a unit but its indices."""
+    return members.groupBy(*by).agg(F.sum(F.size("index")).alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).select(*by, "n", F.col("a.chr").alias("chr"), F.col("a.position").alias("start"), F.col("b.position").alias("end"))
+
+
+def unit_groups(entries: DataFrame, by: list[str], cond: dict[str, Condition] | None = None, positions: tuple[str, str] = ("chr", "position"), ordered: bool = False) -> DataFrame:
+    """(keys..., chr, start, end, index): variant indices by key, sorted and once each, with place of the first and the last.
+
+    Conditions as in ``unit_members``, whose containers are joined here to one row a key; for keys that hold more variants than
+    a row can, take those.  ordered: by the first index of each key.
+    """
+    members = unit_members(entries, by, cond, positions)
+    parts = F.sort_array(F.collect_list(F.struct("container", "index")))
+    cols = [F.col(f"`{k}`") for k in by]
+    out = members.groupBy(*cols).agg(F.min("first").alias("a"), F.max("last").alias("b"), F.flatten(F.transform(parts, lambda x: x["index"])).alias("index"))
+    out = out.select(*cols, F.col("a.chr").alias("chr"), F.col("a.position").alias("start"), F.col("b.position").alias("end"), "index")
+    return out.orderBy(F.col("index")[0], *cols) if ordered else out

@@ -1,22 +1,31 @@
 """Annotations for given variants: exact keys, first file wins, and ranges of positions.
 
-Keys join on (chr, position, ref, alt); the multi-allelic list is compared whole.  The source side is reduced to one row a
-key before the join, by a partial aggregate.  Which side travels is left to the optimizer and its statistics.
+Keys join on (chr, position, ref, alt); the multi-allelic list is compared whole.  The keys are looked at once: how many
+bytes they are, and between which positions they lie on each chromosome.  Those bounds go to the scan of the source as a
+filter on its own columns.  Keys of up to MOST_BYTES are sent to the source, which is reduced to the rows that are hit before
+anything is sorted, grouped or moved; more keys than that meet the source, reduced to one row a key by a partial aggregate,
+in a shuffle on the key.
+
+Defined cases: a null or empty part of a key hits nothing; repeated keys give a row each; a key that several rows of the source
+have takes the whole row of the lowest (file_idx, variant_idx); an empty source gives nulls, no keys give no rows.
 """
 
 from __future__ import annotations
 
 from functools import singledispatch
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.annotation import parse_key, plain_chr
+from strandloom.session import path_exists, rename
 
 KEY = ["chr", "position", "ref", "alt"]
 #: Positions to a bin of the range join.
 BIN = 16384
-#: Chromosomes of the keys that are worth a partition filter on the source.
+#: Bytes of distinct keys that may be sent to every task of the source.
+MOST_BYTES = 32 << 20
+#: Chromosomes of the keys up to which each has position bounds of its own; beyond, all share one pair of bounds.
 MOST_CHROMOSOMES = 100
 SPECIAL = {":chromosome": "chr", ":position": "position", ":allele": "allele", ":id": "id", ":qual": "qual", ":filter": "filter"}
 
@@ -48,22 +57,50 @@ def first_of_key(source: DataFrame, columns: list) -> DataFrame:
     return keyed.groupBy(*KEY).agg(F.min_by("_v", "_at").alias("_v"), F.min("_at").alias("_at"))
 
 
-def annotate_rows(keys: DataFrame, source: DataFrame, fields: list[str] | dict[str, str] | None, prune: bool = False) -> DataFrame:
+def _look(keys: DataFrame) -> tuple[Column | None, Column | None, bool]:
+    """(filter by chromosome, filter by chromosome and position, whether the keys may be sent to all tasks), from one aggregate
+    over the keys."""
+    size = F.sum(F.length("chr") + F.length("ref") + F.length("alt") + 40).alias("bytes")
+    per = keys.where("chr is not null and position is not null").groupBy("chr").agg(F.min("position").alias("low"), F.max("position").alias("high"), size)
+    rows = per.limit(MOST_CHROMOSOMES + 1).collect()
+    if len(rows) > MOST_CHROMOSOMES:
+        r = per.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("bytes").alias("bytes")).first()
+        return None, F.col("position").between(r.low, r.high), r.bytes <= MOST_BYTES
+    if not rows:
+        return F.lit(False), F.lit(False), True
+    names = lambda n: [n, f"chr{n}"]
+    on_chr = F.col("chr").isin(*[x for r in rows for x in names(r.chr)])
+    at = F.lit(False)
+    for r in rows:
+        at = at | (F.col("chr").isin(*names(r.chr)) & F.col("position").between(r.low, r.high))
+    return on_chr, at, sum(r.bytes or 0 for r in rows) <= MOST_BYTES
+
+
+def _hits(source: DataFrame, keys: DataFrame, at: Column | None, small: bool) -> DataFrame:
+    """The rows of the source that may be hit by a key."""
+    rows = source if at is None else source.where(at)
+    if not small:
+        return rows
+    wanted = F.broadcast(keys.select(*[F.col(k).alias(f"_{k}") for k in KEY]).dropna().distinct())  # of a checked size
+    on = (plain_chr(rows["chr"]) == F.col("_chr")) & (rows["position"] == F.col("_position")) & (rows["ref"] == F.col("_ref")) & (rows["alt"] == F.col("_alt"))
+    return rows.join(wanted, on, "left_semi")
+
+
+def annotate_rows(keys: DataFrame, source: DataFrame, fields: list[str] | dict[str, str] | None) -> DataFrame:
     """Left join of keys (_row and KEY): exactly one row per key row, annotations null where there are none.
 
-    prune: put the chromosomes of the keys on the source as a filter, for small sets of keys on a partitioned source.
-    fields=[]: only variant_idx and file_idx; a miss has the last file of its chromosome that was tried.
+    fields=None: all leaves of info.  fields=[]: only variant_idx and file_idx; a miss has the last file of its chromosome
+    that was tried.
     """
     keys = keys.select("_row", plain_chr(F.col("chr")).alias("chr"), "position", "ref", "alt")
-    if prune:
-        names = [r[0] for r in keys.select("chr").distinct().limit(MOST_CHROMOSOMES + 1).collect() if r[0] is not None]
-        if len(names) <= MOST_CHROMOSOMES:
-            source = source.where(F.col("chr").isin([*names, *(f"chr{n}" for n in names)]))
+    on_chr, at, small = _look(keys)
+    hits = _hits(source, keys, at, small)
     if fields is not None and not len(fields):
-        found = keys.join(first_of_key(source, [F.lit(1)]).select(*KEY, "_at.*"), KEY, "left")
-        last = source.groupBy(plain_chr(F.col("chr")).alias("chr")).agg(F.max("file_idx").alias("_last"))
+        found = keys.join(first_of_key(hits, [F.lit(1)]).select(*KEY, "_at.*"), KEY, "left")
+        tried = source if on_chr is None else source.where(on_chr)
+        last = tried.groupBy(plain_chr(F.col("chr")).alias("chr")).agg(F.max("file_idx").alias("_last"))
         return found.join(last, "chr", "left").select("_row", *KEY, "variant_idx", F.coalesce("file_idx", "_last").alias("file_idx"))
-    found = first_of_key(source, resolve(source, fields)).select(*KEY, "_v.*")
+    found = first_of_key(hits, resolve(source, fields)).select(*KEY, "_v.*")
     return keys.join(found, KEY, "left").select("_row", *KEY, *[c for c in found.columns if c not in KEY])
 
 
@@ -81,13 +118,63 @@ def _(variants: list, source: DataFrame, fields=None, **options) -> DataFrame:
 
 
 @annotate.register
-def _(variants: DataFrame, source: DataFrame, fields=None, col_chr="chr", col_pos="pos", col_ref="ref", col_alt="alt", row=None, **options) -> DataFrame:
+def _(variants: DataFrame, source: DataFrame, fields=None, col_chr="chr", col_pos="pos", col_ref="ref", col_alt="alt", row=None, ordered: bool = True, **options) -> DataFrame:
+    """ordered: rows come in input order, for which the result is sorted by range; without, ``_row`` tells the order."""
     missing = {col_chr, col_pos, col_ref, col_alt} - set(variants.columns)
     if missing:
         raise ValueError(f"missing key columns: {sorted(missing)}")
     at = F.col(row) if row else F.monotonically_increasing_id()
     keys = variants.select(at.alias("_row"), F.col(col_chr).alias("chr"), F.col(col_pos).cast("int").alias("position"), F.col(col_ref).alias("ref"), F.col(col_alt).alias("alt"))
-    return annotate_rows(keys, source, fields, **options).orderBy("_row")
+    got = annotate_rows(keys, source, fields, **options)
+    return got.orderBy("_row") if ordered else got
+
+
+@annotate.register
+def _(variants: str, source: DataFrame, fields=None, **options) -> DataFrame:
+    """The variants of a file: a variant call file by its ending (.vcf, .vcf.gz, .vcf.bgz), else a stored table."""
+    return annotate(variants_of(source.sparkSession, variants).withColumnRenamed("position", "pos"), source, fields, row="variant_idx", **options)
+
+
+def variants_of(spark: SparkSession, path: str) -> DataFrame:
+    """(variant_idx, chr, position, ref, alt) of a variant call file or a stored table; samples and annotations are not read."""
+    if path.rstrip("/").endswith((".vcf", ".vcf.gz", ".vcf.bgz")):
+        from strandloom.sources import vcf
+
+        df = vcf.read(spark, path, keep=[])
+    else:
+        df = spark.read.parquet(path)
+    return df.select("variant_idx", *KEY)
+
+
+def annotate_ranges(source: DataFrame, sets: list[DataFrame] | DataFrame, fields: list[str] | dict[str, str] | None = None) -> DataFrame:
+    """(range_set, file_idx, variant_idx, chr, position, ref, alt, fields...): the rows of the source in each of several sets of
+    closed ranges, once per set; file after file and place after place if sorted by the first three.
+
+    sets: DataFrames (chr, start, end), or one DataFrame that has range_set too.
+    """
+    if isinstance(sets, DataFrame):
+        one = sets.select("range_set", "chr", "start", "end")
+    else:
+        one = None
+        for i, r in enumerate(sets):
+            r = r.select(F.lit(i).alias("range_set"), "chr", "start", "end")
+            one = r if one is None else one.unionByName(r)
+        if one is None:
+            one = source.sparkSession.createDataFrame([], "range_set int, chr string, start int, end int")
+    r, on = _binned(one)
+    values = [c.alias(f"_v{i}") for i, c in enumerate(resolve(source, fields))]
+    names = source.select(*resolve(source, fields)).columns
+    rows = source.select("file_idx", "variant_idx", *KEY, *values)
+    got = rows.join(r, on(rows), "inner").dropDuplicates(["range_set", "file_idx", "variant_idx"])
+    return got.select("range_set", "file_idx", "variant_idx", plain_chr(F.col("chr")).alias("chr"), *KEY[1:], *[F.col(f"_v{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _binned(ranges: DataFrame, chr_: str | None = None):
+    """Ranges, a row for each bin they touch, and the condition under which a row of a source lies in one."""
+    extra = [c for c in ranges.columns if c not in ("chr", "start", "end")]
+    r = ranges.select(*extra, (F.lit(chr_) if chr_ else plain_chr(F.col("chr"))).alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e")).where("_s <= _e")
+    r = r.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / BIN), F.floor(F.col("_e") / BIN))))
+    return r, lambda df: (plain_chr(df["chr"]) == r["_c"]) & (F.floor(df["position"] / BIN) == r["_b"]) & df["position"].between(r["_s"], r["_e"])
 
 
 def in_ranges(source: DataFrame, ranges: DataFrame, chr_: str | None = None) -> DataFrame:
@@ -95,10 +182,14 @@ def in_ranges(source: DataFrame, ranges: DataFrame, chr_: str | None = None) ->
 
     Equi-join on (chr, bin) with a residual; a range becomes one row for each bin that it touches, at 16384 positions a bin.
     """
-    r = ranges.select((F.lit(chr_) if chr_ else plain_chr(F.col("chr"))).alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e")).where("_s <= _e")
-    r = r.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / BIN), F.floor(F.col("_e") / BIN))))
-    on = (plain_chr(F.col("chr")) == F.col("_c")) & (F.floor(F.col("position") / BIN) == F.col("_b")) & F.col("position").between(F.col("_s"), F.col("_e"))
-    return source.join(r, on, "left_semi")
+    r, on = _binned(ranges.select("chr", "start", "end") if not chr_ else ranges.select("start", "end"), chr_)
+    return source.join(r, on(source), "left_semi")
+
+
+def by_index(source: DataFrame, index: DataFrame, column: str = "variant_idx") -> DataFrame:
+    """Rows of the source whose variant_idx is in a column of ``index``, each once; null indices select nothing."""
+    wanted = index.select(F.col(column).alias("_i")).distinct()
+    return source.join(wanted, source["variant_idx"] == F.col("_i"), "left_semi")
 
 
 def add_annotations(variants: DataFrame, source: DataFrame, fields, root: str = "", replace: bool = False) -> DataFrame:
@@ -109,3 +200,27 @@ def add_annotations(variants: DataFrame, source: DataFrame, fields, root: str =
     extra = got.select(F.col("_row").alias("variant_idx"), F.struct(*names).alias(root or "_ann"))
     out = variants.join(extra, "variant_idx", "left")
     return out if root else out.select(*[c for c in variants.columns if not (replace and c in names)], "_ann.*")
+
+
+def write_annotated(path: str, source: DataFrame, fields, root: str = "", replace: bool = False, out: str | None = None, drop: tuple[str, ...] = ()) -> str:
+    """The stored table of variants at ``path`` with annotations: in its place, or in a table of its own at ``out``.
+
+    root: name of the struct that holds them (else columns); drop: columns to leave out, such as those of samples.  In place,
+    the new table is written beside the old one, which is moved away only then and deleted last: a job that dies leaves
+    one of them whole under ``path`` or ``path`` with ``-old``.  Descriptions of the source's fields go with them.
+    """
+    spark = source.sparkSession
+    table = spark.read.parquet(path)
+    got = add_annotations(table.drop(*drop), source, fields, root, replace)
+    if out is not None:
+        got.write.mode("errorifexists").parquet(out)
+        return out
+    path = path.rstrip("/")
+    new, old = f"{path}-new", f"{path}-old"
+    if path_exists(spark, old):
+        raise ValueError(f"{old} is left from an earlier run")
+    got.write.mode("overwrite").parquet(new)
+    rename(spark, path, old)
+    rename(spark, new, path)
+    rename(spark, old, None)
+    return path

@@ -1,7 +1,10 @@
 """Additive statistics of annotated variants in one pass.
 
 Every variant and every record is melted into (stat, category) pairs that one aggregate counts: partial sums on the map side,
-one shuffle of as many rows as there are distinct categories a task.  Counters of separate files or loads add up.
+one shuffle of as many rows as there are distinct categories a task.  Where records lie in their variant's row, as importers
+leave them, the most severe consequence of a variant is read off its row; where they are a table of their own, the least rank
+of a variant goes through the same aggregate under the variant's number.  Every table is read once.  Counters of separate files
+or loads add up.
 """
 
 from __future__ import annotations
@@ -16,17 +19,26 @@ RECORD_FIELDS = ("impact", "biotype", "feature_type", "feature")
 IMPACTS = ("HIGH", "MODERATE", "LOW", "MODIFIER")
 
 
-def _pair(stat: str, category: Column) -> Column:
-    return F.struct(F.lit(stat).alias("stat"), category.cast("string").alias("category"))
+PAIRS = "array<struct<stat:string,category:string,rank:int>>"
+#: Rows of the aggregate that stand for a variant, not for a counter.
+VARIANT = "_variant"
+
+
+def _pair(stat: str, category: Column, rank: Column | None = None) -> Column:
+    return F.struct(F.lit(stat).alias("stat"), category.cast("string").alias("category"), (F.lit(None) if rank is None else rank).cast("int").alias("rank"))
+
+
+def _none() -> Column:
+    return F.array().cast(PAIRS)
 
 
 def _when(stat: str, keep: Column, category: Column) -> Column:
-    return F.when(keep, F.array(_pair(stat, category))).otherwise(F.array().cast("array<struct<stat:string,category:string>>"))
+    return F.when(keep, F.array(_pair(stat, category))).otherwise(_none())
 
 
 def _each(stat: str, values: Column) -> Column:
     """Pairs of the non-null members of an array; a null array has none."""
-    return F.coalesce(F.transform(F.array_compact(values), lambda v: _pair(stat, v)), F.array().cast("array<struct<stat:string,category:string>>"))
+    return F.coalesce(F.transform(F.array_compact(values), lambda v: _pair(stat, v)), _none())
 
 
 def variant_pairs() -> Column:
@@ -47,8 +59,9 @@ def variant_pairs() -> Column:
     )
 
 
-def record_pairs() -> Column:
-    c = F.col
+def record_pairs(of=F.col) -> Column:
+    """Pairs of a record; ``of`` gives the column of a slot."""
+    c = of
     terms = A.so_terms(c("consequence"))
     full = lambda n: c(n).isNotNull() & (c(n) != "")
     return F.concat(
@@ -58,14 +71,15 @@ def record_pairs() -> Column:
         _each("func_class", F.transform(terms, A.so_class)),
         *[_when(n, full(n), c(n)) for n in RECORD_FIELDS],
         *[_when(n, full(n), A.before_parenthesis(c(n))) for n in ("sift", "polyphen")],
-        F.when(full("errors"), _each("errors", F.split("errors", "&"))).otherwise(_each("errors", F.array().cast("array<string>"))),
+        F.when(full("errors"), _each("errors", F.split(c("errors"), "&"))).otherwise(_none()),
         _when("gene_impact", full("gene"), F.concat(c("gene"), F.lit("\r"), F.coalesce(c("impact"), F.lit("")))),
     )
 
 
-def severity(records: DataFrame) -> DataFrame:
-    """(variant_idx, rank): the most severe known term of each variant."""
-    return records.groupBy("variant_idx").agg(F.min(A.so_rank(F.col("consequence"))).alias("rank")).where("rank is not null")
+def _severe(rank: Column) -> Column:
+    """Pairs of a variant by the rank of its most severe known term; none where that is null."""
+    term = A.so_term(rank)
+    return F.when(rank.isNotNull(), F.array(_pair("cons_severe", term), _pair("impact_severe", A.so_impact(term)))).otherwise(_none())
 
 
 def count_pairs(df: DataFrame, pairs: Column) -> DataFrame:
@@ -74,17 +88,53 @@ def count_pairs(df: DataFrame, pairs: Column) -> DataFrame:
 
 def counters(variants: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
     """(stat, category, n) of all counters that the given tables allow."""
-    parts = []
+    if records is None:
+        return count_pairs(variants, variant_pairs())
+    of_variant = F.array(_pair(VARIANT, F.col("variant_idx"), A.so_rank(F.col("consequence"))))
+    rows = records.select(F.explode(F.concat(record_pairs(), of_variant)).alias("p"))
     if variants is not None:
-        parts.append(count_pairs(variants, variant_pairs()))
-    if records is not None:
-        parts.append(count_pairs(records, record_pairs()))
-        severe = F.concat(F.array(_pair("cons_severe", A.so_term(F.col("rank")))), F.array(_pair("impact_severe", A.so_impact(A.so_term(F.col("rank"))))))
-        parts.append(count_pairs(severity(records), severe))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows = rows.unionByName(variants.select(F.explode(variant_pairs()).alias("p")))
+    once = rows.groupBy("p.stat", "p.category").agg(F.count(F.lit(1)).alias("n"), F.min("p.rank").alias("rank"))
+    # variants become counts of their most severe term; counters pass as they are
+    counted = F.struct("stat", "category", "n")
+    as_one = F.transform(_severe(F.col("rank")), lambda p: F.struct(p["stat"].alias("stat"), p["category"].alias("category"), F.lit(1).cast("bigint").alias("n")))
+    final = once.select(F.explode(F.when(F.col("stat") == VARIANT, as_one).otherwise(F.array(counted))).alias("x"))
+    return final.groupBy("x.stat", "x.category").agg(F.sum("x.n").alias("n")).select("stat", "category", "n")
+
+
+def annotated_counters(df: DataFrame) -> DataFrame:
+    """All counters of a table whose records lie in the rows of their variants, as the importers of VEP and SnpEff leave them: one
+    read, one shuffle.  Slots that the annotator does not fill count nothing; without records only variants are counted."""
+    from strandloom.operators import catalog
+
+    root, slots = catalog.profile(df)
+    if root is None:
+        return counters(df)
+    records = F.col(f"{root}.list") if "list" in getattr(df.schema[root].dataType, "names", []) else F.col(root)
+    uniform = set(slots.values()) - set(df.select(F.explode(records).alias("r")).select("r.*").columns)
+    if uniform:
+        slots = {s: n for s, n in slots.items() if n not in uniform}
+
+    def of(record: Column):
+        return lambda slot: record[slots[slot]].cast("string") if slot in slots else F.lit(None).cast("string")
+
+    each = F.coalesce(F.flatten(F.transform(records, lambda r: record_pairs(of(r)))), _none())
+    rank = F.array_min(F.transform(records, lambda r: A.so_rank(of(r)("consequence")))) if "consequence" in slots else F.lit(None).cast("int")
+    return count_pairs(df, F.concat(variant_pairs(), each, _severe(rank)))
+
+
+def annotated_records(df: DataFrame) -> DataFrame:
+    """The records of such a table as rows: variant_idx, record_no and the slots of ``catalog.SLOTS`` as columns; slots that the
+    annotator does not fill are null."""
+    from strandloom.operators import catalog
+
+    root, slots = catalog.profile(df)
+    if root is None:
+        raise ValueError("no annotation records")
+    records = F.col(f"{root}.list") if "list" in getattr(df.schema[root].dataType, "names", []) else F.col(root)
+    rows = df.select("variant_idx", F.posexplode(records).alias("_i", "_r"))
+    names = ["gene", "consequence", "impact", "feature", "feature_type", "biotype", "sift", "polyphen", "errors"]
+    return rows.select("variant_idx", (F.col("_i") + 1).alias("record_no"), *[(F.col(f"_r.`{slots[n]}`").cast("string") if n in slots else F.lit(None).cast("string")).alias(n) for n in names])
 
 
 def merge(*parts: DataFrame) -> DataFrame:
@@ -95,6 +145,14 @@ def merge(*parts: DataFrame) -> DataFrame:
     return out.groupBy("stat", "category").agg(F.sum("n").cast("bigint").alias("n"))
 
 
+def merge_ranges(*parts: DataFrame) -> DataFrame:
+    """Ranges of chromosomes of several files or loads as one."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("chr").agg(F.min("pos_min").alias("pos_min"), F.max("pos_max").alias("pos_max"))
+
+
 def position_ranges(variants: DataFrame) -> DataFrame:
     return variants.where("chr is not null").groupBy("chr").agg(F.min("position").alias("pos_min"), F.max("position").alias("pos_max"))
 
@@ -145,7 +203,3 @@ def percent_of_total(counted: DataFrame) -> DataFrame:
 
     total = F.sum("n").over(Window.partitionBy("stat"))  # over counters, of which there are few
     return counted.select("stat", "category", "n", F.round(F.col("n") * 100 / total, 2).alias("percent"))
-
-
-def so_table(spark) -> DataFrame:
-    return spark.createDataFrame([(t[0], i + 1, *t[1:]) for i, t in enumerate(SO_TERMS)], "term string, rank int, impact string, class string, region string")

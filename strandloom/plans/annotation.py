@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from strandloom.dictionaries import SO_TERMS
 from strandloom.functions import annotation as A
 from strandloom.operators import catalog, counts, lookup, packed, stats
 from strandloom.session import checkpoint_dir, read
+from strandloom.sources import vcf
 
 QUERIES, SQL = {}, {}
 
@@ -51,6 +53,16 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
     return parsed.where("k is not null").select("_row", "k.*")
 
 
+def _apart(df: DataFrame, *names: str) -> DataFrame:
+    """Scores that are no number, which is equal to nothing, as null, with a column that tells them from missing ones."""
+    return df.withColumns({f"{n}_nan": F.coalesce(F.isnan(n), F.lit(False)) for n in names} | {n: F.when(~F.isnan(n), F.col(n)) for n in names})
+
+
+def _apart_sql(sql: str, *names: str) -> str:
+    cols = ", ".join(f"coalesce(isnan({n}), false) as {n}_nan, case when not isnan({n}) then {n} end as {n}" for n in names)
+    return f"select * exclude ({', '.join(names)}), {cols} from ({sql})"
+
+
 _CHR = "regexp_replace(chr, '^chr', '')"
 _KEYSQL = rf"""keys as (select _row, regexp_replace(p[1], '^chr', '') as chr, try_cast(case when regexp_full_match(p[2], '\s*[+-]?[0-9]+\s*') then p[2] end as integer) as position, p[3] as ref, p[4] as alt
   from (select _row, regexp_split_to_array(regexp_replace(key, '[-_:]$', ''), '[-_:]') as p from (
@@ -61,15 +73,15 @@ _FIRST = f"""first as (select * from (select {_CHR} as c, position as p, ref as
 _JOIN = "from keys left join first on c = chr and p = position and r = ref and a = alt"
 
 
-@query(f"with {_KEYSQL}, {_FIRST} select _row, chr, position, ref, alt, info.cadd_phred as cadd_phred, info.linsight as linsight, id {_JOIN}")
+@query(_apart_sql(f"with {_KEYSQL}, {_FIRST} select _row, chr, position, ref, alt, info.cadd_phred as cadd_phred, info.linsight as linsight, id {_JOIN}", "cadd_phred", "linsight"))
 def annot_key_left(spark, d):
-    return lookup.annotate_rows(_parsed(spark, d), _source(spark, d), ["cadd_phred", "linsight", ":id"])
+    return _apart(lookup.annotate_rows(_parsed(spark, d), _source(spark, d), ["cadd_phred", "linsight", ":id"]), "cadd_phred", "linsight")
 
 
-@query(f"with {_FIRST} select variant_idx0 as _row, chr, position, ref, alt, info.cadd_phred as cadd_phred from (select variant_idx as variant_idx0, {_CHR} as chr, position, ref, alt from variants) left join first on c = chr and p = position and r = ref and a = alt")
+@query(_apart_sql(f"with {_FIRST} select variant_idx0 as _row, chr, position, ref, alt, info.cadd_phred as cadd_phred from (select variant_idx as variant_idx0, {_CHR} as chr, position, ref, alt from variants) left join first on c = chr and p = position and r = ref and a = alt", "cadd_phred"))
 def annot_key_df(spark, d):
     v = _variants(spark, d).withColumnRenamed("position", "pos")
-    return lookup.annotate(v, _source(spark, d), ["cadd_phred"], row="variant_idx")
+    return _apart(lookup.annotate(v, _source(spark, d), ["cadd_phred"], row="variant_idx", ordered=False), "cadd_phred")
 
 
 @query(f"with {_KEYSQL}, {_FIRST}, last as (select {_CHR} as lc, max(load_id) as m from variants group by 1) select _row, chr, position, ref, alt, variant_idx, coalesce(file_idx, m) as file_idx {_JOIN} left join last on lc = chr")
@@ -82,14 +94,14 @@ def annot_first_file_wins(spark, d):
     return lookup.first_of_key(_source(spark, d), [F.lit(1)]).select(*lookup.KEY, "_at.*").select(*lookup.KEY, "file_idx", "variant_idx")
 
 
-@query(f"with {_KEYSQL}, {_FIRST} select _row, chr, position, ref, alt, info.cadd_phred as score, info.apc_conservation as cons {_JOIN}")
+@query(_apart_sql(f"with {_KEYSQL}, {_FIRST} select _row, chr, position, ref, alt, info.cadd_phred as score, info.apc_conservation as cons {_JOIN}", "score", "cons"))
 def annot_alias(spark, d):
-    return lookup.annotate_rows(_parsed(spark, d), _source(spark, d), {"score": "cadd_phred", "cons": "info/apc_conservation"})
+    return _apart(lookup.annotate_rows(_parsed(spark, d), _source(spark, d), {"score": "cadd_phred", "cons": "info/apc_conservation"}), "score", "cons")
 
 
-@query(f"with {_KEYSQL}, {_FIRST}, s as (select f.*, v.allele, v.qual, v.filter, v.position as pos2, v.chr as chr2 from first f join variants v using (variant_idx)) select _row, keys.chr, keys.position, keys.ref, keys.alt, chr2 as ann_chr, pos2 as ann_pos, allele, id, qual, filter from keys left join s on c = keys.chr and p = keys.position and r = keys.ref and a = keys.alt")
+@query(_apart_sql(f"with {_KEYSQL}, {_FIRST}, s as (select f.*, v.allele, v.qual, v.filter, v.position as pos2, v.chr as chr2 from first f join variants v using (variant_idx)) select _row, keys.chr, keys.position, keys.ref, keys.alt, chr2 as ann_chr, pos2 as ann_pos, allele, id, qual, filter from keys left join s on c = keys.chr and p = keys.position and r = keys.ref and a = keys.alt", "qual"))
 def annot_special_fields(spark, d):
-    return lookup.annotate_rows(_parsed(spark, d), _source(spark, d), {"ann_chr": ":chromosome", "ann_pos": ":position", "allele": ":allele", "id": ":id", "qual": ":qual", "filter": ":filter"})
+    return _apart(lookup.annotate_rows(_parsed(spark, d), _source(spark, d), {"ann_chr": ":chromosome", "ann_pos": ":position", "allele": ":allele", "id": ":id", "qual": ":qual", "filter": ":filter"}), "qual")
 
 
 def _ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -111,20 +123,69 @@ def annot_range_single_chr(spark, d):
     return lookup.in_ranges(_variants(spark, d), _ranges(spark, d), "7").select("variant_idx", "position")
 
 
-@query(f"with {_FIRST} select v.variant_idx, f.info.cadd_phred as cadd_phred, f.info.linsight as linsight from variants v left join first f on c = regexp_replace(v.chr, '^chr', '') and p = v.position and r = v.ref and a = v.alt")
+@query(_apart_sql(f"with {_FIRST} select v.variant_idx, f.info.cadd_phred as cadd_phred, f.info.linsight as linsight from variants v left join first f on c = regexp_replace(v.chr, '^chr', '') and p = v.position and r = v.ref and a = v.alt", "cadd_phred", "linsight"))
 def annot_write_roundtrip(spark, d):
     """Annotations written beside the variants and read again."""
     out = os.path.join(checkpoint_dir(spark), f"annotated-{abs(hash(d))}-{spark.sparkContext.applicationId}")
     v = _variants(spark, d).select("variant_idx", "chr", "position", "ref", "alt")
     lookup.add_annotations(v, _source(spark, d), ["cadd_phred", "linsight"], root="found").write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out).select("variant_idx", "found.cadd_phred", "found.linsight")
+    return _apart(spark.read.parquet(out).select("variant_idx", "found.cadd_phred", "found.linsight"), "cadd_phred", "linsight")
 
 
-@query()
+_TYPES = {"VARCHAR": "string", "BOOLEAN": "boolean", "FLOAT": "float", "DOUBLE": "double", "INTEGER": "int", "BIGINT": "bigint"}
+_TYPE_OF = "case t " + " ".join(f"when '{a}' then '{b}'" for a, b in _TYPES.items()) + " end"
+
+
+@query(f"""with t as (select typeof(info) as s from variants limit 1), x as (select unnest(regexp_extract_all(s, '("?[A-Za-z_0-9]+"?) ([A-Z]+)[,)]', 1)) as n, unnest(regexp_extract_all(s, '("?[A-Za-z_0-9]+"?) ([A-Z]+)[,)]', 2)) as t from t)
+select replace(n, '"', '') as name, {_TYPE_OF} as type, 'vector' as trait, null::varchar as description from x""")
 def annot_list(spark, d):
     return catalog.annotation_list(_variants(spark, d))
 
 
+@query(f"with {_FIRST}, got as (select v.variant_idx as _row, regexp_replace(v.chr, '^chr', '') as chr, v.position, v.ref, v.alt, f.info as i from variants v left join first f on c = regexp_replace(v.chr, '^chr', '') and p = v.position and r = v.ref and a = v.alt) " + _apart_sql("select _row, chr, position, ref, alt, i.variant_type, i.allele_type, i.was_mixed, i.cadd_phred, i.linsight, i.apc_conservation, i.apc_epigenetics, i.CSQ, i.ANN from got", "cadd_phred", "linsight", "apc_conservation", "apc_epigenetics"))
+def annot_all_fields(spark, d):
+    """No fields named: all leaves of info."""
+    got = lookup.annotate(_variants(spark, d).withColumnRenamed("position", "pos"), _source(spark, d), row="variant_idx", ordered=False)
+    return _apart(got, "cadd_phred", "linsight", "apc_conservation", "apc_epigenetics")
+
+
+@query(f"with {_FIRST} select row_number() over (order by v.variant_idx) as place, v.variant_idx as _row, f.variant_idx from variants v left join first f on c = regexp_replace(v.chr, '^chr', '') and p = v.position and r = v.ref and a = v.alt where v.chr is not null")
+def annot_order(spark, d):
+    """Annotations come in the order of the keys: the place of each row among those that come."""
+    v = _variants(spark, d).where("chr is not null").withColumnRenamed("position", "pos")
+    got = lookup.annotate(v.repartition(7, "ref"), _source(spark, d), [], row="variant_idx")
+    return vcf.numbered(got, "place").select("place", "_row", "variant_idx")
+
+
+@query(f"with {_FIRST} " + _apart_sql("select v.variant_idx as _row, f.info.cadd_phred as cadd_phred from variants v left join first f on c = regexp_replace(v.chr, '^chr', '') and p = v.position and r = v.ref and a = v.alt", "cadd_phred"))
+def annot_table_file(spark, d):
+    """The variants of a stored table, named by its path."""
+    return _apart(lookup.annotate(f"{d}/variants.parquet", _source(spark, d), ["cadd_phred"], ordered=False).select("_row", "cadd_phred"), "cadd_phred")
+
+
+@query("select variant_idx, load_id, chr, position from variants where variant_idx in (select variant_idx from records where impact = 'HIGH')")
+def annot_by_index(spark, d):
+    """Variants by a list of indices: those that have a record of high impact."""
+    return lookup.by_index(_variants(spark, d), _records(spark, d).where("impact = 'HIGH'")).select("variant_idx", "load_id", "chr", "position")
+
+
+@query(f"with {_RANGES}, sets as (select case when rc in ('1', '2', '3') then 0 else 1 end as range_set, * from rg) select distinct range_set, load_id as file_idx, variant_idx, {_CHR} as chr, variants.position, ref, alt, id from sets join variants on rc = {_CHR} and variants.position between s and e")
+def annot_range_sets(spark, d):
+    """Several sets of ranges at once: rows once per set."""
+    r = _ranges(spark, d)
+    first = F.col("chr").isin("1", "2", "3")
+    return lookup.annotate_ranges(_source(spark, d), [r.where(first), r.where(~first)], [":id"])
+
+
+@query(f"with {_FIRST} " + _apart_sql("select v.* exclude (info), f.info.cadd_phred as found_cadd from variants v left join first f on c = regexp_replace(v.chr, '^chr', '') and p = v.position and r = v.ref and a = v.alt", "found_cadd", "qual"))
+def annot_in_place(spark, d):
+    """A stored table that gets annotations in its place."""
+    out = os.path.join(checkpoint_dir(spark), f"in-place-{uuid.uuid4().hex}")
+    _variants(spark, d).write.parquet(out)
+    lookup.write_annotated(out, _source(spark, d), {"found_cadd": "cadd_phred"}, drop=("info",))
+    return _apart(spark.read.parquet(out), "found_cadd", "qual")
+
+
 # ---- records and scalar functions
 
 
@@ -157,10 +218,16 @@ def split_uniform_first_all(spark, d):
 
 @query("select doc_id, replace(replace(author, 'e', '='), 'o', ';') as decoded from documents where author is not null")
 def decode_hex(spark, d):
-    hexed = F.replace(F.replace("author", F.lit("e"), F.lit("\\x3d")), F.lit("o"), F.lit("\\x3b"))
+    """Escapes nested five levels deep."""
+    hexed = F.replace(F.replace("author", F.lit("e"), F.lit("\\x5cx5cx5cx5cx3d")), F.lit("o"), F.lit("\\x3b"))
     return read(spark, d, "documents").where("author is not null").select("doc_id", A.decode_hex(hexed).alias("decoded"))
 
 
+@query("select variant_idx, case when isfinite(info.cadd_phred) then info.cadd_phred end as cadd, case when isfinite(qual) then qual end as qual from variants")
+def finite_scores(spark, d):
+    return _variants(spark, d).select("variant_idx", A.finite_or_null(F.col("info.cadd_phred")).alias("cadd"), A.finite_or_null(F.col("qual")).alias("qual"))
+
+
 @query(r"""select line_id, case when regexp_full_match(f, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*') then try_cast(trim(f) as double) end as as_number,
   case when regexp_full_match(f, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*') then try_cast(trunc(try_cast(trim(f) as double)) as integer) end as as_integer from (select line_id, split_part(raw, ',', 7) as f from conversionfavor)""")
 def typed_try_cast(spark, d):
@@ -198,11 +265,9 @@ def value_counts_complete(spark, d):
 
 @query("select gene, n, row_number() over (order by gene asc nulls last) as place from (select gene, count(*) as n from records group by gene)")
 def value_counts_null_last(spark, d):
-    from pyspark.sql.window import Window
-
     got = counts.value_counts(_records(spark, d), {"gene": F.col("gene")})
-    # one row a gene: the window orders the counted table, not the records
-    return got.select("gene", "n", F.row_number().over(Window.orderBy(F.col("gene").asc_nulls_last())).alias("place"))
+    # sorted by range and numbered from the counts of the partitions: no task orders all values
+    return vcf.numbered(got.orderBy(F.col("gene").asc_nulls_last()), "place").select("gene", "n", "place")
 
 
 @query("select impact, count(*) as n from (select distinct variant_idx, impact from records) group by all")
@@ -257,6 +322,32 @@ def unit_group_multi_key(spark, d):
     return _units(counts.unit_groups(_entries(spark, d), ["gene", "impact"]))
 
 
+@query(f"with {_ENTRIES}, u as (select gene, {_UNIT}, min(variant_idx) as lowest from e where gene <> '' group by gene) select row_number() over (order by lowest, gene) as place, gene, index from u")
+def unit_group_order(spark, d):
+    """Groups in the order of their first index."""
+    got = vcf.numbered(counts.unit_groups(_entries(spark, d), ["gene"], ordered=True), "place")
+    return got.select("place", "gene", F.array_join("index", ",").alias("index"))
+
+
+@query("select info.variant_type as variant_type, min_by(chr, variant_idx) as chr, min_by(position, variant_idx) as first_position, max_by(position, variant_idx) as last_position, array_to_string(list_sort(list(distinct variant_idx)), ',') as index from variants where info.variant_type <> '' group by 1")
+def unit_group_info(spark, d):
+    """Units by a field of info that has one value per variant."""
+    return _units(counts.unit_groups(_variants(spark, d), ["info/variant_type"])).withColumnRenamed("info/variant_type", "variant_type")
+
+
+@query(f"with {_ENTRIES} select gene, (variant_idx // 65536)::bigint as container, array_to_string(list_sort(list(distinct variant_idx)), ',') as index, count(distinct variant_idx) as n from e where gene <> '' group by all")
+def unit_members(spark, d):
+    """Units of any size: a row for each container of neighbouring indices."""
+    got = counts.unit_members(_entries(spark, d), ["gene"])
+    return got.select("gene", "container", F.array_join("index", ",").alias("index"), F.size("index").cast("bigint").alias("n"))
+
+
+@query(f"with {_ENTRIES} select gene, count(distinct variant_idx) as n, min_by(chr, variant_idx) as chr, min_by(position, variant_idx) as first_position, max_by(position, variant_idx) as last_position from e where gene <> '' group by gene")
+def unit_ranges(spark, d):
+    got = counts.unit_ranges(counts.unit_members(_entries(spark, d), ["gene"]), ["gene"])
+    return got.withColumnsRenamed({"start": "first_position", "end": "last_position"})
+
+
 # ---- statistics: one counter each, then all of them in one pass
 
 _SO = "so(term, rank, impact, class, region) as (values " + ", ".join(f"('{t[0]}', {i + 1}, '{t[1]}', {repr(t[2]) if t[2] else 'null'}, '{t[3]}')" for i, t in enumerate(SO_TERMS)) + ")"
@@ -340,6 +431,14 @@ def stat_merge(spark, d):
     return stats.merge(stats.counters(variants=v.where(half)), stats.counters(variants=v.where(~half))).where("stat = 'known'")
 
 
+@query("select chr, min(position) as pos_min, max(position) as pos_max from variants where chr is not null group by chr")
+def stat_merge_ranges(spark, d):
+    """Ranges of chromosomes of two halves of the loads, merged."""
+    v = _variants(spark, d)
+    half = F.coalesce(F.col("load_id"), F.lit(0)) <= 3
+    return stats.merge_ranges(stats.position_ranges(v.where(half)), stats.position_ranges(v.where(~half)))
+
+
 _GENES = "select gene, count(*) as total, count(*) filter (impact = 'HIGH') as HIGH, count(*) filter (impact = 'MODERATE') as MODERATE, count(*) filter (impact = 'LOW') as LOW, count(*) filter (impact = 'MODIFIER') as MODIFIER, count(*) filter (coalesce(impact, '') not in ('', 'HIGH', 'MODERATE', 'LOW', 'MODIFIER')) as other, count(*) filter (coalesce(impact, '') = '') as unknown from records where gene <> '' group by gene"
 
 

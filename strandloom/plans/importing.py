@@ -6,14 +6,16 @@ import os
 import tarfile
 import uuid
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import annotation as A
-from strandloom.operators import report, stats
-from strandloom.plans.annotation import _COUNTERS
+from strandloom.operators import lookup, report, stats
+from strandloom.plans.annotation import _COUNTERS, _FIRST, _QUAL, _apart, _apart_sql, _source
 from strandloom.session import checkpoint_dir, read, ship
 from strandloom.sources import favor, tables, vcf
+from strandloom.sources.footers import file_system
 from strandloom.streaming import counters
 
 QUERIES, SQL = {}, {}
@@ -91,6 +93,86 @@ def import_snpeff(spark, d):
     return got.select(F.col("info.VIDS").cast("bigint").alias("vid"), F.size("ANN").cast("bigint").alias("n_records"), F.array_max(F.transform("ANN", lambda r: r["Feature_ID"])).alias("last_feature"))
 
 
+@query(f"select v.variant_idx as vid, {_CLEAN.format('gene')} as gene, record_no as n_transcripts, 0.5::float as share, 'LOF' as root from records r join (select * from variants {_WHERE}) v using (variant_idx) union all select v.variant_idx, {_CLEAN.format('feature')}, record_no, 0.25::float, 'NMD' from records r join (select * from variants {_WHERE}) v using (variant_idx)")
+def import_snpeff_lof(spark, d):
+    """LOF and NMD records, in parentheses, beside a header that has no ANN."""
+    ship(spark)
+    out = _folder(spark, "lof")
+    desc = "'Gene_Name | Gene_ID | Number_of_transcripts_in_gene | Percent_of_transcripts_affected'"
+    clean = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[|,;=\s]", "_")
+    piped = lambda c, share: F.concat(F.lit("("), F.concat_ws("|", clean(c), F.lit("id"), F.col("record_no").cast("string"), F.lit(share)), F.lit(")"))
+    r = read(spark, d, "records").groupBy("variant_idx").agg(F.array_join(F.collect_list(piped("gene", "0.5")), ",").alias("lof"), F.array_join(F.collect_list(piped("feature", "0.25")), ",").alias("nmd"))
+    df = _plain(spark, d).join(r, "variant_idx", "left")
+    vcf.write(df, out, {"VIDS": (F.col("variant_idx").cast("string"), "1", "String", "number"), "LOF": (F.col("lof"), ".", "String", desc), "NMD": (F.col("nmd"), ".", "String", desc)})
+    got = vcf.import_snpeff(spark, out)
+    each = F.explode(F.array(F.struct(F.lit("LOF").alias("root"), F.col("LOF").alias("rs")), F.struct(F.lit("NMD").alias("root"), F.col("NMD").alias("rs")))).alias("x")
+    rows = got.select(F.col("info.VIDS").cast("bigint").alias("vid"), each).select("vid", "x.root", F.explode("x.rs").alias("r"))
+    return rows.select("vid", F.col("r.Gene_Name").alias("gene"), F.col("r.Number_of_transcripts_in_gene").alias("n_transcripts"), F.col("r.Percent_of_transcripts_affected").alias("share"), "root")
+
+
+_SLOTS = ("consequence", "impact", "gene", "feature", "feature_type", "biotype", "sift", "polyphen", "errors")
+_IMPORTED = "with records as (select v.variant_idx, " + ", ".join(f"{_CLEAN.format('r.' + c)} as {c}" for c in _SLOTS) + f" from records r join (select * from variants {_WHERE}) v using (variant_idx)) "
+_STATS = ("n_annot", "cons_all", "region", "func_class", "cons_severe", "impact_severe", "impact", "biotype", "feature_type", "feature", "gene_impact")
+
+
+def _stats_sql(names: tuple[str, ...]) -> str:
+    """Counters of the records as they come out of a file."""
+    return _IMPORTED.replace("from records r", "from main.records r") + " union all ".join(f"select '{n}' as stat, category, n from ({_COUNTERS[n]})" for n in names) + f" union all select 'n_var', 'n', count(*) from variants {_WHERE}"
+
+
+@query(f"select v.variant_idx as vid, n.n_records, 'SNV' as class, 0.5::float as af from (select * from variants {_WHERE}) v join (select variant_idx, count(*) as n_records from records group by 1) n using (variant_idx)")
+def import_vep_uniform(spark, d):
+    """Fields with one value per variant come beside the list of the others."""
+    ship(spark)
+    out = _folder(spark, "vep")
+    df = _with_records(spark, d, [F.lit("A"), F.col("consequence"), F.lit("SNV"), F.lit("0.5")])
+    vcf.write(df, out, {"VIDS": (F.col("variant_idx").cast("string"), "1", "String", "number"), "CSQ": (F.col("packed"), ".", "String", "From a tool. Format: Allele|Consequence|VARIANT_CLASS|AF")})
+    got = vcf.import_vep(spark, out).where("CSQ.uniform is not null")
+    return got.select(F.col("info.VIDS").cast("bigint").alias("vid"), F.size("CSQ.list").cast("bigint").alias("n_records"), F.col("CSQ.uniform.VARIANT_CLASS").alias("class"), F.col("CSQ.uniform.AF").alias("af"))
+
+
+@query(_stats_sql((*_STATS, "sift", "polyphen")))
+def stat_from_vep(spark, d):
+    """A file of VEP is imported and counted: its records, and its variants by the most severe one."""
+    ship(spark)
+    out = _folder(spark, "vep")
+    df = _with_records(spark, d, [F.lit("A"), *map(F.col, ("consequence", "impact", "gene", "feature", "feature_type", "biotype", "sift", "polyphen")), F.lit("0.5")])
+    desc = "From a tool. Format: Allele|Consequence|IMPACT|SYMBOL|Feature|Feature_type|BIOTYPE|SIFT|PolyPhen|AF"
+    vcf.write(df, out, {"CSQ": (F.col("packed"), ".", "String", desc)})
+    return stats.annotated_counters(vcf.import_vep(spark, out)).where(F.col("stat").isin("n_var", *_STATS, "sift", "polyphen"))
+
+
+@query(_stats_sql((*_STATS, "errors")))
+def stat_from_snpeff(spark, d):
+    ship(spark)
+    out = _folder(spark, "snpeff")
+    df = _with_records(spark, d, [F.lit("A"), *map(F.col, ("consequence", "impact", "gene", "feature", "feature_type", "biotype", "errors"))])
+    desc = "Functional annotations: 'Allele | Annotation | Annotation_Impact | Gene_Name | Feature_ID | Feature_Type | Transcript_BioType | ERRORS / WARNINGS / INFO'"
+    vcf.write(df, out, {"ANN": (F.col("packed"), ".", "String", desc)})
+    return stats.annotated_counters(vcf.import_snpeff(spark, out)).where(F.col("stat").isin("n_var", *_STATS, "errors"))
+
+
+@query(f"with {_FIRST} " + _apart_sql("select regexp_replace(v.chr, '^chr', '') as chr, v.position, v.ref, v.alt, f.info.cadd_phred as cadd from (select * from variants " + _WHERE + ") v left join first f on c = regexp_replace(v.chr, '^chr', '') and p = v.position and r = v.ref and a = v.alt", "cadd"))
+def annot_vcf_file(spark, d):
+    """The variants of a variant call file, named by its path."""
+    ship(spark)
+    out = _folder(spark, "given") + ".vcf"
+    vcf.write(_plain(spark, d), out, {})
+    return _apart(lookup.annotate(out, _source(spark, d), {"cadd": "cadd_phred"}, ordered=False).drop("_row"), "cadd")
+
+
+@query(f"select variant_idx as vid, row_number() over (order by case when variant_idx % 40 = 0 then 0 when variant_idx % 40 > 5 then 1 else 2 end, variant_idx) as variant_idx from variants {_WHERE}")
+def vcf_row_numbers(spark, d):
+    """Three files of a folder, the largest one in the middle: rows are numbered in the order of the files."""
+    out = _folder(spark, "three")
+    k = F.col("variant_idx") % 40
+    line = F.concat_ws("\t", "chr", "position", F.concat(F.lit("v"), "variant_idx"), "ref", "alt", F.lit("."), F.lit("."), F.lit("."))
+    rows = _plain(spark, d).select(F.when(k == 0, 0).when(k > 5, 1).otherwise(2).alias("part"), F.col("variant_idx").alias("k"), line.alias("value"))
+    heads = spark.createDataFrame([(p, i - 2, t) for p in range(3) for i, t in enumerate(("##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"))], "part int, k long, value string")
+    heads.unionByName(rows).repartition(3, "part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").text(out)
+    return vcf.import_plain(spark, out).select(F.substring("id", 2, 20).cast("bigint").alias("vid"), "variant_idx")
+
+
 @query(f"select variant_idx as vid, coalesce(info.variant_type, '') || ';x=1' as gene_detail, case when isfinite(info.cadd_phred) then info.cadd_phred end as cadd from variants {_WHERE} and regexp_full_match(coalesce(info.variant_type, ''), '[A-Za-z-]*')")
 def import_annovar(spark, d):
     """Types spelt with letters and '-' only, as they stand; import_annovar_all has every variant."""
@@ -104,6 +186,18 @@ def import_annovar_all(spark, d):
     return _annovar(spark, read(spark, d, "variants"), A.encode_hex(F.concat(F.coalesce("info.variant_type", F.lit("")), F.lit(";x=1"))))
 
 
+@query(f"select variant_idx as vid, true as only_scores from variants {_WHERE}")
+def import_annovar_scores(spark, d):
+    """Without the fields of gene models."""
+    v = _plain(spark, d)
+    ship(spark)
+    out = _folder(spark, "annovar")
+    infos = {"VIDS": (F.col("variant_idx").cast("string"), "1", "String", "number")} | {n: (F.lit("x"), ".", "String", n) for n in ("Func.refGene", "Gene.refGene", "ExonicFunc.refGene", "AAChange.refGene")} | {"AF": (F.lit("0.5"), ".", "String", "AF")}
+    vcf.write(v, out, infos)
+    got = vcf.import_annovar(spark, out, keep=False)
+    return got.select(F.col("info.VIDS").cast("bigint").alias("vid"), (F.lit(got.schema["info"].dataType.simpleString() == "struct<VIDS:string,AF:float>") & (F.col("info.AF") == 0.5)).alias("only_scores"))
+
+
 def _annovar(spark: SparkSession, v: DataFrame, detail: Column) -> DataFrame:
     """Variants written with a gene detail and a score, and imported."""
     ship(spark)
@@ -141,19 +235,21 @@ def import_favor_csv(spark, d):
     return got.select("chr", "position", "ref", "alt", "allele", "id", "filter", F.col("info.FAVOR.cadd_phred").alias("cadd"))
 
 
-@query(_CSV.format(id="'rs' || variant_idx", filter="null::varchar"))
+@query(_CSV.format(id="'rs' || variant_idx", filter="null::varchar").replace("select chr", "select row_number() over (order by variant_idx) as variant_idx, chr", 1))
 def import_favor_tar(spark, d):
-    """The archive is packed and unpacked by the driver, as such archives are delivered; lines are read by the executors."""
-    folder = _folder(spark, "tar").removeprefix("file:")
-    local = os.path.abspath("/" + folder.lstrip("/"))
-    _csv(spark, d).write.option("header", True).option("escape", '"').csv("file://" + local)
-    names = sorted(n for n in os.listdir(local) if n.endswith(".csv"))
-    os.makedirs(local + "/members")
-    with tarfile.open(local + "/all.tar.gz", "w:gz") as tar:
-        for i, n in enumerate(names):
-            tar.add(f"{local}/{n}", arcname=f"chr_{i + 1}.csv")
-    got = favor.read_tar(spark, local + "/all.tar.gz", local + "/members", _TYPES)
-    return got.select("chr", "position", "ref", "alt", "allele", "id", "filter", F.col("info.cadd_phred").alias("cadd"))
+    """An archive whose members lie out of order; it is packed here as a stream on shared storage."""
+    folder = _folder(spark, "tar")
+    _csv(spark, d).orderBy(F.substring("rsid", 3, 20).cast("bigint")).write.option("header", True).option("escape", '"').csv(folder)
+    fs, path = file_system(folder)
+    names = sorted(f.path for f in fs.get_file_info(FileSelector(path)) if f.path.endswith(".csv"))
+    with fs.open_output_stream(path + "/all.tar.gz", compression=None) as out, tarfile.open(fileobj=out, mode="w|gz") as tar:
+        for i in reversed(range(len(names))):
+            member = tarfile.TarInfo(f"chr_{i + 1}.csv")
+            member.size = fs.get_file_info(names[i]).size
+            with fs.open_input_stream(names[i]) as source:
+                tar.addfile(member, source)
+    got = favor.read_tar(spark, folder + "/all.tar.gz")
+    return got.select("variant_idx", "chr", "position", "ref", "alt", "allele", "id", "filter", F.col("info.cadd_phred").alias("cadd"))
 
 
 @query("select variant_idx, chr, position, ref, alt from variants where chr is not null")
@@ -186,9 +282,12 @@ def tsv_roundtrip_all(spark, d):
     return got.withColumnsRenamed({c: c.removeprefix("info.") for c in got.columns})
 
 
-@query()
+_DIGESTED = ("chr", "position", "ref", "alt", "id", "filter")
+
+
+@query(" union all ".join(f"select '{c}' as column_name, sum(('0x' || substr(md5(variant_idx || '|' || coalesce('=' || {c}, '')), 1, 8))::bigint)::bigint as digest from variants" for c in _DIGESTED))
 def table_digests(spark, d):
-    return tables.digests(read(spark, d, "variants").select("variant_idx", "chr", "position", "ref", "alt", "id", "filter"))
+    return tables.digests(read(spark, d, "variants").select("variant_idx", *_DIGESTED))
 
 
 @query("select category, n from (" + _COUNTERS["impact"] + ")")
@@ -205,9 +304,23 @@ def stream_counters(spark, d):
     return counters.total(spark, out).where("stat = 'impact'").select("category", "n")
 
 
-@query()
+_REPORTED = _COUNTERS | {"qual": f"select {_QUAL} as category, count(*) as n from variants where qual is not null and not isnan(qual) group by 1"}
+_SPAN = "select sum(s) as span from (select max(position) - min(position) + 1 as s from variants where chr is not null group by chr having count(position) > 0)"
+
+
+@query(
+    " union all ".join(f"select '{title}' as title, category, n::varchar as value from ({_REPORTED[name]})" for title, name, _ in report.SECTIONS)
+    + """ union all (select 'Genes with most records', gene, n::varchar from (select gene, count(*) as n from records where gene <> '' group by gene order by n desc, gene limit 20))
+union all select 'General information', 'Source', 'variants'
+union all select 'General information', 'Variants', format('{:,}', count(*)) from variants
+union all select 'General information', 'Annotation records', format('{:,}', count(*)) from records
+union all select 'General information', 'Genes', format('{:,}', count(distinct gene)) from records where gene <> ''
+union all select 'General information', 'Features', format('{:,}', count(distinct feature)) from records where feature <> ''"""
+    + f" union all select 'General information', 'Span', format('{{:,}}', span::bigint) from ({_SPAN}) union all select 'General information', 'Bases per variant', format('{{:,.2f}}', span / (select count(*) from variants)) from ({_SPAN})"
+)
 def report_sections(spark, d):
     """The content of a report, row by row."""
-    got = report.collect(stats.counters(read(spark, d, "variants"), read(spark, d, "records")), "variants")
-    rows = [(i, s["title"], str(k), str(v)) for i, s in enumerate(report.sections(got)) for k, v in s.get("pairs", s.get("rows", [])) if k != "Generated"]
-    return spark.createDataFrame(rows, "section int, title string, category string, value string")
+    v = read(spark, d, "variants")
+    got = report.collect(stats.counters(v, read(spark, d, "records")), "variants", ranges=stats.position_ranges(v))
+    rows = [(s["title"], str(k), str(n)) for s in report.sections(got) for k, n in s.get("pairs", s.get("rows", [])) if k != "Generated"]
+    return spark.createDataFrame(rows, "title string, category string, value string")

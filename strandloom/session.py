@@ -54,6 +54,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def rename(spark: SparkSession, path: str, to: str | None) -> None:
+    """Move a folder within its storage, or delete it."""
+    fs, p = _file_system(spark, path)
+    done = fs.delete(p, True) if to is None else fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(to))
+    if not done:
+        raise OSError(f"could not {'delete' if to is None else 'move'} {path}")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table that is read in fewer tasks than there are cores, dealt out to all of them before costly work on its rows.
     Tables of more parts, as all large ones are, stay as they are and are not shuffled."""

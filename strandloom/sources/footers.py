@@ -71,14 +71,18 @@ class _Compact:
         return out
 
 
-def open_file(uri: str):
-    """An Arrow input file for a path as Spark names it (``file:///...`` with escapes, or another file system)."""
+def file_system(uri: str):
+    """(file system of Arrow, path) for a path as Spark names it (``file:/...`` with escapes, or another file system)."""
     import pyarrow.fs as pafs
 
     parts = urlparse(uri)
     if parts.scheme in ("", "file"):
-        return pafs.LocalFileSystem().open_input_file(unquote(parts.path) if parts.scheme else uri)
-    fs, path = pafs.FileSystem.from_uri(uri)
+        return pafs.LocalFileSystem(), unquote(parts.path) if parts.scheme else uri
+    return pafs.FileSystem.from_uri(uri)
+
+
+def open_file(uri: str):
+    fs, path = file_system(uri)
     return fs.open_input_file(path)
 
 

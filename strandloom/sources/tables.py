@@ -100,8 +100,10 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """(column, digest): an order-free digest of each column's values beside their row's variant_idx."""
-    sums = [F.sum((F.xxhash64("variant_idx", c) % 1_000_000_007).cast("bigint")).alias(c) for c in df.columns if c != "variant_idx"]
+    """(column_name, digest): an order-free digest of each column's values beside their row's variant_idx: the sum of the first
+    32 bits of the MD5 of both as text; null differs from every text."""
+    each = lambda c: F.md5(F.concat_ws("|", F.col("variant_idx").cast("string"), F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")))).substr(1, 8)
+    sums = [F.sum(F.conv(each(c), 16, 10).cast("bigint")).alias(c) for c in df.columns if c != "variant_idx"]
     row = df.agg(*sums)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("digest")) for c in row.columns]))
     return row.select(pairs.alias("x")).select("x.*")

@@ -1,7 +1,11 @@
 """Variant call files: reader, importers for the common annotators, writer.
 
-The header is read on the driver; lines are split and typed on the executors in one map-only pass.  Rows get a consecutive
-``variant_idx`` in file order from per-partition counts.
+The header is read on the driver, to its end; lines are split and typed on the executors in one map-only pass, and INFO is cut
+into its fields once a line.  Rows get a consecutive ``variant_idx``: files in the order of their paths, rows in the order of
+the file, from the counts of the pieces in which files are read.
+
+Defined cases: a field of INFO that comes twice counts as it comes first; a missing value is ``.`` or nothing; a line of fewer
+than eight fields has null for the missing ones; files without rows give no rows.
 """
 
 from __future__ import annotations
@@ -16,8 +20,6 @@ from pyspark.sql.window import Window
 from strandloom import dictionaries as D
 from strandloom.functions import annotation as A
 
-#: Header lines at most.
-MOST_HEADER = 100_000
 TYPES = {"Integer": "int", "Float": "float", "Flag": "boolean"}
 
 
@@ -56,34 +58,51 @@ class Header:
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    lines = []
-    for r in spark.read.text(path).limit(MOST_HEADER + 1).toLocalIterator():
-        if not r.value.startswith("#"):
-            break
-        if len(lines) == MOST_HEADER:
-            raise ValueError(f"more than {MOST_HEADER} header lines in {path}")
-        lines.append(r.value)
-    return Header.parse(lines)
+    """All lines up to the first one that is no header line, however many."""
+    lines, n, text = [], 1000, spark.read.text(path)
+    while True:
+        lines = [r.value for r in text.take(n)]
+        head = next((i for i, x in enumerate(lines) if not x.startswith("#")), len(lines))
+        if head < len(lines) or len(lines) < n:
+            return Header.parse(lines[:head])
+        n *= 8
 
 
 def numbered(df: DataFrame, name: str = "variant_idx") -> DataFrame:
-    """Consecutive numbers from 1 in the order of the files, from the counts of the partitions."""
-    marked = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    sizes = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
-    # one row a partition of the read: the window and the broadcast are as small as that list
-    order = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sizes.select("_p", (F.sum("n").over(order) - F.col("n")).alias("_before"))
-    at = F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return marked.join(F.broadcast(offsets), "_p").withColumn(name, at.cast("bigint")).drop("_p", "_m", "_before")
+    """Consecutive numbers from 1 in the order of the partitions, such as those of a sorted table, from their counts."""
+    return _numbered(df.withColumn("_at", F.spark_partition_id()), ["_at"], name)
+
+
+def numbered_files(parts: list[DataFrame], name: str = "variant_idx") -> DataFrame:
+    """Consecutive numbers from 1 over reads of files: reads in the order of the list, files of a read in the order of their
+    paths, rows in the order of the file.  Spark deals out pieces of files by size, not by name, so that each piece is
+    counted and placed by its path and by where it begins."""
+    out = None
+    for i, p in enumerate(parts):
+        p = p.select("*", F.struct(F.lit(i).alias("i"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).alias("_at"))
+        out = p if out is None else out.unionByName(p)
+    return _numbered(out, ["_at.i", "_at.path", "_at.start"], name)
+
+
+def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    marked = df.withColumn("_m", F.monotonically_increasing_id())
+    pieces = marked.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    # one row a piece of the read: the window and the broadcast are as small as that list
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = pieces.select("_at", "_n", "_first", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    rank = F.col("_m") - F.col("_first")
+    # both reads must cut the files alike; if they do not, because executors came or went, the numbers would be wrong
+    at = F.when(rank.between(F.lit(0), F.col("_n") - 1), F.col("_before") + rank + 1).otherwise(F.raise_error(F.lit("files were cut anew while rows were numbered: read them again")))
+    return marked.join(F.broadcast(offsets), "_at", "left").withColumn(name, at.cast("bigint")).drop("_at", "_m", "_n", "_first", "_before")
 
 
 def _info(key: str) -> Column:
-    return F.nullif(F.regexp_extract(F.concat(F.lit(";"), F.col("_info"), F.lit(";")), f";{re.escape(key)}=([^;]*);", 1), F.lit(""))
+    return F.nullif(F.get("_values", F.array_position("_keys", F.lit(key)).cast("int") - 1), F.lit(""))
 
 
 def _value(key: str, number: str, kind: str) -> Column:
     if kind == "Flag":
-        return F.concat(F.lit(";"), F.col("_info"), F.lit(";")).rlike(f";{re.escape(key)}[=;]")
+        return F.array_contains("_keys", F.lit(key))
     t = TYPES.get(kind, "string")
     one = lambda c: A.typed(F.nullif(c, F.lit(".")), t)
     return one(_info(key)) if number in ("1", "0") or kind == "Character" else F.transform(F.split(_info(key), ","), one)
@@ -93,20 +112,25 @@ def read(spark: SparkSession, path: str, keep: list[str] | None = None, raw: tup
     """(variant_idx, chr, position, id, ref, alt, allele, qual, filter, info): ``keep`` names fields of INFO (all), ``raw`` those left
     as text, ``drop`` those left out.  Missing values ('.') are null."""
     header = read_header(spark, path)
-    lines = numbered(spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")))
-    p = F.split("value", "\t")
+    lines = numbered_files([spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))])
+    # generators keep a line from being cut again for every one of its fields
+    lines = lines.select("variant_idx", F.explode(F.array(F.split("value", "\t", 9))).alias("_p"))
+    p = [F.get("_p", F.lit(i)) for i in range(8)]
     miss = lambda c: F.nullif(c, F.lit("."))
     rows = lines.select(
         "variant_idx", p[0].alias("chr"), p[1].try_cast("int").alias("position"), miss(p[2]).alias("id"), p[3].alias("ref"), p[4].alias("alt"),
-        F.concat_ws(",", p[3], p[4]).alias("allele"), A.number(p[5]).cast("float").alias("qual"), miss(p[6]).alias("filter"), F.coalesce(miss(F.get(p, F.lit(7))), F.lit("")).alias("_info"),
+        F.concat_ws(",", p[3], p[4]).alias("allele"), A.number(p[5]).cast("float").alias("qual"), miss(p[6]).alias("filter"), F.coalesce(miss(p[7]), F.lit("")).alias("_info"),
     )
+    if keep is None or keep:
+        rows = rows.select("*", F.explode(F.array(F.split("_info", ";"))).alias("_each"))
+        rows = rows.select("*", F.transform("_each", lambda x: F.substring_index(x, "=", 1)).alias("_keys"), F.transform("_each", lambda x: F.when(F.contains(x, F.lit("=")), F.substr(x, F.instr(x, "=") + 1))).alias("_values"))
     fields = []
     for key, (number, kind, text) in header.infos.items():
         if (keep is None or key in keep) and key not in drop:
             c = _info(key) if key in raw else _value(key, number, kind)
             fields.append(c.alias(key, metadata={"comment": text, "number": number, "type": kind}))
     info = F.struct(*fields).alias("info") if fields else F.lit(None).cast("struct<_none:string>").alias("info")
-    return rows.select(*[c for c in rows.columns if c != "_info"], info)
+    return rows.select(*[c for c in rows.columns if not c.startswith("_")], info)
 
 
 def _split_records(packed: Column, names: list[str], kind_of, strip: bool = False) -> Column:
@@ -114,7 +138,8 @@ def _split_records(packed: Column, names: list[str], kind_of, strip: bool = Fals
 
     def one(rec: Column) -> Column:
         parts = A.pieces(F.regexp_replace(rec, r"^\(|\)$", "") if strip else rec, len(names))
-        return F.struct(*[A.typed(F.get(parts, F.lit(i)), kind_of(n)).alias(n) for i, n in enumerate(names)])
+        # one cut a record: the inner array holds the pieces for all of its fields
+        return F.transform(F.array(parts), lambda p: F.struct(*[A.typed(F.get(p, F.lit(i)), kind_of(n)).alias(n, metadata={"comment": D.about(n)}) for i, n in enumerate(names)]))[0]
 
     return F.transform(F.split(packed, ","), one)
 
@@ -162,7 +187,7 @@ def import_annovar(spark: SparkSession, path: str, keep: bool = True) -> DataFra
         if kind != "Flag":
             t = D.annovar_type(n)
             c = A.typed(F.nullif(A.decode_hex(c), F.lit(".")), t if t != "string" else TYPES.get(kind, "string"))
-        cols.append(c.alias(n, metadata={"comment": text}))
+        cols.append(c.alias(n, metadata={"comment": text or D.about(n)}))
     return df.withColumn("info", F.struct(*cols)) if cols else df
 
 

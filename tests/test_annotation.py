@@ -26,7 +26,7 @@ def test_lookup(spark, variants):
     index = lookup.annotate(["1-100-A-C", "1-1-A-C", "9-1-A-C"], variants, []).collect()
     assert [(r.variant_idx, r.file_idx) for r in index] == [(1, 1), (None, 2), (None, None)]
     df = spark.createDataFrame([("chrX", 9, "ACG", "A", 1)], "chr string, pos int, ref string, alt string, score int")
-    assert lookup.annotate(df, variants, ["score"], prune=True).first().score == 10.5
+    assert lookup.annotate(df, variants, ["score"]).first().score == 10.5
     with pytest.raises(ValueError):
         lookup.annotate(df.drop("alt"), variants, ["score"])
     with pytest.raises(Exception, match="not a variant key"):
@@ -207,12 +207,102 @@ def test_import_of_all_types(spark, tmp_path):
     assert got == {i: ((t or "") + ";x=1", 0.5) for i, t in enumerate(types)}
 
 
-def test_long_header(spark, tmp_path, monkeypatch):
+def test_long_header(spark, tmp_path):
     path = str(tmp_path / "a.vcf")
-    open(path, "w").write(HEAD + "22\t10\t.\tA\tC\t.\t.\tDB\n")
-    n = HEAD.count("\n")
-    monkeypatch.setattr(vcf, "MOST_HEADER", n)
-    assert set(vcf.read_header(spark, path).infos) == {"AF", "DB", "CSQ", "LOF"}
-    monkeypatch.setattr(vcf, "MOST_HEADER", n - 2)
-    with pytest.raises(ValueError, match="header lines"):
-        vcf.import_plain(spark, path)
+    more = "".join(f'##INFO=<ID=F{i},Number=1,Type=Integer,Description="n">\n' for i in range(1500))
+    open(path, "w").write("##fileformat=VCFv4.2\n" + more + HEAD.split("\n", 1)[1] + "22\t10\t.\tA\tC\t.\t.\tDB;F1499=7;F3=a=b;F1499=8\n")
+    assert len(vcf.read_header(spark, path).infos) == 1504
+    row = vcf.read(spark, path, keep=["DB", "F1499", "F3", "F4"], raw=("F3",)).first()
+    assert (row.info.DB, row.info.F1499, row.info.F3, row.info.F4) == (True, 7, "a=b", None)
+    open(path, "w").write("##fileformat=VCFv4.2\n")
+    assert vcf.import_plain(spark, path).count() == 0
+
+
+def test_rows_are_numbered_in_the_order_of_files(spark, tmp_path):
+    for name, n in (("a", 2), ("b", 5), ("c", 20_000), ("d", 0), ("e", 1)):
+        (tmp_path / f"{name}.vcf").write_text(HEAD + "".join(f"1\t{i + 1}\t{name}{i}\tA\tC\t.\t.\t.\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = {r.id: r.variant_idx for r in vcf.import_plain(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    names = [f"{name}{i}" for name, n in (("a", 2), ("b", 5), ("c", 20_000), ("e", 1)) for i in range(n)]
+    assert got == {n: i + 1 for i, n in enumerate(names)}
+
+
+def test_escapes_of_any_depth(spark):
+    rows = [(None,), ("",), ("plain",), (r"\x5cx5cx5cx5cx5cx5cx5cx3b",), (r"\x5Cx3d\x3B",), (r"\xzz",), ("a" * 1000 + r"\x41",), (r"\x\x335c",)]
+    got = [r.x for r in spark.createDataFrame(rows, "t string").coalesce(1).select(A.decode_hex(F.col("t")).alias("x")).collect()]
+    assert got == [None, "", "plain", ";", "=;", r"\xzz", "a" * 1000 + "A", "5c"]
+
+
+def test_keys_reach_the_scan(spark, variants, tmp_path):
+    path = str(tmp_path / "source")
+    variants.drop("file_idx").write.parquet(path)
+    source = spark.read.parquet(path).withColumn("file_idx", F.col("load_id"))
+    df = lookup.annotate(["1-100-A-C", "2-50-G-GTT,A"], source, ["score"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "PushedFilters" in line and "position" in line)
+    assert "In(chr, [1,chr1" in scan and "GreaterThanOrEqual(position,100)" in scan
+    # the rows that are hit are picked before any is sorted, grouped or moved
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("Aggregate") < tree.index("LeftSemi")
+
+
+def test_many_keys_take_the_other_way(spark, variants, monkeypatch):
+    keys = ["1-100-A-C", "2-50-G-GTT,A", "9-1-A-C", "X-9-ACG-A"]
+    want = [tuple(r) for r in lookup.annotate(keys, variants, [":id"]).collect()]
+    monkeypatch.setattr(lookup, "MOST_BYTES", 0)
+    monkeypatch.setattr(lookup, "MOST_CHROMOSOMES", 1)
+    assert [tuple(r) for r in lookup.annotate(keys, variants, [":id"]).collect()] == want
+    assert lookup.annotate([], variants, [":id"]).collect() == []
+
+
+def test_range_sets_and_index(spark, variants):
+    r = [spark.createDataFrame(x, "chr string, start int, end int") for x in ([("1", 1, 200), ("chr1", 100, 100)], [], [("X", 1, 10), ("2", 50, 50), (None, 1, 2)])]
+    got = [(x.range_set, x.variant_idx, x.chr) for x in lookup.annotate_ranges(variants, r, ["score"]).orderBy("range_set", "variant_idx").collect()]
+    assert got == [(0, 1, "1"), (0, 2, "1"), (2, 3, "2"), (2, 5, "X"), (2, 6, "X")]
+    assert lookup.annotate_ranges(variants, []).count() == 0
+    index = spark.createDataFrame([(1,), (1,), (None,), (99,)], "variant_idx long")
+    assert [x.variant_idx for x in lookup.by_index(variants, index).collect()] == [1]
+
+
+def test_annotated_table(spark, variants, tmp_path):
+    path, out = str(tmp_path / "t"), str(tmp_path / "u")
+    variants.drop("file_idx", "info").write.parquet(path)
+    lookup.write_annotated(path, variants, ["score"], root="found", out=out)
+    assert spark.read.parquet(out).where("variant_idx = 2").first().found.score == 5.0 and "found" not in spark.read.parquet(path).columns
+    lookup.write_annotated(path + "/", variants, {"qual": "score"}, replace=True, drop=("filter",))
+    got = spark.read.parquet(path)
+    assert got.count() == 7 and "filter" not in got.columns and got.where("variant_idx = 2").first().qual == 5.0
+    assert not (tmp_path / "t-old").exists() and not (tmp_path / "t-new").exists()
+    (tmp_path / "t-old").mkdir()
+    with pytest.raises(ValueError, match="earlier run"):
+        lookup.write_annotated(path, variants, ["score"])
+
+
+def test_counters_of_imported_records(spark, tmp_path):
+    path = str(tmp_path / "a.vcf")
+    head = HEAD.replace("Format: Allele|AF|CANONICAL|SYMBOL", "Format: Allele|Consequence|IMPACT|SYMBOL")
+    open(path, "w").write(head + "1\t1\t.\tA\tC\t.\t.\tCSQ=C|intron_variant&stop_gained|HIGH|G1,C|odd||G2\n1\t9\t.\tA\tC\t.\t.\t.\n")
+    df = vcf.import_vep(spark, path)
+    got = {(r.stat, r.category): r.n for r in stats.annotated_counters(df).collect()}
+    assert got["cons_severe", "stop_gained"] == 1 and got["n_annot", "n"] == 2 and got["n_var", "n"] == 2 and got["gene_impact", "G2\r"] == 1 and got["cons_all", "odd"] == 1
+    flat = {(r.stat, r.category): r.n for r in stats.counters(df, stats.annotated_records(df)).collect()}
+    assert flat == got
+    out = report.report(df, str(tmp_path / "a.Rmd"), "a.vcf")
+    assert "barplot" in open(out).read() and "Bases per variant" in open(out).read()
+    a = report.collect(stats.annotated_counters(df), "x", {"k": "1"}, stats.position_ranges(df), 10)
+    b = a.merge(report.collect(stats.annotated_counters(df.where("position = 9")), "y", {"k": "2", "l": "3"}, stats.position_ranges(df.where("position = 9")), 5))
+    assert b.n_variant == 3 and b.ranges == {"1": (1, 9)} and b.header == {"k": "1", "l": "3"} and b.source == "x, y" and b.bytes == 15 and b.span == 9
+
+
+def test_units_of_many_variants(spark):
+    e = spark.range(1, 200_001).select(F.col("id").alias("variant_idx"), F.lit("G").alias("gene"), F.lit("1").alias("chr"), F.col("id").cast("int").alias("position"))
+    e = e.unionByName(e.where("variant_idx < 10")).unionByName(spark.createDataFrame([(None, "G", "1", 1)], "variant_idx long, gene string, chr string, position int"))
+    m = counts.unit_members(e, ["gene"])
+    assert sorted(len(r["index"]) for r in m.collect()) == [3393, 65535, 65536, 65536]
+    r = counts.unit_ranges(m, ["gene"]).first()
+    assert (r.n, r.chr, r.start, r.end) == (200_000, "1", 1, 200_000)
+    u = counts.unit_groups(e, ["gene"]).first()
+    assert u["index"] == list(range(1, 200_001)) and (u.start, u.end) == (1, 200_000)
