@@ -4,6 +4,9 @@ Each file's header is a small schema.  Schemas are read in parallel, compared wi
 folded through the promotion lattice logical < integer < numeric < character.  A column is the same column across files by
 the sense of its description (case, blanks and a closing dot aside); one without a description is known by its name.
 
+The log is ordered by dictionary, feed and file.  Each file's header is laid out once, as the place of every column of the
+union schema in the file, so that a line meets its file's layout in one salted join and a value is found by its index.
+
 Defined cases: header rows without a usable name or type are no columns; a header delivered twice counts once; a feed's
 first file has no changes; a column without a description is never ``renamed``; among several columns of a file with the
 same type and sense, old and new names pair in order.  Empty tables give empty results.
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.operators.rejects import MISSING, TYPES, header_columns, load_lines, plain_type
+from strandloom.operators.rejects import MISSING, TYPES, header_columns, hot_files, loaded, plain_type, with_layout
 
 #: How wide a union schema may become before it is taken for a mistake in the input.
 MAX_COLUMNS = 5000
@@ -28,39 +31,40 @@ def sense(c: Column) -> Column:
 
 
 def changes(columns: DataFrame) -> DataFrame:
-    """(file_id, change, old_name, new_name) of schemas given as (feed, file_seq, file_id, ordinal, name, type, description).
+    """(feed, file_seq, file_id, change, old_name, new_name) of schemas given as (feed, file_seq, file_id, ordinal, name, type,
+    description).
 
     Two shuffles on (file, name) and (file, type, sense); the order of files comes from the distinct files only.
     """
     cols = columns.select("feed", "file_seq", "file_id", "ordinal", "name", "type", sense(F.col("description")).alias("sense"))
     order = Window.partitionBy("feed").orderBy("file_seq", "file_id")
     files = cols.select("feed", "file_seq", "file_id").distinct()
-    after = files.withColumn("next_id", F.lead("file_id").over(order))
+    after = files.withColumns({"next_id": F.lead("file_id").over(order), "next_seq": F.lead("file_seq").over(order)}).where("next_id is not null").select("file_id", "next_id", "next_seq")
     has_before = files.withColumn("before", F.lag("file_id").over(order)).where("before is not null").select("file_id")
-    body = ["file_id", "ordinal", "name", "type", "sense"]
-    old = cols.join(after.where("next_id is not null").select("file_id", "next_id"), "file_id").select(F.col("next_id").alias("file_id"), *body[1:], F.lit(True).alias("was"))
-    new = cols.join(has_before, "file_id").select(*body, F.lit(False).alias("was"))
+    at, body = ["feed", "file_seq", "file_id"], ["ordinal", "name", "type", "sense"]
+    old = cols.join(after, "file_id").select("feed", F.col("next_seq").alias("file_seq"), F.col("next_id").alias("file_id"), *body, F.lit(True).alias("was"))
+    new = cols.join(has_before, "file_id").select(*at, *body, F.lit(False).alias("was"))
     side = lambda c, was: F.max(F.when(F.col("was") == was, F.col(c)))
     both = (
         old.unionByName(new)
-        .groupBy("file_id", "name")
+        .groupBy(*at, "name")
         .agg(*[side(c, w).alias(f"{p}_{c}") for p, w in (("old", True), ("new", False)) for c in ("type", "sense", "ordinal")])
     )
     kept = F.col("old_type").isNotNull() & F.col("new_type").isNotNull()
-    retyped = both.where(kept & (F.col("old_type") != F.col("new_type"))).select("file_id", F.lit("retyped").alias("change"), F.col("name").alias("old_name"), F.col("name").alias("new_name"))
+    retyped = both.where(kept & (F.col("old_type") != F.col("new_type"))).select(*at, F.lit("retyped").alias("change"), F.col("name").alias("old_name"), F.col("name").alias("new_name"))
     single = both.where(~kept).select(
-        "file_id", "name", F.col("old_type").isNotNull().alias("was"), *[F.coalesce(f"old_{c}", f"new_{c}").alias(c) for c in ("type", "sense", "ordinal")]
+        *at, "name", F.col("old_type").isNotNull().alias("was"), *[F.coalesce(f"old_{c}", f"new_{c}").alias(c) for c in ("type", "sense", "ordinal")]
     )
     # without a sense a column has only its name to be matched by, and that one is gone
     single = single.withColumn("key", F.when(F.col("sense") != "", F.col("sense")).otherwise(F.concat(F.lit("\0"), "name")))
     rank = Window.partitionBy("file_id", "type", "key", "was").orderBy("ordinal", "name")
     pairs = (
         single.withColumn("rn", F.row_number().over(rank))
-        .groupBy("file_id", "type", "key", "rn")
+        .groupBy(*at, "type", "key", "rn")
         .agg(F.max(F.when(F.col("was"), F.col("name"))).alias("o"), F.max(F.when(~F.col("was"), F.col("name"))).alias("n"))
     )
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("renamed")
-    moved = pairs.select("file_id", change.alias("change"), F.coalesce("o", F.lit("")).alias("old_name"), F.coalesce("n", F.lit("")).alias("new_name"))
+    moved = pairs.select(*at, change.alias("change"), F.coalesce("o", F.lit("")).alias("old_name"), F.coalesce("n", F.lit("")).alias("new_name"))
     return retyped.unionByName(moved)
 
 
@@ -79,10 +83,12 @@ def release_columns(dictionary: DataFrame) -> DataFrame:
 
 
 def change_log(headers: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Every change of both dictionaries: (dictionary, file_id, change, old_name, new_name)."""
+    """Every change of both dictionaries: (dictionary, file_id, change, old_name, new_name), in the order of dictionary, feed, file
+    and names."""
     both = [("favor_csv_header", header_columns(headers)), ("vep_output_format", release_columns(dictionary))]
-    logs = [changes(c).select(F.lit(d).alias("dictionary"), "file_id", "change", "old_name", "new_name") for d, c in both]
-    return logs[0].unionByName(logs[1])
+    logs = [changes(c).withColumn("dictionary", F.lit(d)) for d, c in both]
+    order = ("dictionary", "feed", "file_seq", "file_id", "old_name", "new_name")
+    return logs[0].unionByName(logs[1]).orderBy(*order).select("dictionary", "file_id", "change", "old_name", "new_name")
 
 
 # ---- union schema
@@ -126,37 +132,47 @@ def _cast(value: Column, kind: str) -> Column:
     return d if kind == "numeric" else n.try_cast("bigint")
 
 
-def _wide(rows: DataFrame, keep: list[str], schema: DataFrame) -> DataFrame:
-    """``rows`` holds ``ids`` (identity of each value) and ``fields``; one typed column per column of the union schema.
-    The schema is collected: its size is the number of distinct columns, checked against MAX_COLUMNS."""
+def _places(columns: DataFrame, schema: DataFrame) -> tuple[DataFrame, list]:
+    """(file_id, names, types, places) of each file, and the columns of the union schema in order: places[j] is where column j
+    is in the file, from 1, or 0.  The schema is collected: its size is the number of distinct columns, checked against
+    MAX_COLUMNS."""
     cols = schema.orderBy("first", "identity").select("identity", "column_name", "type").limit(MAX_COLUMNS + 1).collect()
     if len(cols) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} distinct columns")
+        raise ValueError(f"more than {MAX_COLUMNS} distinct columns: log them with change_log, or raise MAX_COLUMNS")
+    spark = columns.sparkSession
+    index = F.broadcast(spark.createDataFrame([(c.identity, j) for j, c in enumerate(cols)], "identity string, j int"))  # of a checked size
+    each = columns.withColumn("identity", _identity()).join(index, "identity")
+    laid = each.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "name", "type", "j"))).alias("cols"))
+    place = F.transform(F.sequence(F.lit(0), F.lit(max(len(cols) - 1, 0))), lambda j: F.array_position(F.col("cols.j"), j).cast("int"))
+    return laid.select("file_id", F.col("cols.name").alias("names"), F.col("cols.type").alias("types"), place.alias("places")), cols
+
+
+def _wide(rows: DataFrame, keep: list[str], cols: list) -> DataFrame:
+    """``rows`` holds ``places`` and ``fields``; one typed column per column of the union schema."""
     out = [F.col(k) for k in keep]
-    for c in cols:
-        value = F.get("fields", F.array_position("ids", F.lit(c.identity)).cast("int") - 1)
+    for j, c in enumerate(cols):
         name = c.column_name if c.column_name not in keep else f"{c.column_name}_"
-        out.append(_cast(value, c.type).alias(name))
+        out.append(_cast(F.get("fields", F.get("places", F.lit(j)) - 1), c.type).alias(name))
     return rows.select(*out)
 
 
-def _file_identities(columns: DataFrame) -> DataFrame:
-    ids = F.sort_array(F.collect_list(F.struct("ordinal", _identity().alias("id"))))
-    return columns.groupBy("file_id").agg(ids.alias("ids")).select("file_id", F.col("ids.id").alias("ids"))
-
-
 def consistent_lines(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Every line that loads, in the union schema of all files: line_id, file_id, then the columns."""
     columns = header_columns(headers)
-    rows = load_lines(lines, headers).select("line_id", "file_id", "fields").join(_file_identities(columns), "file_id")
-    return _wide(rows, ["line_id", "file_id"], union_schema(columns))
+    laid, cols = _places(columns, union_schema(columns))
+    return _wide(loaded(with_layout(lines, laid, hot_files(lines)), "places"), ["line_id", "file_id"], cols)
 
 
 def consistent_records(records: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Annotation records (variant_idx, pos, release, value) in the union schema of all releases.  Short records are padded
-    with missing values, further sub-fields of over-long ones stay in the last column."""
+    with missing values, further sub-fields of over-long ones stay in the last column.  A dictionary of releases with up to
+    MAX_COLUMNS columns each is small; records of one release, however many, are not moved."""
     columns = release_columns(dictionary)
-    rows = records.join(_file_identities(columns).withColumnRenamed("file_id", "release"), "release")
+    laid, cols = _places(columns, union_schema(columns))
+    layouts = laid.select(F.col("file_id").alias("release"), F.size("names").alias("size"), "places")
+    releases = layouts.limit(MAX_COLUMNS + 1).collect()
+    small = len(releases) <= MAX_COLUMNS
+    rows = records.join(F.broadcast(layouts) if small else layouts, "release")
     # the generator keeps the record from being cut again for every column
-    rows = rows.select("*", F.explode(F.array(F.split("value", r"\|", F.size("ids")))).alias("fields"))
-    return _wide(rows, ["variant_idx", "pos", "release"], union_schema(columns))
+    rows = rows.select("*", F.explode(F.array(F.split("value", r"\|", F.col("size")))).alias("fields"))
+    return _wide(rows, ["variant_idx", "pos", "release"], cols)

@@ -44,6 +44,17 @@ class Packing:
     def whole(self, q: str) -> Node:
         return self._quoted(q, Choice((OneOf(self.delimiters), End())))
 
+    def sound(self) -> Node:
+        """A bare value in which every quote that opens a sub-field encloses it."""
+        if not self.sub:
+            return OneOf(self.quotes, negated=True)
+        stop = self.sub + self.delimiters
+        plain = Seq((OneOf(stop + self.quotes, negated=True), Many(OneOf(stop, negated=True))))
+        end = Choice((OneOf(self.sub), End()))
+        inner = [Seq((self._quoted(q, end), Many(OneOf(BLANKS)))) for q in self.quotes]
+        field = Maybe(Choice((*inner, plain)))
+        return Seq((field, Many(Seq((Lit(self.sub), field))), End()))
+
     def value(self) -> Node:
         stop = Choice((OneOf(self.delimiters), End()))
         first = [self.whole(q) for q in self.quotes]
@@ -89,16 +100,17 @@ def values(field: Column, packing: Packing = RECORDS) -> Column:
 
 
 def flagged(field: Column, packing: Packing = RECORDS) -> Column:
-    """array<struct<value, quoted, error>>: error is ``malformed_quote`` where a value opens with a quote that does not
-    enclose it or a sub-field, ``""`` elsewhere."""
+    """array<struct<value, quoted, error>>: quoted where the grammar's first alternative took the value, which lost its quotes;
+    error is ``malformed_quote`` where a quote that opens the value or one of its sub-fields made that alternative fail and
+    the value was read as bare, ``""`` elsewhere."""
+    sound = r"\A" + packing.sound().java() if packing.quotes else ""
 
     def one(v: Column) -> Column:
         u = _unwrap(v, packing)
-        opens = F.substring(v, 1, 1).isin(*packing.quotes) if packing.quotes else F.lit(False)
-        odd = F.lit(False)
+        some = F.lit(False)
         for q in packing.quotes:
-            odd = odd | ((F.length(v) - F.length(F.replace(v, F.lit(q), F.lit("")))) % 2 == 1)
-        bad = (u == v) & opens & odd
+            some = some | F.contains(v, F.lit(q))
+        bad = (u == v) & some & ~v.rlike(sound) if packing.quotes else F.lit(False)
         return F.struct(u.alias("value"), (u != v).alias("quoted"), F.when(bad, "malformed_quote").otherwise("").alias("error"))
 
     return F.filter(F.transform(pieces(field, packing), one), lambda s: s.value != "")

@@ -25,8 +25,9 @@ INTEGER = r"\A[+-]?[0-9]+\z"
 CHROMOSOME = r"\A(?:chr)?(?:[1-9]|1[0-9]|2[0-2]|X|Y)\z"
 BASES = r"\A[ACGTNacgtn]+\z"
 NAME = r"\A[A-Za-z0-9_.]+\z"
-#: Copies of each header over which the lines of one file are spread, so that a hot file is no hot task.
-SALT = 8
+#: A file with more than one in PARTS * cores of all lines is hot: its lines are spread over as many copies of its header as
+#: it holds such shares, so that no task gets more than about one share, whatever the size.
+PARTS = 4
 
 
 def plain_type(c: Column) -> Column:
@@ -77,11 +78,25 @@ def layouts(headers: DataFrame) -> DataFrame:
     return header_columns(headers).groupBy("file_id").agg(cols.alias("cols")).select("file_id", F.col("cols.name").alias("names"), F.col("cols.type").alias("types"))
 
 
-def _with_layout(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    salted = layouts(headers).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    mine = lines.select("line_id", "file_id", "raw", F.pmod(F.xxhash64("line_id"), F.lit(SALT)).cast("int").alias("salt"))
+def hot_files(lines: DataFrame) -> DataFrame:
+    """(file_id, salts) of the files that hold more than a fair share of the lines; at most PARTS * cores rows, small enough for
+    every task.  Reads the column of file numbers only."""
+    spark = lines.sparkSession
+    shares = PARTS * spark.sparkContext.defaultParallelism
+    sizes = lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where("file_id is not null")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = sizes.where(F.col("n") * shares > total).select("file_id", F.ceil(F.col("n") * shares / F.lit(max(total, 1))).cast("int").alias("salts")).collect()
+    return spark.createDataFrame([(r.file_id, r.salts) for r in rows], "file_id int, salts int")
+
+
+def with_layout(lines: DataFrame, laid: DataFrame, hot: DataFrame) -> DataFrame:
+    """Lines beside what ``laid`` holds about their file (one row a file); null where it holds nothing."""
+    hot = F.broadcast(hot)  # of a bounded size
+    salts = F.coalesce("salts", F.lit(1))
+    copies = laid.join(hot, "file_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    mine = lines.select("line_id", "file_id", "raw").join(hot, "file_id", "left").withColumn("salt", F.pmod(F.xxhash64("line_id"), salts).cast("int")).drop("salts")
     # headers grow with the number of files: they are hashed partition by partition, never sent whole to every task
-    return mine.join(salted.hint("shuffle_hash"), ["file_id", "salt"], "left")
+    return mine.join(copies.hint("shuffle_hash"), ["file_id", "salt"], "left").drop("salt")
 
 
 def _fields(raw: Column) -> Column:
@@ -129,14 +144,19 @@ def _judged(laid: DataFrame) -> DataFrame:
     return judged.withColumn("ok_values", F.when(F.col("ok_count"), _value_ok()).otherwise(False))
 
 
-def load_lines(lines: DataFrame, headers: DataFrame) -> DataFrame:
+def loaded(laid_lines: DataFrame, *more: str) -> DataFrame:
+    """Of lines with their layout, those that fit it: (line_id, file_id, names, types, fields) and ``more`` of the layout."""
+    return _judged(laid_lines).where("ok_values").select("line_id", "file_id", "names", "types", "fields", *more)
+
+
+def load_lines(lines: DataFrame, headers: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Strict load: (line_id, file_id, names, types, fields) of the lines that fit their file's header."""
-    return _judged(_with_layout(lines, headers)).where("ok_values").select("line_id", "file_id", "names", "types", "fields")
+    return loaded(with_layout(lines, layouts(headers), hot_files(lines) if hot is None else hot))
 
 
 def line_rejects(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """(row_id, reason) of the lines that the strict load leaves over."""
-    loaded = load_lines(lines, headers).select("line_id")
-    rest = lines.join(loaded, "line_id", "left_anti")
+    hot = hot_files(lines)
+    rest = lines.join(load_lines(lines, headers, hot).select("line_id"), "line_id", "left_anti")
     reason = F.when(~F.col("ok_quotes"), "quoting").when(~F.col("ok_count"), "column_count").otherwise("bad_value")
-    return _judged(_with_layout(rest, headers)).select(F.col("line_id").alias("row_id"), reason.alias("reason"))
+    return _judged(with_layout(rest, layouts(headers), hot)).select(F.col("line_id").alias("row_id"), reason.alias("reason"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.dictionaries import SO_TERMS
 from strandloom.functions import annotation as A
 from strandloom.operators import catalog, counts, lookup, packed, stats
+from strandloom.plans.training import packed_sql
 from strandloom.session import checkpoint_dir, read
 from strandloom.sources import vcf
 
@@ -189,7 +190,7 @@ def annot_in_place(spark, d):
 # ---- records and scalar functions
 
 
-@query()
+@query("with r as (select variant_idx, unnest(" + packed_sql("info.CSQ") + ").value as value from variants), p as (select variant_idx, string_split(value, '|') as x from r) select variant_idx, " + ", ".join(f"coalesce(x[{i}], '') as f{i}" for i in range(1, 10)) + ", array_to_string(x[10:], '|') as f10 from p")
 def split_pipe_records(spark, d):
     """CSQ records as ten sub-fields each: short ones padded, the last one takes what is over."""
     rows = _variants(spark, d).select("variant_idx", F.explode(packed.values(F.col("info.CSQ"))).alias("rec"))
@@ -210,7 +211,7 @@ def split_uniform_first(spark, d):
     return _first_records(_variants(spark, d).where(F.col("info.CSQ").rlike("^[A-Z*<>]+[|][^\"' ;\\t\\n]+$")))
 
 
-@query()
+@query("with r as (select variant_idx, (" + packed_sql("info.CSQ") + ")[1].value as value from variants) select variant_idx, case when value is not null then split_part(value, '|', 1) end as allele, case when value is not null then split_part(value, '|', 3) end as impact from r")
 def split_uniform_first_all(spark, d):
     """A field with one value per variant is read from the first record, however the field is packed."""
     return _first_records(_variants(spark, d))

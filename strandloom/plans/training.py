@@ -34,6 +34,29 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_records(rows, read(spark, d, "vep_output_format"))
 
 
+def _values(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """The filled cells of a wide table, a row each, by the type of their column."""
+    kinds = {"string": "text", "double": "number", "bigint": "whole", "boolean": "flag"}
+    types = {"text": "string", "number": "double", "whole": "bigint", "flag": "boolean"}
+
+    def cell(name: str, kind: str):
+        v = F.col(f"`{name}`")
+        return F.struct(F.lit(name).alias("column_name"), *[(v if kinds[kind] == k else F.lit(None)).cast(t).alias(k) for k, t in types.items()])
+
+    cells = F.explode(F.array(*[cell(n, t) for n, t in wide.dtypes if n not in keys])).alias("x")
+    return wide.select(*keys, cells).select(*keys, "x.*").where("text is not null or number is not null or whole is not null or flag is not null")
+
+
+def p1_line_values(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table of lines, cell by cell."""
+    return _values(p1_lines(spark, d), ["line_id", "file_id"])
+
+
+def p1_record_values(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table of records, cell by cell."""
+    return _values(p1_records(spark, d), ["variant_idx", "pos", "release"])
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     variants = read(spark, d, "variants")
     records = packed.split_rows(variants, {"CSQ": F.col("info.CSQ"), "ANN": F.col("info.ANN")}, "variant_idx")
@@ -83,7 +106,7 @@ def p4_footers(spark: SparkSession, d: str) -> DataFrame:
     return profile.footer_profile(read(spark, d, "variants"), PROFILED)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_schema, p1_lines, p1_records, p2_found, p2_flags, p3_found, p3_loaded, p4_found, p4_profile, p4_distribution, p4_footers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_schema, p1_lines, p1_line_values, p1_records, p1_record_values, p2_found, p2_flags, p3_found, p3_loaded, p4_found, p4_profile, p4_distribution, p4_footers)}
 
 _VALUES = "select load_id, unnest(['cadd_phred', 'linsight', 'apc_conservation']) as column_name, unnest([info.cadd_phred, info.linsight, info.apc_conservation])::double as v from variants"
 _SENSE = r"trim(regexp_replace(lower(coalesce(description, '')), '\s+', ' ', 'g'), ' .')"
@@ -95,7 +118,75 @@ _COLUMNS = f"""with cols as (
   select 'favor_csv_header' as dictionary, feed, file_seq, file_id, ordinal, name, type, {_SENSE} as sense, delivered_at from ({_USABLE})
   union all select 'vep_output_format', '', release, release, ordinal, name, lower(trim(coalesce(type, ''))), {_SENSE}, released_at from vep_output_format)"""
 
+# packed fields: a value is sub-fields between separators, each of them quoted as a whole or bare, up to a delimiter
+_Q = """(?:"(?:[^"]|"")*"|''(?:[^'']|'''')*'')"""
+_PIECE = rf"[ \r\f\v]*((?:{_Q}[ \r\f\v]*|[^,;\n\t|]*)(?:\|(?:{_Q}[ \r\f\v]*|[^,;\n\t|]*))*)(?:[,;\n\t]|$)"
+_TERM = rf"[ \r\f\v]*((?:{_Q}|[^,;&|/\n\t]*)[ \r\f\v]*)(?:[,;&|/\n\t]|$)"
+_TERM_BARE = r"[ \r\f\v]*([^,;&|/\n\t]*)(?:[,;&|/\n\t]|$)"
+
+
+def packed_sql(field: str, piece: str = _PIECE) -> str:
+    """A list of {raw, value} of a packed field."""
+    found = rf"list_transform(regexp_extract_all({field}, '{piece}', 1), lambda x: regexp_replace(x, '\s+$', ''))"
+    value = f"case when regexp_full_match(x, '{_Q}') then replace(substring(x, 2, length(x) - 2), x[1] || x[1], x[1]) else x end"
+    return rf"case when {field} is null or regexp_full_match({field}, '\s*\.?\s*') then [] else list_filter(list_transform({found}, lambda x: {{'raw': x, 'value': {value}}}), lambda x: x.value <> '') end"
+
+
+_SUBS = rf"regexp_extract_all(raw || '|', '({_Q}[ \r\f\v]*|[^|]*)\|', 1)"
+_OPEN = "regexp_matches({0}, '^[\"'']')"
+_PACKED = f"""with f as (select 'CSQ' as field, variant_idx as row_id, {packed_sql('info.CSQ')} as vs from variants union all select 'ANN', variant_idx, {packed_sql('info.ANN')} from variants
+  union all select 'Term', so_id, {packed_sql('term', _TERM)} from so_consequence),
+p2 as (select field, row_id, unnest(generate_series(1, len(vs)))::int as pos, unnest(vs) as v from f),
+p as (select field, row_id, pos, v.raw as raw, v.value as value from p2)"""
+
+# lines: laid out by the header of their file, cut, and judged
+_MISSING = "('', 'NA', '.')"
+_AT = "coalesce(fields[list_position(names, '{0}')], '')"
+_BARE = "regexp_replace(lower({0}), '^chr', '')"
+_JUDGED = _COLUMNS + rf""",
+ided as (select *, case when sense <> '' then sense else chr(0) || lower(name) end as identity from cols where dictionary = 'favor_csv_header'),
+lay as (select file_id, list(name order by ordinal) as names, list(type order by ordinal) as types, list(identity order by ordinal) as ids from ided group by file_id),
+raws as (select line_id, file_id, raw, names, types, ids, raw is null or regexp_full_match(',' || raw, '(?:,(?:"(?:[^"]|"")*"|[^",]*))+') as ok_quotes from conversionfavor left join lay using (file_id)),
+cuts as (select *, case when ok_quotes and raw is not null then list_transform(regexp_extract_all(',' || raw, ',("(?:[^"]|"")*"|[^",]*)', 1), lambda x: case when x[1] = '"' then replace(substring(x, 2, length(x) - 2), '""', '"') else x end) else [] end as fields from raws),
+counted as (select *, coalesce(ok_quotes and len(fields) = len(names) and len(names) > 0, false) as ok_count from cuts),
+keyed as (select *, {_AT.format('chromosome')} as k_chr, {_AT.format('position')} as k_pos, {_AT.format('ref_vcf')} as k_ref, {_AT.format('alt_vcf')} as k_alt, regexp_split_to_array({_AT.format('variant_vcf')}, '[-_:]') as k from counted),
+judged as (select *, ok_count and regexp_full_match(k_chr, '(?:chr)?(?:[1-9]|1[0-9]|2[0-2]|X|Y)') and regexp_full_match(k_pos, '[0-9]+') and coalesce(try_cast(k_pos as hugeint) between 1 and 2147483647, false)
+  and regexp_full_match(k_ref, '[ACGTNacgtn]+') and regexp_full_match(k_alt, '[ACGTNacgtn]+') and len(k) = 4 and {_BARE.format('k[1]')} = {_BARE.format('k_chr')} and k[2] = k_pos and lower(k[3]) = lower(k_ref) and lower(k[4]) = lower(k_alt)
+  and coalesce(list_bool_and(list_transform(range(1, len(fields) + 1), lambda i: names[i] in ('variant_vcf', 'chromosome', 'position', 'ref_vcf', 'alt_vcf') or fields[i] in {_MISSING} or case types[i]
+    when 'numeric' then regexp_full_match(fields[i], '[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?') when 'integer' then regexp_full_match(fields[i], '[+-]?[0-9]+') when 'logical' then fields[i] in ('TRUE', 'FALSE') else true end)), true) as ok_values from keyed)"""
+_QUOTES = "length(concat_ws('', column_name, type, description)) - length(replace(concat_ws('', column_name, type, description), '\"', ''))"
+
+
+def _union_sql(dictionary: str) -> str:
+    """u: names and types of the union schema by identity."""
+    return f"""folded as (select case when sense <> '' then sense else chr(0) || lower(name) end as identity, max(case type when 'logical' then 1 when 'integer' then 2 when 'numeric' then 3 else 4 end) as r,
+  min({{'a': delivered_at, 'b': file_id, 'c': ordinal, 'd': lower(name)}}) as first from cols where dictionary = '{dictionary}' group by 1),
+u as (select identity, first.d || case when row_number() over w > 1 then '_' || row_number() over w else '' end as column_name, r from folded window w as (partition by first.d order by first, identity))"""
+
+
+def _cells_sql(keys: str) -> str:
+    """Filled cells by type from ``cells`` (keys, identity, v)."""
+    number = "case v when 'TRUE' then '1' when 'FALSE' then '0' else v end"
+    flag = "case when v in ('TRUE', 'T', 'YES', '1') then true when v in ('FALSE', 'F', 'NO', '0') then false end"
+    cells = f"select {keys}, column_name, case when r = 4 then v end as text, case when r = 3 then try_cast({number} as double) end as number, case when r = 2 then try_cast({number} as bigint) end as whole, case when r = 1 then {flag} end as flag"
+    return f"select * from ({cells} from cells join u using (identity) where v not in {_MISSING}) where text is not null or number is not null or whole is not null or flag is not null"
+
+
 SQL = {
+    "p1_line_values": _JUDGED + ", " + _union_sql("favor_csv_header") + ", cells as (select line_id, file_id, unnest(ids) as identity, unnest(fields) as v from judged where ok_values) " + _cells_sql("line_id, file_id"),
+    "p1_record_values": _COLUMNS + ", " + _union_sql("vep_output_format") + rf""",
+lay as (select file_id as release, list(case when sense <> '' then sense else chr(0) || lower(name) end order by ordinal) as ids from cols where dictionary = 'vep_output_format' group by 1),
+recs as (select variant_idx, vep_release as release, {packed_sql('info.CSQ')} as vs from variants),
+rec as (select variant_idx, release, unnest(generate_series(1, len(vs)))::int as pos, unnest(vs).value as value from recs),
+cut as (select variant_idx, pos, release, ids, string_split(value, '|') as parts from rec join lay using (release)),
+cells as (select variant_idx, pos, release, unnest(ids) as identity, unnest(list_transform(range(1, len(ids) + 1), lambda i: case when i = len(ids) then array_to_string(parts[i:], '|') else parts[i] end)) as v from cut) """ + _cells_sql("variant_idx, pos, release"),
+    "p2_found": _PACKED + " select field, row_id, pos, value from p",
+    "p2_flags": _PACKED + f""", q as (select field, value <> raw as quoted, case when value = raw and (case when field = 'Term' then {_OPEN.format('raw')}
+  else len(list_filter({_SUBS}, lambda x: {_OPEN.format('x')} and not regexp_full_match(x, '{_Q}[ \r\f\v]*'))) > 0 end) then 'malformed_quote' else '' end as error from p) select field, quoted, error, count(*) as n from q group by all""",
+    "p3_found": _JUDGED + rf""" select 'conversionfavor' as dictionary, line_id as row_id, case when not ok_quotes then 'quoting' when not ok_count then 'column_count' else 'bad_value' end as reason from judged where not ok_values
+  union all select 'favor_csv_header', header_id, case when ({_QUOTES}) % 2 = 1 then 'quoting' else 'bad_value' end from favor_csv_header where ({_QUOTES}) % 2 = 1
+    or not coalesce(regexp_full_match(column_name, '[A-Za-z0-9_.]+') and regexp_replace(lower(coalesce(type, '')), '^\s+|\s+$', '', 'g') in ('logical', 'integer', 'numeric', 'character'), false)""",
+    "p3_loaded": _JUDGED + " select line_id, file_id, len(fields)::int as n_fields from judged where ok_values",
     "p1_found": _COLUMNS + """,
 files as (select distinct dictionary, feed, file_seq, file_id from cols),
 pairs as (select dictionary, file_id, lag(file_id) over (partition by dictionary, feed order by file_seq, file_id) as prev from files),
@@ -111,7 +202,6 @@ f as (select dictionary, case when sense <> '' then sense else lower(name) end a
   min({'a': delivered_at, 'b': file_id, 'c': ordinal, 'd': lower(name)}) as first, count(distinct file_id) as n_files from cols group by all)
 select dictionary, first.d || case when row_number() over w > 1 then '_' || row_number() over w else '' end as column_name, ['logical', 'integer', 'numeric', 'character'][r] as type, n_files
 from f window w as (partition by dictionary, first.d order by first, identity)""",
-    "p3_loaded": None,
     "p4_profile": f"""with x as ({_VALUES})
 select load_id, column_name, count(*) as n_rows, count(*) - count(v) as n_null, count(*) filter (isnan(v)) as n_nan, count(*) filter (isinf(v)) as n_infinite,
   count(distinct v) filter (isfinite(v)) as n_distinct, min(v) filter (isfinite(v)) as min_finite, max(v) filter (isfinite(v)) as max_finite from x group by load_id, column_name""",
@@ -130,4 +220,3 @@ g as (select load_id, column_name, any_value(null_share) as ns, any_value(q25) a
 select load_id, column_name, issue from (select *, unnest([case when nulls / n > ns + 0.2 then 'null_rate' end, case when odd > 0 then 'not_finite' end, case when outside > 0 then 'range' end,
   case when dist * 10 < f then 'distinct' end, case when med < q25 or med > q75 then 'shift' end]) as issue from g) where issue is not null""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
