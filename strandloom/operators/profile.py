@@ -1,13 +1,15 @@
 """Column profiles of large tables, from footers and dictionaries where those suffice and from a scan elsewhere.
 
-Every file is first asked what its footer and its dictionaries can tell, on the executors.  A file whose row groups each
-belong to one load and whose statistics settle every asked question of every column is done with.  All other files, and
-only the asked columns of them, are scanned once: values are counted per (load, column, value), map-side first, so that a
-load that holds a third of all rows is spread over all tasks; everything else is a sum over those counts.
+Every row group of every file is first asked what its footer and its dictionaries can tell, on the executors.  A column chunk
+whose row group belongs to one load and whose statistics settle every asked question is done with; the other chunks, and no
+more of their row groups than those chunks and the numbers of their loads, are read and counted where they lie.  What moves
+is counts per (load, column, value), so that a load that holds a third of all rows is spread over all tasks; everything else is
+a sum over those counts.
 
 Defined cases: NaN is not null; NaN and infinite values are no finite values; -0.0 is 0.0.  A column without finite values in
 range has no median and no shift; one without finite values is not short of distinct ones.  Rows with a null load are a load
-of their own in ``profile`` and left out of ``issues`` (a result row names its load).  An empty table has no loads.
+of their own in ``profile`` and left out of ``issues`` (a result row names its load).  An empty table has no loads.  A table
+that is not a plain read of Parquet files is scanned by Spark.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.session import ship
+
 FACTS = "load_id int, name string, value double, n bigint"
 #: Shares of departures: how far the share of nulls may exceed the accepted one; finite values to a distinct one.
 NULL_MARGIN, PER_DISTINCT = 0.2, 10
@@ -28,61 +32,132 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & ~c.isin(float("inf"), float("-inf"))
 
 
-def _from_footers(paths: list[str], spark: SparkSession, columns: dict[str, str], load: str, bounds: dict[str, tuple[float, ...]]) -> DataFrame:
-    """(path, settled, facts): for each file whether its statistics settle everything, and if so its value facts.
+def _settled(f: dict, n_rows: int, bounds: tuple[float, ...] | None) -> list[tuple[float | None, int]] | None:
+    """(value, n) of a chunk of one load by its statistics, or None where they do not settle what is asked.
 
-    A chunk is settled where its row group holds one load, its null count is known, a dictionary covers it, and all finite
-    values in range lie on one side of (or all within) the accepted quartiles; its counts then follow from the number of
-    values, whatever their frequencies.
+    Without bounds every count must be that of its value: all values are null, or a dictionary of one value covers the
+    chunk.  With the accepted range and quartiles, all finite values may also lie on one side of (or all within) the
+    quartiles: any split of the counts among them gives the same answers then.
     """
+    nulls, values = f["nulls"], f["values"]
+    if nulls is None:
+        return None
+    if nulls == n_rows:
+        return [(None, nulls)]
+    if values is None or not len(values):
+        return None
+    v = [float(x) for x in values]
+    if len(v) > 1:
+        if bounds is None:
+            return None
+        low, high, q25, q75 = bounds
+        if not all(math.isfinite(x) and low <= x <= high for x in v) or len({"<" if x < q25 else ">" if x > q75 else "=" for x in v}) > 1:
+            return None
+    return [(None, nulls), (v[0], n_rows - nulls - len(v) + 1), *((x, 1) for x in v[1:])]
+
+
+def _flat(table):
+    """A table of plain columns, those of structs named by their path."""
+    while any(str(t).startswith("struct") for t in table.schema.types):
+        table = table.flatten()
+    return table
+
+
+def _counted(table, load: str, columns: dict[str, str]) -> Iterator:
+    """(load_id, name, value, n) of a part of a file, a batch a column."""
+    import numpy as np
+    import pyarrow as pa
+
+    of = table.column(load).combine_chunks()
+    no_load = of.is_null().to_numpy(zero_copy_only=False)
+    loads = of.fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
+    for name, column in columns.items():
+        c = table.column(column).combine_chunks().cast(pa.float64())
+        null = c.is_null().to_numpy(zero_copy_only=False)
+        v = c.fill_null(0).to_numpy(zero_copy_only=False) + 0.0  # -0.0 is 0.0
+        v[np.isnan(v)] = np.nan  # one NaN
+        order = np.lexsort((v.view("i8"), null, loads, no_load))
+        keys = [x[order] for x in (v.view("i8"), null, loads, no_load)]
+        first = np.ones(len(order), bool)
+        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        at = np.flatnonzero(first)
+        yield _batch(keys[2][at], keys[3][at], [name] * len(at), v[order][at], keys[1][at], np.diff(np.append(at, len(order))), True)
+
+
+def _batch(loads, no_load, names, values, null, n, scanned: bool):
+    import pyarrow as pa
+
+    arrays = [pa.array(loads, pa.int32(), mask=no_load), pa.array(names, pa.string()), pa.array(values, pa.float64(), mask=null), pa.array(n, pa.int64()), pa.array([scanned] * len(names), pa.bool_())]
+    return pa.RecordBatch.from_arrays(arrays, names=["load_id", "name", "value", "n", "scanned"])
+
+
+def chunk_counts(df: DataFrame, columns: dict[str, str], load: str, bounds: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
+    """(load_id, name, value, n, scanned) of a plain read of Parquet files, row group by row group: ``scanned`` tells the counts
+    that come from a chunk that was read from those that its statistics gave.
+
+    Two steps with a shuffle of one row a row group between them: the first reads footers and dictionaries, the second the
+    chunks that are left."""
+    spark, paths = df.sparkSession, df.inputFiles()
+    ship(spark)
+    fact = "struct<load_id:int,name:string,value:double,n:bigint>"
 
-    def facts(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
+    def footers(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         import pyarrow.parquet as pq
 
         from strandloom.sources.footers import chunk_facts, open_file
 
+        facts_type = pa.list_(pa.struct([("load_id", pa.int32()), ("name", pa.string()), ("value", pa.float64()), ("n", pa.int64())]))
+        schema = pa.schema([("path", pa.string()), ("grp", pa.int32()), ("facts", facts_type), ("left_over", pa.list_(pa.string()))])
         for batch in batches:
-            out = []
-            for path in batch["path"]:
-                rows, settled = [], True
+            for path in batch.column(0).to_pylist():
+                rows = []
                 with open_file(path) as source:
                     meta = pq.read_metadata(source)
                     index = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
                     for g in range(meta.num_row_groups):
-                        if load not in index or any(c not in index for c in columns.values()):
-                            settled = False
-                            break
-                        of = chunk_facts(source, meta, g, index[load], dictionaries=False)
-                        n_rows = meta.row_group(g).num_rows
-                        if of["nulls"] != 0 or of["low"] is None or of["low"] != of["high"]:
-                            settled = False
-                            break
+                        n_rows, facts, left = meta.row_group(g).num_rows, [], []
+                        of = chunk_facts(source, meta, g, index[load], dictionaries=False) if load in index else {"nulls": None, "low": None, "high": None}
+                        one = of["nulls"] == 0 and of["low"] is not None and of["low"] == of["high"]
                         for name, column in columns.items():
-                            f = chunk_facts(source, meta, g, index[column])
-                            if f["nulls"] is None or f["values"] is None:
-                                settled = False
-                                break
-                            held, v = n_rows - f["nulls"], f["values"].astype("f8")
-                            low, high, q25, q75 = bounds[name]
-                            sides = {("<" if x < q25 else ">" if x > q75 else "=") for x in v if math.isfinite(x) and low <= x <= high}
-                            odd = [x for x in v if not (math.isfinite(x) and low <= x <= high)]
-                            # frequencies of single values are not in a dictionary: counts follow only where all
-                            # values are of one kind, so that any split of them gives the same answers
-                            if np.isnan(v).any() or len(sides) + bool(odd) > 1 or len({math.isfinite(x) for x in v}) > 1 or (odd and len(v) > 1):
-                                settled = False
-                                break
-                            rows.append((int(of["low"]), name, None, f["nulls"]))
-                            rest = held - (len(v) - 1) if len(v) else 0
-                            rows += [(int(of["low"]), name, float(x), rest if i == 0 else 1) for i, x in enumerate(v)]
-                        if not settled:
-                            break
-                out.append((path, settled, [dict(zip(("load_id", "name", "value", "n"), r)) for r in rows] if settled else []))
-            yield pd.DataFrame(out, columns=["path", "settled", "facts"])
+                            got = _settled(chunk_facts(source, meta, g, index[column]), n_rows, bounds and bounds[name]) if one and column in index else None
+                            if got is None:
+                                left.append(name)
+                            else:
+                                facts += [{"load_id": int(of["low"]), "name": name, "value": v, "n": int(n)} for v, n in got if n]
+                        rows.append({"path": path, "grp": g, "facts": facts, "left_over": left})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    def chunks(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.parquet as pq
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism)))
-    return files.mapInPandas(facts, f"path string, settled boolean, facts array<struct<{FACTS.replace(' int', ':int').replace(' string', ':string').replace(' double', ':double').replace(' bigint', ':bigint')}>>")
+        from strandloom.sources.footers import open_file
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if facts := row["facts"]:
+                    null = np.array([f["value"] is None for f in facts])
+                    yield _batch(np.array([f["load_id"] for f in facts]), np.zeros(len(facts), bool), [f["name"] for f in facts], np.array([f["value"] or 0.0 for f in facts]) + 0.0, null, [f["n"] for f in facts], False)
+                if not row["left_over"]:
+                    continue
+                wanted = {n: columns[n] for n in row["left_over"]}
+                with open_file(row["path"]) as source:
+                    file = pq.ParquetFile(source)
+                    here = {file.metadata.schema.column(i).path for i in range(file.metadata.num_columns)}
+                    table = _flat(file.read_row_group(row["grp"], columns=sorted({load, *wanted.values()} & here)))
+                    for c in {load, *wanted.values()} - here:  # a file that lacks a column has nulls in it
+                        table = table.append_column(c, pa.nulls(file.metadata.row_group(row["grp"]).num_rows, pa.float64()))
+                if table.num_rows:
+                    yield from _counted(table, load, wanted)
+
+    cores = spark.sparkContext.defaultParallelism
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 4 * cores)))
+    groups = files.mapInArrow(footers, f"path string, grp int, facts array<{fact}>, left_over array<string>")
+    # a row group is a unit of work of its own, whatever file it lies in
+    groups = groups.repartition(max(1, min(8 * len(paths), 4 * cores)), "path", "grp")
+    return groups.mapInArrow(chunks, f"{FACTS}, scanned boolean")
 
 
 def _scanned(df: DataFrame, columns: dict[str, str], load: str) -> DataFrame:
@@ -90,23 +165,19 @@ def _scanned(df: DataFrame, columns: dict[str, str], load: str) -> DataFrame:
     return df.select(F.col(load).alias("load_id"), each).groupBy("load_id", "x.name", "x.value").agg(F.count(F.lit(1)).alias("n")).select("load_id", "name", "value", "n")
 
 
-def value_counts(df: DataFrame, columns: dict[str, str], load: str, bounds: dict[str, tuple[float, ...]]) -> DataFrame:
-    """(load_id, name, value, n) of the named columns: from statistics for files they settle, scanned for the rest.
+def _is_plain_read(df: DataFrame) -> bool:
+    """Whether a table is all of some Parquet files and nothing else."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().split("\n")[0].lower()
 
-    Counts of settled files stand for the questions of ``issues`` and need not be those of single values.
-    ``df`` must be a plain read of Parquet files."""
-    spark, paths = df.sparkSession, df.inputFiles()
-    if not paths:
-        return _scanned(df, columns, load)
-    told = _from_footers(paths, spark, columns, load, bounds)
-    settled = {r.path for r in told.where("settled").select("path").toLocalIterator()}
-    rest = [p for p in paths if p not in settled]
-    if not settled:
+
+def value_counts(df: DataFrame, columns: dict[str, str], load: str, bounds: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
+    """(load_id, name, value, n) of the named columns: from statistics for chunks they settle, read for the rest.
+
+    With bounds, counts of settled chunks stand for the questions of ``issues`` and need not be those of single values."""
+    if not _is_plain_read(df) or not df.inputFiles():
         return _scanned(df, columns, load)
-    known = told.where("settled").select(F.inline("facts"))
-    scan = _scanned(spark.read.schema(df.schema).parquet(*rest), columns, load) if rest else None
-    both = known if scan is None else known.unionByName(scan)
-    return both.groupBy("load_id", "name", "value").agg(F.sum("n").alias("n"))
+    return chunk_counts(df, columns, load, bounds).groupBy("load_id", "name", "value").agg(F.sum("n").alias("n"))
 
 
 def issues(df: DataFrame, accepted: DataFrame, columns: dict[str, str], load: str = "load_id") -> DataFrame:
@@ -164,7 +235,7 @@ def profile(df: DataFrame, columns: dict[str, str], load: str = "load_id", accep
     values are interpolated).
 
     ``accepted`` is that of ``issues``; n_outside is null for columns, or bounds, that it does not give."""
-    counts = _scanned(df, columns, load)
+    counts = value_counts(df, columns, load)
     v, n = F.col("value"), F.col("n")
     ok = _finite(v)
     bounds = {r.column_name: r for r in accepted.where(F.col("column_name").isin(*columns)).collect()} if accepted is not None else {}
@@ -173,32 +244,73 @@ def profile(df: DataFrame, columns: dict[str, str], load: str = "load_id", accep
         given = [x for name, r in bounds.items() for x in (F.lit(name), F.lit(r[field]).cast("double"))]
         return F.element_at(F.create_map(*given), F.col("name")) if given else F.lit(None).cast("double")
 
-    # running sums over the distinct values of a load and column, not over its rows
-    by = Window.partitionBy("load_id", "name")
-    finite = F.when(ok, n).otherwise(0)
-    counts = counts.withColumns({"up_to": F.sum(finite).over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "finite": F.sum(finite).over(by), "low": of("min_value"), "high": of("max_value")})
+    low, high = of("min_value"), of("max_value")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
-
-    def quantile(q: float) -> Column:
-        """By the values at the places next to q * (n - 1), counted from 0."""
-        place = F.lit(q) * (F.col("finite") - 1)
-        a, b = (F.min(F.when(ok & (F.col("up_to") > p), v)) for p in (F.floor(place), F.ceil(place)))
-        return a + (b - a) * F.max(place - F.floor(place))
-
-    known = F.max(F.col("low").isNotNull() & F.col("high").isNotNull())
-    return counts.groupBy("load_id", F.col("name").alias("column_name")).agg(
+    per = counts.groupBy("load_id", "name").agg(
         F.sum(n).cast("bigint").alias("n_rows"),
         total(v.isNull()).alias("n_null"),
         total(F.isnan(v)).alias("n_nan"),
         total(v.isNotNull() & ~F.isnan(v) & ~ok).alias("n_infinite"),
-        F.when(known, total(ok & ~v.between(F.col("low"), F.col("high")))).alias("n_outside"),
+        F.when(F.max(low.isNotNull() & high.isNotNull()), total(ok & ~v.between(low, high))).alias("n_outside"),
         F.count(F.when(ok, 1)).alias("n_distinct"),
         F.min(F.when(ok, v)).alias("min_finite"),
-        quantile(0.25).alias("q25"),
-        quantile(0.5).alias("median"),
-        quantile(0.75).alias("q75"),
         F.max(F.when(ok, v)).alias("max_finite"),
     )
+    quantiles = _quantiles(counts.where(ok), {"q25": 0.25, "median": 0.5, "q75": 0.75}).withColumnsRenamed({"load_id": "_load", "name": "_name"})
+    on = per["load_id"].eqNullSafe(F.col("_load")) & (per["name"] == F.col("_name"))
+    return per.join(quantiles, on, "left").select(
+        "load_id", F.col("name").alias("column_name"), "n_rows", "n_null", "n_nan", "n_infinite", "n_outside", "n_distinct", "min_finite", "q25", "median", "q75", "max_finite"
+    )
+
+
+def _quantiles(counts: DataFrame, qs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of finite values per (load_id, name), between two values interpolated.
+
+    Values fall into logarithmic buckets of 2 % width; running sums over those find the buckets in which the wanted places
+    lie, and only values of these buckets are put in order, so that no task orders all values of a load."""
+    v = F.col("value")
+    bucket = F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * (F.ceil(F.log(F.abs(v)) / math.log(1.02)) + 100_000)).cast("int")
+    counts = counts.withColumn("b", bucket)
+    by = ["load_id", "name"]
+    of = Window.partitionBy(*by)
+    hist = counts.groupBy(*by, "b").agg(F.sum("n").alias("m"))
+    hist = hist.withColumns({"before": F.sum("m").over(of.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m"), "all_of": F.sum("m").over(of)})
+    place = {name: F.lit(q) * (F.col("all_of") - 1) for name, q in qs.items()}
+    holds = F.lit(False)
+    for p in place.values():
+        for at in (F.floor(p), F.ceil(p)):
+            holds = holds | ((at >= F.col("before")) & (at < F.col("before") + F.col("m")))
+    wanted = hist.where(holds).select(F.col("load_id").alias("_l"), F.col("name").alias("_n"), F.col("b").alias("_b"), "before", "all_of")
+    rows = counts.join(wanted, counts["load_id"].eqNullSafe(F.col("_l")) & (counts["name"] == F.col("_n")) & (counts["b"] == F.col("_b")))
+    within = Window.partitionBy(*by, "b").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("up_to", F.col("before") + F.sum("n").over(within))
+
+    def quantile(p: Column) -> Column:
+        a, b = (F.min(F.when(F.col("up_to") > at, v)) for at in (F.floor(p), F.ceil(p)))
+        return a + (b - a) * F.max(p - F.floor(p))
+
+    return rows.groupBy(*by).agg(*[quantile(p).alias(name) for name, p in place.items()])
+
+
+def changes(profiled: DataFrame) -> DataFrame:
+    """(load_id, column_name, previous_load, null_share_change, median_change, spread_change, distinct_share_change): each load
+    against the one before it by number, from rows of ``profile``; a load without values has null for what it lacks.  One row a
+    load and column: the window is as small as that."""
+    finite = F.col("n_rows") - F.col("n_null") - F.col("n_nan") - F.col("n_infinite")
+    facts = profiled.where("load_id is not null").select(
+        "load_id", "column_name", (F.col("n_null") / F.col("n_rows")).alias("null_share"), "median", (F.col("q75") - F.col("q25")).alias("spread"), F.when(finite > 0, F.col("n_distinct") / finite).alias("distinct_share")
+    )
+    before = Window.partitionBy("column_name").orderBy("load_id")
+    names = ("null_share", "median", "spread", "distinct_share")
+    return facts.select("load_id", "column_name", F.lag("load_id").over(before).alias("previous_load"), *[(F.col(n) - F.lag(n).over(before)).alias(f"{n}_change") for n in names]).where("previous_load is not null")
+
+
+def pattern_violations(df: DataFrame, patterns: dict[str, tuple[str, str]], load: str = "load_id") -> DataFrame:
+    """(load_id, column_name, n_values, n_violations) per load: values of text columns that are not matched as a whole by their
+    pattern; patterns is name -> (column, pattern).  Null is no value; a null load is a load of its own."""
+    parts = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).isNotNull().alias("is_value"), F.coalesce(~F.col(c).rlike(rf"\A(?:{p})\z"), F.lit(False)).alias("bad")) for n, (c, p) in patterns.items()])
+    rows = df.select(F.col(load).alias("load_id"), F.explode(parts).alias("x"))
+    return rows.groupBy("load_id", F.col("x.name").alias("column_name")).agg(F.count(F.when(F.col("x.is_value"), 1)).alias("n_values"), F.count(F.when(F.col("x.bad"), 1)).alias("n_violations"))
 
 
 def footer_profile(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators import drift, packed, profile, rejects
-from strandloom.session import read, ship
+from strandloom.session import checkpoint_dir, read, ship
 
 PROFILED = {n: f"info.{n}" for n in ("cadd_phred", "linsight", "apc_conservation")}
 
@@ -89,14 +91,53 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return profile.issues(read(spark, d, "variants"), read(spark, d, "column_profile"), PROFILED)
 
 
+def _by_load(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of all loads, one of them not delivered and one rounded, in a table with files of few loads each."""
+    ship(spark)
+    out = f"{checkpoint_dir(spark)}/by-load-{uuid.uuid4().hex}"
+    info = F.struct(F.col("info.cadd_phred").alias("cadd_phred"), F.lit(None).cast("float").alias("linsight"), (F.col("load_id") / 1).cast("float").alias("apc_conservation"))
+    read(spark, d, "variants").where("load_id is not null").select("load_id", info.alias("info")).repartitionByRange(64, "load_id").write.parquet(out)
+    return spark.read.parquet(out)
+
+
+def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Where the counts of such a table come from: the columns whose statistics settle chunks of a load."""
+    got = profile.chunk_counts(_by_load(spark, d), PROFILED, "load_id")
+    one = got.groupBy("load_id", "name").agg(F.max(F.when(F.col("scanned"), 1).otherwise(0)).alias("scanned"), F.sum("n").alias("n"))
+    # a load that shares a row group with another one is scanned; all others only where their values differ
+    return one.groupBy(F.col("name").alias("column_name")).agg(F.sum("n").alias("n_rows"), (F.sum("scanned") < F.count(F.lit(1))).alias("some_not_scanned"))
+
+
+def p4_by_load(spark: SparkSession, d: str) -> DataFrame:
+    """The issues of such a table."""
+    return profile.issues(_by_load(spark, d), read(spark, d, "column_profile"), PROFILED)
+
+
+def p4_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What changes from each load to the next."""
+    ship(spark)
+    got = profile.changes(profile.profile(read(spark, d, "variants"), PROFILED))
+    return got.select("load_id", "column_name", "previous_load", *[F.round(c, 6).alias(c) for c in got.columns[3:]])
+
+
+PATTERNS = {"chr": ("chr", "(?:chr)?(?:[1-9]|1[0-9]|2[0-2]|X|Y)"), "ref": ("ref", "[ACGTNacgtn]+"), "id": ("id", "rs[0-9]+"), "variant_type": ("info.variant_type", "[a-z]+")}
+
+
+def p4_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Values of text columns that break their pattern, by load."""
+    return profile.pattern_violations(read(spark, d, "variants"), PATTERNS)
+
+
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     """The profile of each load and column without its distribution, which p4_distribution has."""
+    ship(spark)
     got = profile.profile(read(spark, d, "variants"), PROFILED)
     return got.select("load_id", "column_name", "n_rows", "n_null", "n_nan", "n_infinite", "n_distinct", "min_finite", "max_finite")
 
 
 def p4_distribution(spark: SparkSession, d: str) -> DataFrame:
     """The profile of each load and column with quartiles and the values out of the accepted range."""
+    ship(spark)
     return profile.profile(read(spark, d, "variants"), PROFILED, accepted=read(spark, d, "column_profile"))
 
 
@@ -106,7 +147,7 @@ def p4_footers(spark: SparkSession, d: str) -> DataFrame:
     return profile.footer_profile(read(spark, d, "variants"), PROFILED)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_schema, p1_lines, p1_line_values, p1_records, p1_record_values, p2_found, p2_flags, p3_found, p3_loaded, p4_found, p4_profile, p4_distribution, p4_footers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_schema, p1_lines, p1_line_values, p1_records, p1_record_values, p2_found, p2_flags, p3_found, p3_loaded, p4_found, p4_profile, p4_distribution, p4_footers, p4_chunks, p4_by_load, p4_changes, p4_patterns)}
 
 _VALUES = "select load_id, unnest(['cadd_phred', 'linsight', 'apc_conservation']) as column_name, unnest([info.cadd_phred, info.linsight, info.apc_conservation])::double as v from variants"
 _SENSE = r"trim(regexp_replace(lower(coalesce(description, '')), '\s+', ' ', 'g'), ' .')"
@@ -220,3 +261,16 @@ g as (select load_id, column_name, any_value(null_share) as ns, any_value(q25) a
 select load_id, column_name, issue from (select *, unnest([case when nulls / n > ns + 0.2 then 'null_rate' end, case when odd > 0 then 'not_finite' end, case when outside > 0 then 'range' end,
   case when dist * 10 < f then 'distinct' end, case when med < q25 or med > q75 then 'shift' end]) as issue from g) where issue is not null""",
 }
+
+_DISTRIBUTION, _FOUND = SQL["p4_distribution"], SQL["p4_found"]
+_BY_LOAD = "select load_id, unnest(['cadd_phred', 'linsight', 'apc_conservation']) as column_name, unnest([info.cadd_phred, null, load_id::float])::double as v from variants where load_id is not null"
+SQL |= {
+    "p4_chunks": "select unnest(['cadd_phred', 'linsight', 'apc_conservation']) as column_name, count(*) as n_rows, unnest([false, true, true]) as some_not_scanned from variants where load_id is not null",
+    "p4_by_load": _FOUND.replace(_VALUES, _BY_LOAD),
+    "p4_changes": f"""with prof as ({_DISTRIBUTION}), s as (select load_id, column_name, n_null / n_rows as null_share, median, q75 - q25 as spread,
+  case when n_rows - n_null - n_nan - n_infinite > 0 then n_distinct / (n_rows - n_null - n_nan - n_infinite) end as distinct_share from prof where load_id is not null)
+select * from (select load_id, column_name, lag(load_id) over w as previous_load, """
+    + ", ".join(f"round({c} - lag({c}) over w, 6) as {c}_change" for c in ("null_share", "median", "spread", "distinct_share"))
+    + " from s window w as (partition by column_name order by load_id)) where previous_load is not null",
+    "p4_patterns": " union all ".join(f"select load_id, '{n}' as column_name, count({c}) as n_values, count(*) filter ({c} is not null and not regexp_full_match({c}, '{p}')) as n_violations from variants group by load_id" for n, (c, p) in PATTERNS.items()),
+}

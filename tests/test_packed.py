@@ -50,6 +50,17 @@ def test_positions_flags_and_extra_columns(spark):
     assert packed.split_rows(df.limit(0), {"F": F.col("f")}, "row_id").count() == 0
 
 
+def test_flags_follow_the_grammar(spark):
+    cases = {
+        '"A|x,1"': ("A|x,1", True, ""), '"A|x': ('"A|x', False, "malformed_quote"), 'A|"x|y"|z': ('A|"x|y"|z', False, ""), 'A|"x|y': ('A|"x|y', False, "malformed_quote"),
+        'A|"x"y|z': ('A|"x"y|z', False, "malformed_quote"), "5'UTR|3'": ("5'UTR|3'", False, ""), 'A|"say ""x"""': ('A|"say ""x"""', False, ""), "'a\"b'": ('a"b', True, ""), '|"x" |': ('|"x" |', False, ""),
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "x string").coalesce(1).select("x", packed.flagged(F.col("x")).alias("v")).collect()
+    assert {r.x: tuple(r.v[0]) for r in got} == cases
+    got = spark.createDataFrame([('"a',), ("'a'",), ('a"',)], "x string").coalesce(1).select(packed.flagged(F.col("x"), packed.TERMS).alias("v")).collect()
+    assert [r.v[0].error for r in got] == ["malformed_quote", "", ""]
+
+
 def test_long(spark):
     text = ",".join(["A|" + "x" * 50] * 20000) + ',"' + '""' * 50000 + '"'
     got = spark.createDataFrame([(1, text)], "i long, x string").select(packed.values(F.col("x")).alias("v")).first().v

@@ -72,8 +72,7 @@ def test_settled_without_scan(spark, tmp_path):
     ship(spark)
     table([(1, 15.0, 0.3)] * 60, tmp_path / "one.parquet", 20)
     df = spark.read.parquet(str(tmp_path))
-    told = profile._from_footers(df.inputFiles(), spark, COLS, "load_id", {a[0]: (a[1], a[2], a[4], a[6]) for a in ACCEPTED}).first()
-    assert told.settled
+    assert profile.chunk_counts(df, COLS, "load_id").where("scanned").count() == 0
     accepted = spark.createDataFrame(ACCEPTED, "column_name string, min_value double, max_value double, null_share double, q25 double, q50 double, q75 double")
     assert {tuple(r) for r in profile.issues(df, accepted, COLS).collect()} == {(1, "x", "distinct"), (1, "y", "distinct")}
     assert profile.issues(df.limit(0).where("false"), accepted.limit(0), COLS).count() == 0
@@ -94,3 +93,36 @@ def test_distribution(spark, tmp_path, seed):
         assert r.n_outside == (sum(not 0 <= x <= 100 for x in v) if name == "x" else None)
         quarters = statistics.quantiles(v, n=4, method="inclusive") if len(v) > 1 else v * 3 if v else [None] * 3
         assert (r.q25, r.median, r.q75) == (pytest.approx(tuple(quarters)) if v else tuple(quarters))
+
+
+def test_only_unsettled_chunks_are_read(spark, tmp_path):
+    nan = float("nan")
+    table([(1, 15.0, 0.3)] * 20 + [(2, 15.0, None)] * 20 + [(3, nan, -0.0)] * 20 + [(4, 1.0, 0.1), (4, 2.0, 0.1)] * 10 + [(5, 1.0, 0.1), (None, 1.0, 0.1)] * 10, tmp_path / "a.parquet", 20)
+    df = spark.read.parquet(str(tmp_path))
+    got = profile.chunk_counts(df, COLS, "load_id")
+    assert {(r.load_id, r.name) for r in got.where("scanned").collect()} == {(4, "x"), (5, "x"), (5, "y"), (None, "x"), (None, "y")}
+    counts = {(r.load_id, r.name, str(r.value)): r.n for r in profile.value_counts(df, COLS, "load_id").collect()}
+    assert counts == {(1, "x", "15.0"): 20, (1, "y", "0.3"): 20, (2, "x", "15.0"): 20, (2, "y", "None"): 20, (3, "x", "nan"): 20, (3, "y", "0.0"): 20, (4, "x", "1.0"): 10, (4, "x", "2.0"): 10, (4, "y", "0.1"): 20, (5, "x", "1.0"): 10, (5, "y", "0.1"): 10, (None, "x", "1.0"): 10, (None, "y", "0.1"): 10}
+    # with bounds, values on one side of the quartiles settle a chunk too
+    bounds = {a[0]: (a[1], a[2], a[4], a[6]) for a in ACCEPTED}
+    assert {r.load_id for r in profile.chunk_counts(df, COLS, "load_id", bounds).where("scanned").collect()} == {5, None}
+    # what is no plain read is scanned by Spark: filters hold
+    part = {(r.load_id, r.name, str(r.value)): r.n for r in profile.value_counts(df.where("load_id = 4"), COLS, "load_id").collect()}
+    assert part == {k: n for k, n in counts.items() if k[0] == 4}
+
+
+def test_files_that_lack_a_column(spark, tmp_path):
+    table([(1, 15.0, 0.3), (2, 1.0, None)], tmp_path / "a.parquet", 20)
+    pq.write_table(pa.table({"load_id": pa.array([1, 1], pa.int32()), "info": pa.array([{"x": 2.0}, None], pa.struct([("x", pa.float64())]))}), tmp_path / "b.parquet")
+    df = spark.read.schema("load_id int, info struct<x: double, y: double>").parquet(str(tmp_path))
+    counts = {(r.load_id, r.name, r.value): r.n for r in profile.value_counts(df, COLS, "load_id").collect()}
+    assert counts == {(1, "x", 15.0): 1, (1, "x", 2.0): 1, (1, "x", None): 1, (2, "x", 1.0): 1, (1, "y", 0.3): 1, (1, "y", None): 2, (2, "y", None): 1}
+
+
+def test_changes_and_patterns(spark, tmp_path):
+    table([(1, 1.0, 0.3), (1, 3.0, 0.3), (3, 5.0, None), (3, 5.0, None)], tmp_path / "a.parquet", 20)
+    got = {r.column_name: r for r in profile.changes(profile.profile(spark.read.parquet(str(tmp_path)), COLS)).collect()}
+    assert (got["x"].load_id, got["x"].previous_load, got["x"].median_change, got["x"].distinct_share_change, got["x"].null_share_change) == (3, 1, 3.0, -0.5, 0.0)
+    assert (got["y"].median_change, got["y"].null_share_change, got["y"].distinct_share_change) == (None, 1.0, None)
+    df = spark.createDataFrame([(1, "ab"), (1, "ab\n"), (1, None), (None, "")], "load_id int, t string")
+    assert {tuple(r) for r in profile.pattern_violations(df, {"t": ("t", "[a-z]+")}).collect()} == {(1, "t", 2, 1), (None, "t", 1, 1)}

@@ -47,6 +47,11 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_without_llm():
-    code = "import sys; sys.modules['strandloom.llm'] = None; import __spark_entry__ as e; assert e.llm is None and 'p1_found' in e.queries() and 'p7_ids' not in e.queries()"
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+def test_without_llm(tmp_path):
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "strandloom"), tmp_path / "strandloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; assert e.llm is None and 'p1_found' in e.queries() and 'p7_ids' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""})

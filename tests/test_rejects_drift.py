@@ -22,7 +22,7 @@ def header(spark, files):
 
 def log(spark, files):
     h, _ = header(spark, files)
-    return sorted(tuple(r) for r in drift.changes(rejects.header_columns(h)).collect())
+    return sorted(tuple(r)[2:] for r in drift.changes(rejects.header_columns(h)).collect())
 
 
 def test_changes(spark):
@@ -34,6 +34,27 @@ def test_changes(spark):
     assert got == [(2, "added", "", "d"), (2, "added", "", "h"), (2, "removed", "c", ""), (2, "removed", "g", ""), (2, "renamed", "a", "A"), (2, "retyped", "b", "b")]
 
 
+def test_log_is_in_order(spark):
+    h, _ = header(spark, {10: [("a", "numeric", "x")], 3: [("b", "numeric", "y")], 7: [("c", "numeric", "z")]})
+    none = spark.createDataFrame([], "release int, ordinal int, name string, type string, uniform string, description string, released_at timestamp")
+    got = [(r.file_id, r.change) for r in drift.change_log(h, none).collect()]
+    assert got == [(3, "added"), (3, "removed"), (7, "added"), (7, "removed")]
+
+
+def test_one_file_holds_nearly_all_lines(spark):
+    h, _ = header(spark, {f: [("s", "numeric", "x")] for f in range(1, 40)})
+    lines = spark.range(4000).select(F.col("id").alias("line_id"), F.when(F.col("id") < 3600, 1).otherwise(2 + F.col("id") % 38).cast("int").alias("file_id"), F.lit("1-5-A-C,1,5,A,C,1").alias("raw"))
+    shares = rejects.PARTS * spark.sparkContext.defaultParallelism
+    assert [tuple(r) for r in rejects.hot_files(lines).collect()] == [(1, -(-3600 * shares // 4000))]
+    laid = rejects.with_layout(lines, rejects.layouts(h), rejects.hot_files(lines))
+    assert laid.count() == 4000 and laid.where("names is null").count() == 0
+    got = drift.consistent_lines(lines, h)
+    assert got.where("s = 1").count() == 4000
+    # no task of the join gets much more than its share of the hot file
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan and rejects.hot_files(lines.limit(0)).count() == 0
+
+
 def test_first_file_and_empty(spark):
     assert log(spark, {1: [("a", "numeric", "x")]}) == []
     h, _ = header(spark, {1: []})
