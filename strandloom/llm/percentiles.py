@@ -62,3 +62,26 @@ def percentiles(sketched: DataFrame, keys: list[str], qs: dict[str, float], accu
         rank = F.floor(F.lit(q) * (F.col("all_of") - 1))
         picks.append(F.max(F.when((rank < F.col("up_to")) & (rank >= F.col("up_to") - F.col("n")), F.col("estimate"))).alias(name))
     return run.groupBy(*keys).agg(F.max("all_of").alias("n"), *picks)
+
+
+def measured_error(values: DataFrame, keys: list[str], qs: dict[str, float], value: str = "value", accuracy: float = ACCURACY) -> DataFrame:
+    """(keys..., percentile, n, exact, estimate, relative_error): the percentiles of the sketch beside the exact ones.
+
+    The sketch tells the bucket that holds each percentile; only values of these buckets are counted one by one and put in
+    order, so that no group is sorted whole.  relative_error is 0 where both are 0."""
+    sketched = sketch(values, keys, value, accuracy)
+    order = Window.partitionBy(*keys).orderBy("sign", F.col("sign") * F.col("bucket"))
+    run = sketched.withColumns({"before": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"), "all_of": F.sum("n").over(Window.partitionBy(*keys))})
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("percentile"), F.lit(q).alias("q")) for k, q in qs.items()])).alias("p")
+    run = run.select(*keys, "sign", "bucket", "before", "n", "all_of", asked).select("*", "p.*").withColumn("rank", F.floor(F.col("q") * (F.col("all_of") - 1)))
+    held = run.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).drop("n", "p")
+    v = F.col(value).cast("double")
+    real = values.where(v.isNotNull() & ~F.isnan(v) & ~v.isin(float("inf"), float("-inf")))
+    one = real.groupBy(*keys, F.signum(v).cast("int").alias("sign"), bucket(v, accuracy).alias("bucket"), v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rows = held.join(one, [*keys, "sign", "bucket"])
+    within = Window.partitionBy(*keys, "percentile").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("up_to", F.col("before") + F.sum("n").over(within))
+    g = _gamma(accuracy)
+    estimate = F.col("sign") * F.lit(2.0) * F.pow(F.lit(g), F.col("bucket")) / F.lit(g + 1)
+    got = rows.where((F.col("up_to") > F.col("rank")) & (F.col("up_to") - F.col("n") <= F.col("rank"))).select(*keys, "percentile", F.col("all_of").alias("n"), F.col("v").alias("exact"), estimate.alias("estimate"))
+    return got.withColumn("relative_error", F.when(F.col("exact") == 0, F.abs("estimate")).otherwise(F.abs(F.col("estimate") - F.col("exact")) / F.abs("exact")))

@@ -81,9 +81,11 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_exact_bound(spark: SparkSession, d: str) -> DataFrame:
-    """Per metric over all rows: the bound that is stated, and the percentiles of the combined sketch."""
-    got = percentiles.percentiles(percentiles.combine(_sketch_by_load(spark, d).select("metric", "sign", "bucket", "n")), ["metric"], QS)
-    return got.select("metric", "n", F.lit(percentiles.ACCURACY).alias("relative_error"), *[F.round(q, 6).alias(q) for q in QS])
+    """Per metric over all rows: percentiles of the sketch beside the exact ones, and the error against the one stated."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"info.{m}").cast("double").alias("value")) for m in METRICS])).alias("x")
+    got = percentiles.measured_error(read(spark, d, "variants").select(each).select("x.*"), ["metric"], QS)
+    within = (F.col("relative_error") <= percentiles.ACCURACY * (1 + 1e-9)).alias("within_stated")
+    return got.select("metric", "percentile", "n", F.lit(percentiles.ACCURACY).alias("stated_error"), "exact", F.round("estimate", 6).alias("estimate"), F.round("relative_error", 6).alias("relative_error"), within)
 
 
 def _p6_sql(keys: str, source: str, extra: str = "") -> str:
@@ -145,6 +147,15 @@ def p8_shares_all(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(*_clamped(spark, d))
 
 
+def p8_plan_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of a mix by characters, as large as all sources with a target: some are clamped, others take their excess."""
+    targets = read(spark, d, "mix_targets")
+    sized = read(spark, d, "documents").join(targets.where("source is not null").select("source").distinct(), "source", "left_semi").select("doc_id", "source", F.coalesce("n_chars", F.lit(0)).cast("bigint").alias("n_tokens"))
+    total = sized.agg(F.sum("n_tokens")).first()[0]
+    got = mix.plan(sized, targets, total_tokens=total)
+    return got.select("source", "target_share", "max_repeats", "available", F.round("wanted", 3).alias("wanted"), F.round("epochs", 6).alias("epochs"), (F.abs(F.col("epochs") - F.col("max_repeats")) < 1e-9).alias("clamped"))
+
+
 # ---- 9: abusive content
 
 
@@ -165,7 +176,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, p5_frequencies, p6_percentiles, p6_exact_bound, p7_ids, p8_mix, p8_shares, p8_mix_all, p8_shares_all, p9_found, p9_scores, p9_rates)
+    for f in (p5_found, p5_frequencies, p6_percentiles, p6_exact_bound, p7_ids, p8_mix, p8_shares, p8_mix_all, p8_shares_all, p8_plan_chars, p9_found, p9_scores, p9_rates)
 }
 
 _DIMENSIONS = """select 'chr' as dimension, coalesce(regexp_replace(chr, '^chr', ''), '') as grp, metric, v from vals
@@ -176,5 +187,18 @@ SQL = {
     "p5_found": _P5 + "select field, value, mark from res where mark <> ''",
     "p5_frequencies": _P5 + "select field, value, occurrences, records, round(share, 6) as share, mark from res",
     "p6_percentiles": _p6_sql("dimension, grp, metric", _DIMENSIONS),
-    "p6_exact_bound": _p6_sql("metric", "select metric, v from vals", "0.01::double as relative_error,"),
+    "p6_exact_bound": f"""with vals as (select unnest(['cadd_phred', 'linsight', 'apc_epigenetics']) as metric, unnest([info.cadd_phred, info.linsight, info.apc_epigenetics])::double as v from variants),
+r as (select metric, v, row_number() over (partition by metric order by v) - 1 as place, count(*) over (partition by metric) as n from vals where isfinite(v)),
+q as (select unnest({list(QS)}) as percentile, unnest({list(QS.values())}) as q),
+e as (select metric, percentile, n, v as exact, case when v = 0 then 0.0 else sign(v) * 2 * pow(1.01 / 0.99, ceil(ln(abs(v)) / ln(1.01 / 0.99))) / (1.01 / 0.99 + 1) end as estimate from r join q on place = floor(q * (n - 1)))
+select metric, percentile, n, 0.01::double as stated_error, exact, round(estimate, 6) as estimate, round(case when exact = 0 then abs(estimate) else abs(estimate - exact) / abs(exact) end, 6) as relative_error, true as within_stated from e""",
+    # what is left after the first k sources by cap / weight are clamped, over the weights of the others: the first k that fits
+    "p8_plan_chars": """with t as (select source, max({'a': target_share, 'b': max_repeats}) as m from mix_targets where source is not null group by source),
+h as (select source, sum(coalesce(n_chars, 0))::bigint as available from documents group by source),
+s as (select source, m.a as target_share, m.b as max_repeats, coalesce(available, 0)::bigint as available, greatest(coalesce(m.a, 0), 0) as w, (coalesce(m.b, 0) * coalesce(available, 0))::double as most from t left join h using (source)),
+o as (select *, sum(available) over () as total, case when w > 0 and most > 0 then most / w end as bend from s),
+c as (select *, coalesce(sum(most) over (order by bend, source rows between unbounded preceding and 1 preceding), 0) as full_before, sum(w) over (order by bend, source rows between current row and unbounded following) as open_w from o where bend is not null),
+level as (select arg_min((total - full_before) / open_w, (bend, source)) filter ((total - full_before) / open_w <= bend) as l from c)
+select source, target_share, max_repeats, available, round(case when bend is null then 0 else least(w * coalesce(l, 1e300), most) end, 3) as wanted,
+  round(case when bend is null then 0 else least(w * coalesce(l, 1e300), most) / available end, 6) as epochs, coalesce(available > 0 and bend <= coalesce(l, 1e300), max_repeats = 0) as clamped from o, level""",
 }

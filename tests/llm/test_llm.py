@@ -304,7 +304,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["p5_found", "p5_frequencies", "p6_percentiles", "p6_exact_bound", "p7_ids", "p8_mix", "p8_shares", "p9_found", "p9_scores", "p9_rates"])
+@pytest.mark.parametrize("name", ["p5_found", "p5_frequencies", "p6_percentiles", "p6_exact_bound", "p7_ids", "p8_mix", "p8_shares", "p8_plan_chars", "p9_found", "p9_scores", "p9_rates"])
 def test_query(spark, name):
     import duckdb
     from compare import rows_of
