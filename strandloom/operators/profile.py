@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.session import ship
+from strandloom.session import cut, ship
 
 FACTS = "load_id int, name string, value double, n bigint"
 #: Shares of departures: how far the share of nulls may exceed the accepted one; finite values to a distinct one.
@@ -95,8 +95,8 @@ def chunk_counts(df: DataFrame, columns: dict[str, str], load: str, bounds: dict
     """(load_id, name, value, n, scanned) of a plain read of Parquet files, row group by row group: ``scanned`` tells the counts
     that come from a chunk that was read from those that its statistics gave.
 
-    Two steps with a shuffle of one row a row group between them: the first reads footers and dictionaries, the second the
-    chunks that are left."""
+    The first step reads footers and dictionaries and leaves one row a row group on shared storage; the driver gets the
+    names of the files of which nothing is settled, out of the list of files that it has."""
     spark, paths = df.sparkSession, df.inputFiles()
     ship(spark)
     fact = "struct<load_id:int,name:string,value:double,n:bigint>"
@@ -108,7 +108,7 @@ def chunk_counts(df: DataFrame, columns: dict[str, str], load: str, bounds: dict
         from strandloom.sources.footers import chunk_facts, open_file
 
         facts_type = pa.list_(pa.struct([("load_id", pa.int32()), ("name", pa.string()), ("value", pa.float64()), ("n", pa.int64())]))
-        schema = pa.schema([("path", pa.string()), ("grp", pa.int32()), ("facts", facts_type), ("left_over", pa.list_(pa.string()))])
+        schema = pa.schema([("path", pa.string()), ("grp", pa.int32()), ("facts", facts_type), ("left_over", pa.list_(pa.string())), ("whole", pa.bool_())])
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows = []
@@ -126,7 +126,8 @@ def chunk_counts(df: DataFrame, columns: dict[str, str], load: str, bounds: dict
                             else:
                                 facts += [{"load_id": int(of["low"]), "name": name, "value": v, "n": int(n)} for v, n in got if n]
                         rows.append({"path": path, "grp": g, "facts": facts, "left_over": left})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                whole = all(len(r["left_over"]) == len(columns) for r in rows)
+                yield pa.RecordBatch.from_pylist([r | {"whole": whole} for r in rows], schema=schema)
 
     def chunks(batches: Iterator) -> Iterator:
         import numpy as np
@@ -154,10 +155,17 @@ def chunk_counts(df: DataFrame, columns: dict[str, str], load: str, bounds: dict
 
     cores = spark.sparkContext.defaultParallelism
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 4 * cores)))
-    groups = files.mapInArrow(footers, f"path string, grp int, facts array<{fact}>, left_over array<string>")
-    # a row group is a unit of work of its own, whatever file it lies in
-    groups = groups.repartition(max(1, min(8 * len(paths), 4 * cores)), "path", "grp")
-    return groups.mapInArrow(chunks, f"{FACTS}, scanned boolean")
+    groups = cut(files.mapInArrow(footers, f"path string, grp int, facts array<{fact}>, left_over array<string>, whole boolean"))
+    whole = {r.path for r in groups.where("whole").select("path").distinct().toLocalIterator()}
+    parts = []
+    if whole:
+        scan = df if len(whole) == len(paths) else spark.read.schema(df.schema).parquet(*sorted(whole))
+        parts.append(_scanned(scan, columns, load).withColumn("scanned", F.lit(True)))
+    if len(whole) < len(paths):
+        # a row group is a unit of work of its own, whatever file it lies in
+        rest = groups.where("not whole").drop("whole").repartition(max(1, min(8 * len(paths), 4 * cores)), "path", "grp")
+        parts.append(rest.mapInArrow(chunks, f"{FACTS}, scanned boolean"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _scanned(df: DataFrame, columns: dict[str, str], load: str) -> DataFrame:
