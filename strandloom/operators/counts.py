@@ -56,6 +56,16 @@ def value_counts_blocks(entries: DataFrame, fn: Callable, schema: str) -> DataFr
 Condition = list | tuple | Callable[[Column], Column] | None
 
 
+def per_record(df: DataFrame, scalars: list[str], lists: list[str]) -> DataFrame:
+    """Entries for counting fields of one value per variant against fields of several: a row per member of the lists, which
+    are of one length, with the scalars beside each; a variant whose lists are null or empty has no row.  Names are columns or
+    paths; dots become underscores."""
+    flat = lambda n: n.replace("/", "_").replace(".", "_")
+    path = lambda n: F.col(n.replace("/", "."))
+    zipped = F.explode(F.arrays_zip(*[path(n).alias(flat(n)) for n in lists])).alias("_x")
+    return df.select(*[path(n).alias(flat(n)) for n in scalars], zipped).select(*[flat(n) for n in scalars], "_x.*")
+
+
 #: Identifiers of a container.
 CONTAINER = 1 << 16
 

@@ -12,6 +12,7 @@ have takes the whole row of the lowest (file_idx, variant_idx); an empty source
 
 from __future__ import annotations
 
+import logging
 from functools import singledispatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from strandloom.functions.annotation import parse_key, plain_chr
 from strandloom.session import path_exists, rename
 
+log = logging.getLogger(__name__)
+
 KEY = ["chr", "position", "ref", "alt"]
 #: Positions to a bin of the range join.
 BIN = 16384
@@ -146,6 +149,18 @@ def variants_of(spark: SparkSession, path: str) -> DataFrame:
     return df.select("variant_idx", *KEY)
 
 
+def annotate_vcf(source: DataFrame, path: str, fields: list[str] | dict[str, str] | None = None, match: str = "range") -> DataFrame:
+    """The source's annotations for the variants of a variant call file.  match="range": all rows of the source that lie on the
+    reference bases of any of them, each once; match="allele": one row per variant, by its alleles, in order."""
+    if match == "allele":
+        return annotate(path, source, fields)
+    if match != "range":
+        raise ValueError(f"match is range or allele, not {match}")
+    given = variants_of(source.sparkSession, path)
+    r = given.select("chr", F.col("position").alias("start"), (F.col("position") + F.greatest(F.length("ref"), F.lit(1)) - 1).alias("end"))
+    return annotate_ranges(source, r.withColumn("range_set", F.lit(0)), fields).drop("range_set")
+
+
 def annotate_ranges(source: DataFrame, sets: list[DataFrame] | DataFrame, fields: list[str] | dict[str, str] | None = None) -> DataFrame:
     """(range_set, file_idx, variant_idx, chr, position, ref, alt, fields...): the rows of the source in each of several sets of
     closed ranges, once per set; file after file and place after place if sorted by the first three.
@@ -210,6 +225,7 @@ def write_annotated(path: str, source: DataFrame, fields, root: str = "", replac
     one of them whole under ``path`` or ``path`` with ``-old``.  Descriptions of the source's fields go with them.
     """
     spark = source.sparkSession
+    log.info("annotating %s", path)
     table = spark.read.parquet(path)
     got = add_annotations(table.drop(*drop), source, fields, root, replace)
     if out is not None:
@@ -223,4 +239,5 @@ def write_annotated(path: str, source: DataFrame, fields, root: str = "", replac
     rename(spark, path, old)
     rename(spark, new, path)
     rename(spark, old, None)
+    log.info("%s is annotated in its place", path)
     return path

@@ -171,7 +171,8 @@ def to_markdown(stat: AnnotStat, title: str) -> str:
             out += ["| | |", "|-|-|", *(f"| {e(k)} | {e(v)} |" for k, v in s["pairs"]), ""]
             continue
         rows, more = _shown(s)
-        out += ["| category | n | % |", "|-|-:|-:|", *(f"| {e(k)} | {n:,} | {p:.2f} |" for k, n, p in rows), ""]
+        most = max(n for _, n, _ in rows) or 1
+        out += ["| category | n | % | |", "|-|-:|-:|-|", *(f"| {e(k)} | {n:,} | {p:.2f} | {'█' * round(20 * n / most)} |" for k, n, p in rows), ""]
         if "matrix" in s:
             head, *lines = s["matrix"]
             out += ["| | " + " | ".join(head) + " |", "|-|" + "-:|" * 4, *("| " + " | ".join([r[0], *(f"{n:,}" for n in r[1:])]) + " |" for r in lines), ""]

@@ -161,6 +161,15 @@ def annot_vcf_file(spark, d):
     return _apart(lookup.annotate(out, _source(spark, d), {"cadd": "cadd_phred"}, ordered=False).drop("_row"), "cadd")
 
 
+@query(f"select distinct load_id as file_idx, v.variant_idx, regexp_replace(v.chr, '^chr', '') as chr, v.position, v.ref, v.alt, id from variants v join (select regexp_replace(chr, '^chr', '') as c, position as p, position + length(ref) - 1 as e from variants {_WHERE}) w on w.c = regexp_replace(v.chr, '^chr', '') and v.position between w.p and w.e")
+def annot_vcf_ranges(spark, d):
+    """All that lies on the reference bases of the variants of a file."""
+    ship(spark)
+    out = _folder(spark, "given") + ".vcf"
+    vcf.write(_plain(spark, d), out, {})
+    return lookup.annotate_vcf(_source(spark, d), out, [":id"])
+
+
 @query(f"select variant_idx as vid, row_number() over (order by case when variant_idx % 40 = 0 then 0 when variant_idx % 40 > 5 then 1 else 2 end, variant_idx) as variant_idx from variants {_WHERE}")
 def vcf_row_numbers(spark, d):
     """Three files of a folder, the largest one in the middle: rows are numbered in the order of the files."""
@@ -324,3 +333,117 @@ def report_sections(spark, d):
     got = report.collect(stats.counters(v, read(spark, d, "records")), "variants", ranges=stats.position_ranges(v))
     rows = [(s["title"], str(k), str(n)) for s in report.sections(got) for k, n in s.get("pairs", s.get("rows", [])) if k != "Generated"]
     return spark.createDataFrame(rows, "title string, category string, value string")
+
+
+# ---- tables and files
+
+
+@query("select case when load_id <= 3 then 0 when load_id <= 5 then 1 else 2 end as file_idx, chr, count(*) as n from variants where load_id is not null group by all")
+def open_files(spark, d):
+    """Three tables opened as one; the order of the list is the number of the file."""
+    out, v = _folder(spark, "open"), read(spark, d, "variants")
+    parts = [v.where(c) for c in ("load_id <= 3", "load_id > 3 and load_id <= 5", "load_id > 5")]
+    for i, p in enumerate(parts):
+        p.write.parquet(f"{out}/{i}")
+    return tables.open_tables(spark, [f"{out}/{i}" for i in range(3)]).groupBy("file_idx", "chr").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select unnest(['no list', 'given twice', 'not there', 'no variants', 'several chromosomes']) as input, true as rejected")
+def open_checks(spark, d):
+    """Inputs that are not opened."""
+    path = f"{d}/variants.parquet"
+    bad = {"no list": ([], False), "given twice": ([path, path], False), "not there": ([path + "-not"], False), "no variants": ([f"{d}/records.parquet"], False), "several chromosomes": ([path], True)}
+
+    def rejected(paths: list[str], one: bool) -> bool:
+        try:
+            tables.open_tables(spark, paths, one)
+        except (ValueError, FileNotFoundError):
+            return True
+        return False
+
+    return spark.createDataFrame([(k, rejected(*v)) for k, v in bad.items()], "input string, rejected boolean")
+
+
+@query("select unnest(['variant_idx', 'chr', 'position', 'ref', 'alt', 'allele', 'id', 'qual', 'filter', 'info']) as name, unnest(['bigint', 'string', 'int', 'string', 'string', 'string', 'string', 'float', 'string', 'struct<score:float>']) as type, 0::bigint as n_rows")
+def empty_skeleton(spark, d):
+    """A table without rows, written and read again."""
+    out = _folder(spark, "empty")
+    tables.write_table(tables.empty_table(spark, "score: float"), out, partition=False)
+    got = spark.read.parquet(out)
+    return spark.createDataFrame([(n, t, got.count()) for n, t in got.dtypes], "name string, type string, n_rows bigint")
+
+
+@query("select unnest(['zstd', 'gzip', 'snappy', 'none']) as codec, count(*) as n, sum(position)::bigint as positions from variants where chr is not null")
+def table_codecs(spark, d):
+    v, out = read(spark, d, "variants").where("chr is not null").select("variant_idx", "chr", "position"), _folder(spark, "codec")
+    parts = None
+    for c in tables.CODECS:
+        tables.write_table(v, f"{out}-{c}", c)
+        one = spark.read.schema(v.schema).parquet(f"{out}-{c}").agg(F.lit(c).alias("codec"), F.count(F.lit(1)).alias("n"), F.sum("position").alias("positions"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+@query("select unnest(['consequence', 'impact', 'gene', 'feature']) as slot, unnest(['Consequence', 'IMPACT', 'SYMBOL', 'Feature']) as field, 'CSQ' as root union all select unnest(['consequence', 'gene', 'errors']), unnest(['Annotation', 'Gene_Name', 'ERRORS-WARNINGS-INFO']), 'ANN'")
+def annotator_slots(spark, d):
+    """Which annotator's records a table holds, and where it keeps what."""
+    from strandloom.operators import catalog
+
+    names = lambda xs: ", ".join(f"`{x}`: string" for x in xs)
+    vep = spark.createDataFrame([], f"variant_idx bigint, CSQ struct<list: array<struct<{names(['Allele', 'Consequence', 'IMPACT', 'SYMBOL', 'Feature'])}>>>, ANN string")
+    snpeff = spark.createDataFrame([], f"variant_idx bigint, ANN array<struct<{names(['Allele', 'Annotation', 'Gene_Name', 'ERRORS-WARNINGS-INFO'])}>>")
+    rows = [(s, f, root) for root, slots in map(catalog.profile, (vep, snpeff)) for s, f in slots.items()]
+    return spark.createDataFrame(rows, "slot string, field string, root string")
+
+
+@query("select biotype, filter, count(*) as n from records join variants using (variant_idx) group by all")
+def value_counts_scalar_and_list(spark, d):
+    """A field with one value per variant against one with several."""
+    from strandloom.operators import counts
+
+    lists = read(spark, d, "records").groupBy("variant_idx").agg(F.collect_list(F.struct("biotype")).alias("rs"))
+    df = read(spark, d, "variants").join(lists, "variant_idx")
+    return counts.value_counts(counts.per_record(df, ["filter"], ["rs.biotype"]).withColumnRenamed("rs_biotype", "biotype"), {"biotype": F.col("biotype"), "filter": F.col("filter")})
+
+
+@query("select coalesce(gene, 'none') as gene, count(*) as n from records group by 1")
+def value_counts_blocks(spark, d):
+    """Counts by a function of blocks of rows."""
+    from strandloom.operators import counts
+
+    return counts.value_counts_blocks(read(spark, d, "records").select("gene"), lambda b: b.fillna("none").groupby("gene").size().reset_index(name="n"), "gene string, n long")
+
+
+@query("select unnest(['fileformat', 'reference', 'reference', 'missing']) as id, unnest(['VCFv4.2', 'first', 'first', '']) as value, unnest([1, 2, 3, 4]) as place")
+def header_lookup(spark, d):
+    """Meta lines by name: the first one counts."""
+    ship(spark)
+    out = _folder(spark, "head") + ".vcf"
+    vcf.write(_plain(spark, d), out, {}, meta=[("reference", "first"), ("reference", "second")])
+    head = vcf.read_header(spark, out)
+    return spark.createDataFrame([(k, head.get(k) or "", i) for i, k in enumerate(("fileformat", "reference", "reference", "missing"), 1)], "id string, value string, place int")
+
+
+@query("select format, title, true as present from (select unnest(['html', 'markdown', 'rmarkdown', 'json']) as format), (select unnest([" + ", ".join(repr(t) for t in ("General information", *[s[0] for s in report.SECTIONS], "Genes with most records")) + "]) as title)")
+def report_formats(spark, d):
+    """A report in every format, by the ending of its file: whether each section is in it."""
+    import tempfile
+
+    v = read(spark, d, "variants")
+    got = report.collect(stats.counters(v, read(spark, d, "records")), "variants", ranges=stats.position_ranges(v))
+    titles = ["General information", *[s[0] for s in report.SECTIONS], "Genes with most records"]
+    marks = {"html": "<h2>{}</h2>", "markdown": "## {}\n", "rmarkdown": "## {}\n", "json": '"title": "{}"'}
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:  # a report is a file of the driver's
+        for kind, ending in (("html", "htm"), ("markdown", "MD"), ("rmarkdown", "Rmd"), ("json", "json")):
+            with open(report.write_report(got, f"{folder}/a.{ending}")) as file:
+                text = file.read()
+            rows += [(kind, t, marks[kind].format(t) in text) for t in titles]
+    return spark.createDataFrame(rows, "format string, title string, present boolean")
+
+
+@query("select format('AnnotStat(variants: {:,} variants, {} counters)', count(*), 10) as shown from variants")
+def report_shown(spark, d):
+    """The line that stands for statistics, without the time."""
+    got = report.collect(stats.counters(variants=read(spark, d, "variants")), "variants")
+    return spark.createDataFrame([(repr(got).split(", created")[0] + ")",)], "shown string")

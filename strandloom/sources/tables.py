@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructField, StructType, TimestampType
 
+from strandloom.session import path_exists
+
 
 def open_tables(spark: SparkSession, paths: list[str] | str, one_chromosome: bool = False) -> DataFrame:
     """Annotation tables as one, ``file_idx`` from the order of the list; a path given twice is an error."""
@@ -16,16 +18,30 @@ def open_tables(spark: SparkSession, paths: list[str] | str, one_chromosome: boo
         raise ValueError("a table is given twice")
     out = None
     for i, p in enumerate(paths):
+        if not path_exists(spark, p):
+            raise FileNotFoundError(p)
         df = spark.read.parquet(p).withColumn("file_idx", F.lit(i))
+        if missing := {"chr", "position", "ref", "alt"} - set(df.columns):
+            raise ValueError(f"{p} is no table of variants: it lacks {sorted(missing)}")
         if one_chromosome and len(df.select("chr").distinct().limit(2).collect()) > 1:
             raise ValueError(f"more than one chromosome in {p}")
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
+#: Columns of a table of variants; annotations are leaves of ``info`` or structs beside it.
+VARIANTS = "variant_idx bigint, chr string, position int, ref string, alt string, allele string, id string, qual float, filter string"
+CODECS = ("zstd", "gzip", "snappy", "none")
+
+
+def empty_table(spark: SparkSession, info: str = "") -> DataFrame:
+    """A table of variants without rows; ``info`` lists the fields of its info struct, if any."""
+    return spark.createDataFrame([], VARIANTS + (f", info struct<{info}>" if info else ""))
+
+
 def write_table(df: DataFrame, path: str, compression: str = "zstd", partition: bool = True) -> None:
     """Parquet, partitioned by chromosome and sorted by position within files, so that extrema prune row groups."""
-    if compression not in ("zstd", "gzip", "snappy", "none"):
+    if compression not in CODECS:
         raise ValueError(f"unknown compression {compression}")
     if partition:
         # by range: a chromosome with a third of all rows is spread over many tasks

@@ -10,6 +10,7 @@ than eight fields has null for the missing ones; files without rows give no rows
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass, field
 
@@ -20,6 +21,8 @@ from pyspark.sql.window import Window
 from strandloom import dictionaries as D
 from strandloom.functions import annotation as A
 
+log = logging.getLogger(__name__)
+
 TYPES = {"Integer": "int", "Float": "float", "Flag": "boolean"}
 
 
@@ -112,6 +115,7 @@ def read(spark: SparkSession, path: str, keep: list[str] | None = None, raw: tup
     """(variant_idx, chr, position, id, ref, alt, allele, qual, filter, info): ``keep`` names fields of INFO (all), ``raw`` those left
     as text, ``drop`` those left out.  Missing values ('.') are null."""
     header = read_header(spark, path)
+    log.info("%s: %d header lines, %d fields of INFO", path, len(header.meta), len(header.infos))
     lines = numbered_files([spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))])
     # generators keep a line from being cut again for every one of its fields
     lines = lines.select("variant_idx", F.explode(F.array(F.split("value", "\t", 9))).alias("_p"))

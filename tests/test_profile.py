@@ -115,8 +115,7 @@ def test_files_of_which_nothing_is_settled_are_scanned(spark, tmp_path):
     table([(1, 15.0, 0.3)] * 20, tmp_path / "a.parquet", 20)
     table([(1, 15.0, 0.3), (2, 1.0, None), (2, float("nan"), 7.0)] * 5, tmp_path / "b.parquet", 20)
     df = spark.read.parquet(str(tmp_path))
-    plan = profile.chunk_counts(df, COLS, "load_id")._jdf.queryExecution().executedPlan().toString()
-    assert "b.parquet" in plan and "a.parquet" not in plan and "MapInArrow" in plan
+    assert [f.rsplit("/", 1)[1] for f in profile.chunk_counts(df, COLS, "load_id").inputFiles()] == ["b.parquet"]
     counts = {(r.load_id, r.name, str(r.value)): r.n for r in profile.value_counts(df, COLS, "load_id").collect()}
     assert counts == {(1, "x", "15.0"): 25, (1, "y", "0.3"): 25, (2, "x", "1.0"): 5, (2, "x", "nan"): 5, (2, "y", "None"): 5, (2, "y", "7.0"): 5}
 
