@@ -114,29 +114,29 @@ def union_schema(columns: DataFrame) -> DataFrame:
         F.max(_rank(F.col("type"))).alias("rank"),
         F.min(F.struct("delivered_at", "file_id", "ordinal", F.lower("name").alias("name"))).alias("first"),
         F.countDistinct("file_id").alias("n_files"),
+        F.min(_rank(F.col("type"))).alias("lowest"),
     )
     same = Window.partitionBy("first.name").orderBy("first", "identity")
     name = F.concat("first.name", F.when(F.row_number().over(same) > 1, F.concat(F.lit("_"), F.row_number().over(same).cast("string"))).otherwise(""))
-    return fold.select("identity", name.alias("column_name"), F.element_at(F.array(*map(F.lit, TYPES)), F.col("rank")).alias("type"), "n_files", "first")
+    return fold.select("identity", name.alias("column_name"), F.element_at(F.array(*map(F.lit, TYPES)), F.col("rank")).alias("type"), "n_files", "first", (F.col("lowest") == 1).alias("was_logical"))
 
 
-def _cast(value: Column, kind: str) -> Column:
-    v = F.when(~value.isin(*MISSING), value)
+def _cast(v: Column, kind: str, was_logical: bool) -> Column:
+    """A value that is not missing, in the type of its column; null where it does not fit."""
     if kind == "character":
         return v
     if kind == "logical":
         return F.when(v.isin("TRUE", "T", "YES", "1"), True).when(v.isin("FALSE", "F", "NO", "0"), False)
     # a logical that was promoted to a number counts as 1 or 0
-    n = F.when(v == "TRUE", "1").when(v == "FALSE", "0").otherwise(v)
-    d = n.try_cast("double")
-    return d if kind == "numeric" else n.try_cast("bigint")
+    n = F.when(v == "TRUE", "1").when(v == "FALSE", "0").otherwise(v) if was_logical else v
+    return n.try_cast("double" if kind == "numeric" else "bigint")
 
 
 def _places(columns: DataFrame, schema: DataFrame) -> tuple[DataFrame, list]:
     """(file_id, names, types, places) of each file, and the columns of the union schema in order: places[j] is where column j
     is in the file, from 1, or 0.  The schema is collected: its size is the number of distinct columns, checked against
     MAX_COLUMNS."""
-    cols = schema.orderBy("first", "identity").select("identity", "column_name", "type").limit(MAX_COLUMNS + 1).collect()
+    cols = schema.orderBy("first", "identity").select("identity", "column_name", "type", "was_logical").limit(MAX_COLUMNS + 1).collect()
     if len(cols) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} distinct columns: log them with change_log, or raise MAX_COLUMNS")
     spark = columns.sparkSession
@@ -149,10 +149,16 @@ def _places(columns: DataFrame, schema: DataFrame) -> tuple[DataFrame, list]:
 
 def _wide(rows: DataFrame, keep: list[str], cols: list) -> DataFrame:
     """``rows`` holds ``places`` and ``fields``; one typed column per column of the union schema."""
+    def cell(place: Column) -> Column:
+        value = F.get("fields", place - 1)
+        return F.when(~value.isin(*MISSING), value)
+
+    # the generator keeps the cells from being picked again for every use
+    rows = rows.select(*keep, F.explode(F.array(F.transform("places", cell))).alias("_cells"))
     out = [F.col(k) for k in keep]
     for j, c in enumerate(cols):
         name = c.column_name if c.column_name not in keep else f"{c.column_name}_"
-        out.append(_cast(F.get("fields", F.get("places", F.lit(j)) - 1), c.type).alias(name))
+        out.append(_cast(F.get("_cells", F.lit(j)), c.type, c.was_logical).alias(name))
     return rows.select(*out)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.annotation import parse_key, plain_chr
-from strandloom.session import path_exists, rename
+from strandloom.session import cut, path_exists, rename
 
 log = logging.getLogger(__name__)
 
@@ -96,6 +96,8 @@ def annotate_rows(keys: DataFrame, source: DataFrame, fields: list[str] | dict[s
     that was tried.
     """
     keys = keys.select("_row", plain_chr(F.col("chr")).alias("chr"), "position", "ref", "alt")
+    if keys._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() != "LocalRelation":
+        keys = cut(keys)  # they are read three times: for their bounds, to find hits, and to be joined
     on_chr, at, small = _look(keys)
     hits = _hits(source, keys, at, small)
     if fields is not None and not len(fields):
@@ -117,7 +119,7 @@ def annotate(variants, source: DataFrame, fields=None, **options) -> DataFrame:
 def _(variants: list, source: DataFrame, fields=None, **options) -> DataFrame:
     spark: SparkSession = source.sparkSession
     rows = spark.createDataFrame(list(enumerate(variants)), "_row bigint, key string")
-    return annotate_rows(rows.select("_row", F.explode(F.array(parse_key(F.col("key")))).alias("k")).select("_row", "k.*"), source, fields, **options).orderBy("_row")
+    return annotate_rows(rows.select("_row", parse_key(F.col("key")).alias("k")).select("_row", "k.*"), source, fields, **options).orderBy("_row")
 
 
 @annotate.register
