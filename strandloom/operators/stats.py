@@ -41,39 +41,50 @@ def _each(stat: str, values: Column) -> Column:
     return F.coalesce(F.transform(F.array_compact(values), lambda v: _pair(stat, v)), _none())
 
 
-def variant_pairs() -> Column:
+def _chosen(parts: dict[str, Column], only: set[str] | None) -> Column:
+    """The pairs of all counters, or of the named ones."""
+    got = [c for n, c in parts.items() if only is None or n in only]
+    return F.concat(*got) if got else _none()
+
+
+def variant_pairs(only: set[str] | None = None) -> Column:
+    """Pairs of a variant; ``only`` names the counters that are asked for."""
     c = F.col
     ref, alts = F.coalesce(c("ref"), F.lit("")), A.alts(c("alt"))
     classed = F.transform(alts, lambda a: F.struct(A.variant_class(ref, a).alias("k"), a.alias("a")))
     known = c("id").isNotNull() & ~c("id").isin("", ".")
     no_qual = c("qual").isNull() | F.isnan("qual")
-    return F.concat(
-        F.array(_pair("n_var", F.lit("n")), _pair("n_allele", F.size(alts) + 1), _pair("known", F.when(known, "known").otherwise("novel"))),
-        _when("chrom", c("chr").isNotNull(), c("chr")),
-        _each("var_class", F.transform(classed, lambda x: x["k"])),
-        _each("base_change", F.transform(F.filter(classed, lambda x: x["k"] == "SNV"), lambda x: F.concat(F.upper(ref), F.lit(">"), F.upper(x["a"])))),
-        _each("indel_len", F.transform(F.filter(classed, lambda x: x["k"].isin("insertion", "deletion")), lambda x: A.clip(F.length(x["a"]) - F.length(ref)))),
-        _when("qual_na", no_qual, F.lit("NA")),
-        _when("qual", ~no_qual, A.qual_bin(c("qual"))),
-        _when("filter", c("filter").isNotNull(), c("filter")),
-    )
-
-
-def record_pairs(of=F.col) -> Column:
-    """Pairs of a record; ``of`` gives the column of a slot."""
+    parts = {
+        "n_var": F.array(_pair("n_var", F.lit("n"))),
+        "n_allele": F.array(_pair("n_allele", F.size(alts) + 1)),
+        "known": F.array(_pair("known", F.when(known, "known").otherwise("novel"))),
+        "chrom": _when("chrom", c("chr").isNotNull(), c("chr")),
+        "var_class": _each("var_class", F.transform(classed, lambda x: x["k"])),
+        "base_change": _each("base_change", F.transform(F.filter(classed, lambda x: x["k"] == "SNV"), lambda x: F.concat(F.upper(ref), F.lit(">"), F.upper(x["a"])))),
+        "indel_len": _each("indel_len", F.transform(F.filter(classed, lambda x: x["k"].isin("insertion", "deletion")), lambda x: A.clip(F.length(x["a"]) - F.length(ref)))),
+        "qual_na": _when("qual_na", no_qual, F.lit("NA")),
+        "qual": _when("qual", ~no_qual, A.qual_bin(c("qual"))),
+        "filter": _when("filter", c("filter").isNotNull(), c("filter")),
+    }
+    return _chosen(parts, only)
+
+
+def record_pairs(of=F.col, only: set[str] | None = None) -> Column:
+    """Pairs of a record; ``of`` gives the column of a slot, ``only`` names the counters that are asked for."""
     c = of
     terms = A.so_terms(c("consequence"))
     full = lambda n: c(n).isNotNull() & (c(n) != "")
-    return F.concat(
-        F.array(_pair("n_annot", F.lit("n"))),
-        _each("cons_all", terms),
-        _each("region", F.transform(terms, A.so_region)),
-        _each("func_class", F.transform(terms, A.so_class)),
-        *[_when(n, full(n), c(n)) for n in RECORD_FIELDS],
-        *[_when(n, full(n), A.before_parenthesis(c(n))) for n in ("sift", "polyphen")],
-        F.when(full("errors"), _each("errors", F.split(c("errors"), "&"))).otherwise(_none()),
-        _when("gene_impact", full("gene"), F.concat(c("gene"), F.lit("\r"), F.coalesce(c("impact"), F.lit("")))),
-    )
+    parts = {
+        "n_annot": F.array(_pair("n_annot", F.lit("n"))),
+        "cons_all": _each("cons_all", terms),
+        "region": _each("region", F.transform(terms, A.so_region)),
+        "func_class": _each("func_class", F.transform(terms, A.so_class)),
+        **{n: _when(n, full(n), c(n)) for n in RECORD_FIELDS},
+        **{n: _when(n, full(n), A.before_parenthesis(c(n))) for n in ("sift", "polyphen")},
+        "errors": F.when(full("errors"), _each("errors", F.split(c("errors"), "&"))).otherwise(_none()),
+        "gene_impact": _when("gene_impact", full("gene"), F.concat(c("gene"), F.lit("\r"), F.coalesce(c("impact"), F.lit("")))),
+    }
+    return _chosen(parts, only)
 
 
 def _severe(rank: Column) -> Column:
@@ -86,14 +97,17 @@ def count_pairs(df: DataFrame, pairs: Column) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).groupBy("p.stat", "p.category").agg(F.count(F.lit(1)).alias("n")).select("stat", "category", "n")
 
 
-def counters(variants: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
-    """(stat, category, n) of all counters that the given tables allow."""
+def counters(variants: DataFrame | None = None, records: DataFrame | None = None, only: set[str] | None = None) -> DataFrame:
+    """(stat, category, n) of all counters that the given tables allow, or of those that ``only`` names."""
+    severe = only is None or not only.isdisjoint(("cons_severe", "impact_severe"))
     if records is None:
-        return count_pairs(variants, variant_pairs())
-    of_variant = F.array(_pair(VARIANT, F.col("variant_idx"), A.so_rank(F.col("consequence"))))
-    rows = records.select(F.explode(F.concat(record_pairs(), of_variant)).alias("p"))
+        return count_pairs(variants, variant_pairs(only))
+    if not severe and variants is None:
+        return count_pairs(records, record_pairs(only=only))
+    of_variant = F.array(_pair(VARIANT, F.col("variant_idx"), A.so_rank(F.col("consequence")))) if severe else _none()
+    rows = records.select(F.explode(F.concat(record_pairs(only=only), of_variant)).alias("p"))
     if variants is not None:
-        rows = rows.unionByName(variants.select(F.explode(variant_pairs()).alias("p")))
+        rows = rows.unionByName(variants.select(F.explode(variant_pairs(only)).alias("p")))
     once = rows.groupBy("p.stat", "p.category").agg(F.count(F.lit(1)).alias("n"), F.min("p.rank").alias("rank"))
     # variants become counts of their most severe term; counters pass as they are
     counted = F.struct("stat", "category", "n")

@@ -383,17 +383,14 @@ _COUNTERS = {
     "gene_impact": "select gene || chr(13) || coalesce(impact, '') as category, count(*) as n from records where gene <> '' group by 1",
 }
 _OF_VARIANTS = ("chrom", "n_allele", "var_class", "base_change", "indel_len", "known", "qual_na", "filter")
-_OF_SEVERITY = ("cons_severe", "impact_severe")
 
 
 def _counter(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         if name in _OF_VARIANTS:
-            got = stats.counters(variants=_variants(spark, d))
-        elif name in _OF_SEVERITY:
-            got = stats.counters(records=_records(spark, d))
+            got = stats.counters(variants=_variants(spark, d), only={name})
         else:
-            got = stats.count_pairs(_records(spark, d), stats.record_pairs())
+            got = stats.counters(records=_records(spark, d), only={name})
         return got.where(F.col("stat") == name).select("category", "n")
 
     run.__name__ = f"stat_{name}"
@@ -416,7 +413,7 @@ def stat_pos_range(spark, d):
 
 @query(f"with b as (select (unnest(generate_series(0, {len(A.qual_labels()) - 1})))::int as bin, unnest({A.qual_labels()}) as category), h as (select {_QUAL} as category, count(*) as n from variants where qual is not null and not isnan(qual) group by 1) select bin, category, coalesce(n, 0)::bigint as n from b left join h using (category)")
 def stat_qual_hist(spark, d):
-    return stats.histogram(stats.counters(variants=_variants(spark, d)))
+    return stats.histogram(stats.counters(variants=_variants(spark, d), only={"qual"}))
 
 
 @query("select 'n_var' as stat, 'n' as category, count(*) as n from variants having count(*) > 0 union all select 'qual', " + _QUAL + ", count(*) from variants where qual is not null and not isnan(qual) group by all" + "".join(f" union all select '{k}' as stat, category, n from ({s})" for k, s in _COUNTERS.items()))
@@ -460,12 +457,12 @@ def base_matrix(spark, d):
 
 @query(f"with {_AL}, s as (select upper(r) || upper(a) as c from al where {_CLASS} = 'SNV' and upper(r) in ('A', 'C', 'G', 'T') and upper(a) in ('A', 'C', 'G', 'T') and upper(r) <> upper(a)) select count(*) filter (c in ('AG', 'GA', 'CT', 'TC')) as n_ts, count(*) filter (c not in ('AG', 'GA', 'CT', 'TC')) as n_tv, round(n_ts / n_tv, 6) as ratio from s")
 def ts_tv(spark, d):
-    return stats.ts_tv(stats.counters(variants=_variants(spark, d)))
+    return stats.ts_tv(stats.counters(variants=_variants(spark, d), only={"base_change"}))
 
 
 @query(f"with {_TERMS}, {_SO} select count(*) filter (class = 'MISSENSE') as missense, count(*) filter (class = 'SILENT') as silent, round(missense / silent, 6) as ratio from tm join so using (term)")
 def missense_silent(spark, d):
-    return stats.missense_silent(stats.count_pairs(_records(spark, d), stats.record_pairs()))
+    return stats.missense_silent(stats.counters(records=_records(spark, d), only={"func_class"}))
 
 
 @query("select sum(s)::bigint as span, sum(k)::bigint as n_variant, round(sum(s) / sum(k), 6) as rate from (select max(position) - min(position) + 1 as s, count(*) as k from variants where chr is not null group by chr)")
@@ -475,7 +472,7 @@ def variant_rate(spark, d):
 
 @query("select count(distinct gene) filter (gene <> '') as n_genes, count(distinct feature) filter (feature <> '') as n_features from records")
 def n_genes_features(spark, d):
-    got = stats.count_pairs(_records(spark, d), stats.record_pairs())
+    got = stats.counters(records=_records(spark, d), only={"gene_impact", "feature"})
     gene = F.split_part("category", F.lit("\r"), F.lit(1))
     return got.where("stat in ('gene_impact', 'feature')").agg(F.countDistinct(F.when(F.col("stat") == "gene_impact", gene)).alias("n_genes"), F.count(F.when(F.col("stat") == "feature", 1)).alias("n_features"))
 
@@ -490,11 +487,11 @@ def chrom_order(spark, d):
 
 @query(f"with {_AL}, i as (select greatest(least(length(a) - length(r), 21), -21) as len, count(*) as n from al where {_CLASS} in ('insertion', 'deletion') group by 1) select len::int as len, n from i order by len")
 def indel_order(spark, d):
-    got = stats.counters(variants=_variants(spark, d)).where("stat = 'indel_len'")
+    got = stats.counters(variants=_variants(spark, d), only={"indel_len"})
     return got.select(F.col("category").cast("int").alias("len"), "n").orderBy("len")
 
 
 @query("with c as (select 'impact' as stat, impact as category, count(*) as n from records where impact <> '' group by all union all select 'biotype', biotype, count(*) from records where biotype <> '' group by all) select stat, category, n, round(n * 100 / sum(n) over (partition by stat), 2) as percent from c")
 def percent_of_total(spark, d):
-    got = stats.count_pairs(_records(spark, d), stats.record_pairs()).where("stat in ('impact', 'biotype')")
+    got = stats.counters(records=_records(spark, d), only={"impact", "biotype"})
     return stats.percent_of_total(got)

@@ -56,6 +56,15 @@ def vcf_roundtrip(spark, d):
     return got.select("chr", "position", "id", "ref", "alt", "filter", F.col("info.CADD").alias("cadd"), F.col("info.MIXED").alias("mixed"), F.col("info.VIDS").cast("bigint").alias("vid"))
 
 
+@query("select coalesce(nullif(chr, ''), '.') as chr, position, nullif(nullif(id, ''), '.') as id, coalesce(nullif(ref, ''), '.') as ref, coalesce(nullif(alt, ''), '.') as alt, nullif(nullif(filter, ''), '.') as filter, variant_idx as vid from variants")
+def vcf_all_rows(spark, d):
+    """Every variant, those that lack a key included."""
+    ship(spark)
+    out = _folder(spark, "vcf")
+    vcf.write(read(spark, d, "variants"), out, {"VIDS": (F.col("variant_idx").cast("string"), "1", "String", "number as text")})
+    return vcf.import_plain(spark, out).select("chr", "position", "id", "ref", "alt", "filter", F.col("info.VIDS").cast("bigint").alias("vid"))
+
+
 _SUB = ("Allele", "Consequence", "IMPACT", "SYMBOL", "DISTANCE", "AF")
 
 

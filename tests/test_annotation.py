@@ -306,3 +306,20 @@ def test_units_of_many_variants(spark):
     assert (r.n, r.chr, r.start, r.end) == (200_000, "1", 1, 200_000)
     u = counts.unit_groups(e, ["gene"]).first()
     assert u["index"] == list(range(1, 200_001)) and (u.start, u.end) == (1, 200_000)
+
+
+def test_lines_that_are_no_variants(spark, tmp_path):
+    path = str(tmp_path / "a.vcf")
+    lines = ["1\tx\t.\tA\tC\tq\t.\t.", "1\t5", "", "\t\t\t\t\t\t\t", "1\t5\trs\tA\tC\t1e400\tPASS\tAF=a,1;;=;DB=0;AF", "1\t99999999999\t.\tA\tC\t.\t.\tDB\tGT\t0/1"]
+    open(path, "w").write(HEAD + "\n".join(lines) + "\n")
+    got = vcf.import_plain(spark, path).orderBy("variant_idx").collect()
+    assert [(r.variant_idx, r.chr, r.position, r.ref) for r in got] == [(1, "1", None, "A"), (2, "1", 5, None), (3, "", None, ""), (4, "1", 5, "A"), (5, "1", None, "A")]
+    assert got[3].info.AF == [None, 1.0] and got[3].info.DB is True and got[4].info.DB is True and got[1].info.AF is None
+
+
+def test_counters_by_name(spark, variants):
+    r = spark.createDataFrame(RECORDS, R)
+    full = {(x.stat, x.category): x.n for x in stats.counters(variants, r).collect()}
+    for only in ({"known"}, {"cons_severe"}, {"feature", "qual"}, set()):
+        got = {(x.stat, x.category): x.n for x in stats.counters(variants, r, only).collect()}
+        assert {k: n for k, n in got.items() if k[0] in only} == {k: n for k, n in full.items() if k[0] in only}
