@@ -191,15 +191,8 @@ def vcf_row_numbers(spark, d):
     return vcf.import_plain(spark, out).select(F.substring("id", 2, 20).cast("bigint").alias("vid"), "variant_idx")
 
 
-@query(f"select variant_idx as vid, coalesce(info.variant_type, '') || ';x=1' as gene_detail, case when isfinite(info.cadd_phred) then info.cadd_phred end as cadd from variants {_WHERE} and regexp_full_match(coalesce(info.variant_type, ''), '[A-Za-z-]*')")
-def import_annovar(spark, d):
-    """Types spelt with letters and '-' only, as they stand; import_annovar_all has every variant."""
-    v = _plain(spark, d).where(F.coalesce("info.variant_type", F.lit("")).rlike("^[A-Za-z-]*$"))
-    return _annovar(spark, v, F.concat(F.coalesce("info.variant_type", F.lit("")), F.lit("\\x3bx\\x3d1")))
-
-
 @query("select variant_idx as vid, coalesce(info.variant_type, '') || ';x=1' as gene_detail, case when isfinite(info.cadd_phred) then info.cadd_phred end as cadd from variants")
-def import_annovar_all(spark, d):
+def import_annovar(spark, d):
     """Every variant, whatever its type holds: values are escaped for INFO and decoded by the importer."""
     return _annovar(spark, read(spark, d, "variants"), A.encode_hex(F.concat(F.coalesce("info.variant_type", F.lit("")), F.lit(";x=1"))))
 
@@ -270,11 +263,11 @@ def import_favor_tar(spark, d):
     return got.select("variant_idx", "chr", "position", "ref", "alt", "allele", "id", "filter", F.col("info.cadd_phred").alias("cadd"))
 
 
-@query("select variant_idx, chr, position, ref, alt from variants where chr is not null")
+@query("select variant_idx, chr, position, ref, alt from variants")
 def table_roundtrip(spark, d):
     """Written by chromosome, read again with a schema of its own (a chromosome is text, whatever the folder is called)."""
     out = _folder(spark, "table")
-    v = read(spark, d, "variants").where("chr is not null").select("variant_idx", "position", "ref", "alt", "chr")
+    v = read(spark, d, "variants").select("variant_idx", "position", "ref", "alt", "chr")
     tables.write_table(v, out, "gzip")
     return spark.read.schema(v.schema).parquet(out).select("variant_idx", "chr", "position", "ref", "alt")
 
@@ -282,19 +275,11 @@ def table_roundtrip(spark, d):
 _INFO = ("variant_type", "allele_type", "was_mixed", "cadd_phred", "linsight", "apc_conservation", "apc_epigenetics", "CSQ", "ANN")
 
 
-@query("select variant_idx, chr, position, ref, alt from variants where chr is not null and id <> ''")
-def tsv_roundtrip(spark, d):
-    out = _folder(spark, "tsv")
-    v = read(spark, d, "variants").where("chr is not null and id <> ''").select("variant_idx", "chr", "position", "ref", "alt")
-    tables.write_tsv(v, out, "gzip")
-    return spark.read.schema(v.schema).option("sep", "\t").option("header", True).csv(out)
-
-
 _SCORES = ("qual", "cadd_phred", "linsight", "apc_conservation", "apc_epigenetics")
 
 
 @query(_apart_sql("select * exclude (info), " + ", ".join(f"info.{c} as {c}" for c in _INFO) + " from variants", *_SCORES))
-def tsv_roundtrip_all(spark, d):
+def tsv_roundtrip(spark, d):
     """Every variant with every leaf column, written as flat text and read again."""
     out = _folder(spark, "tsv")
     v = read(spark, d, "variants")
@@ -385,9 +370,9 @@ def empty_skeleton(spark, d):
     return spark.createDataFrame([(n, t, got.count()) for n, t in got.dtypes], "name string, type string, n_rows bigint")
 
 
-@query("select unnest(['zstd', 'gzip', 'snappy', 'none']) as codec, count(*) as n, sum(position)::bigint as positions from variants where chr is not null")
+@query("select unnest(['zstd', 'gzip', 'snappy', 'none']) as codec, count(*) as n, sum(position)::bigint as positions from variants")
 def table_codecs(spark, d):
-    v, out = read(spark, d, "variants").where("chr is not null").select("variant_idx", "chr", "position"), _folder(spark, "codec")
+    v, out = read(spark, d, "variants").select("variant_idx", "chr", "position"), _folder(spark, "codec")
     parts = None
     for c in tables.CODECS:
         tables.write_table(v, f"{out}-{c}", c)

@@ -175,7 +175,7 @@ def test_first_records_of_all_variants(spark, tmp_path):
 
     rows = [(i, (text,)) for i, (text, _, _) in FIRST.items()]
     spark.createDataFrame(rows, "variant_idx long, info struct<CSQ:string>").write.parquet(str(tmp_path / "variants.parquet"))
-    got = {r.variant_idx: (r.allele, r.impact) for r in QUERIES["split_uniform_first_all"](spark, str(tmp_path)).collect()}
+    got = {r.variant_idx: (r.allele, r.impact) for r in QUERIES["split_uniform_first"](spark, str(tmp_path)).collect()}
     assert got == {i: (allele, impact) for i, (_, allele, impact) in FIRST.items()}
 
 
@@ -203,7 +203,7 @@ def test_import_of_all_types(spark, tmp_path):
     rows = [(i, None if i == 3 else "1", 7, "A", "C", "rs", 1.0, "PASS", (t, 0.5)) for i, t in enumerate(types)]
     schema = "variant_idx long, chr string, position int, ref string, alt string, id string, qual float, filter string, info struct<variant_type:string, cadd_phred:float>"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "variants.parquet"))
-    got = {r.vid: (r.gene_detail, r.cadd) for r in QUERIES["import_annovar_all"](spark, str(tmp_path)).collect()}
+    got = {r.vid: (r.gene_detail, r.cadd) for r in QUERIES["import_annovar"](spark, str(tmp_path)).collect()}
     assert got == {i: ((t or "") + ";x=1", 0.5) for i, t in enumerate(types)}
 
 
