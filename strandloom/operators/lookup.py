@@ -24,8 +24,8 @@ from strandloom.session import cut, path_exists, rename
 log = logging.getLogger(__name__)
 
 KEY = ["chr", "position", "ref", "alt"]
-#: Positions to a bin of the range join.
-BIN = 16384
+#: Positions to a bin of the range join, and bins to a cell of ranges that are at least as long as one.
+BIN, CELL = 16384, 64
 #: Bytes of distinct keys that may be sent to every task of the source.
 MOST_BYTES = 32 << 20
 #: Chromosomes of the keys up to which each has position bounds of its own; beyond, all share one pair of bounds.
@@ -178,29 +178,55 @@ def annotate_ranges(source: DataFrame, sets: list[DataFrame] | DataFrame, fields
             one = r if one is None else one.unionByName(r)
         if one is None:
             one = source.sparkSession.createDataFrame([], "range_set int, chr string, start int, end int")
-    r, on = _binned(one)
+    fine, cells = _binned(one)
     values = [c.alias(f"_v{i}") for i, c in enumerate(resolve(source, fields))]
     names = source.select(*resolve(source, fields)).columns
     rows = source.select("file_idx", "variant_idx", *KEY, *values)
-    got = rows.join(r, on(rows), "inner").dropDuplicates(["range_set", "file_idx", "variant_idx"])
+    cols = ["range_set", *rows.columns]
+    got = rows.join(fine, _in_bin(rows, fine)).select(*cols)
+    if cells is not None:
+        got = got.unionByName(rows.join(cells, _in_cell(rows, cells)).select(*cols))
+    got = got.dropDuplicates(["range_set", "file_idx", "variant_idx"])
     return got.select("range_set", "file_idx", "variant_idx", plain_chr(F.col("chr")).alias("chr"), *KEY[1:], *[F.col(f"_v{i}").alias(n) for i, n in enumerate(names)])
 
 
-def _binned(ranges: DataFrame, chr_: str | None = None):
-    """Ranges, a row for each bin they touch, and the condition under which a row of a source lies in one."""
+def _binned(ranges: DataFrame, chr_: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(fine, cells) of ranges: a row for each bin that a range or an end of it touches, and, if there are long ranges, one for
+    each cell that is wholly inside one.  A range of n positions makes some n / (BIN * CELL) + 2 * CELL rows at most."""
     extra = [c for c in ranges.columns if c not in ("chr", "start", "end")]
-    r = ranges.select(*extra, (F.lit(chr_) if chr_ else plain_chr(F.col("chr"))).alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e")).where("_s <= _e")
-    r = r.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / BIN), F.floor(F.col("_e") / BIN))))
-    return r, lambda df: (plain_chr(df["chr"]) == r["_c"]) & (F.floor(df["position"] / BIN) == r["_b"]) & df["position"].between(r["_s"], r["_e"])
+    r = ranges.select(*extra, (F.lit(chr_) if chr_ else plain_chr(F.col("chr"))).alias("_c"), F.col("start").cast("bigint").alias("_s"), F.col("end").cast("bigint").alias("_e")).where("_s <= _e")
+    size = BIN * CELL
+    long = F.col("_e") - F.col("_s") >= size
+    cells = None
+    if r.where(long).limit(1).count():
+        ends = r.where(long).withColumns({"_a": F.ceil(F.col("_s") / size), "_z": F.floor((F.col("_e") + 1) / size)})
+        cells = ends.where("_a < _z").select(*extra, "_c", F.explode(F.sequence(F.col("_a"), F.col("_z") - 1)).alias("_cell")).distinct()
+        pair = F.explode(F.array(F.struct(F.col("_s").alias("s"), (F.col("_a") * size - 1).alias("e")), F.struct((F.col("_z") * size).alias("s"), F.col("_e").alias("e")))).alias("_p")
+        ends = ends.select(*extra, "_c", pair).select(*extra, "_c", F.col("_p.s").alias("_s"), F.col("_p.e").alias("_e")).where("_s <= _e")
+        r = r.where(~long).unionByName(ends)
+    return r.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / BIN), F.floor(F.col("_e") / BIN)))), cells
+
+
+def _in_bin(df: DataFrame, fine: DataFrame) -> Column:
+    return (plain_chr(df["chr"]) == fine["_c"]) & (F.floor(df["position"] / BIN) == fine["_b"]) & df["position"].between(fine["_s"], fine["_e"])
+
+
+def _in_cell(df: DataFrame, cells: DataFrame) -> Column:
+    return (plain_chr(df["chr"]) == cells["_c"]) & (F.floor(df["position"] / (BIN * CELL)) == cells["_cell"])
 
 
 def in_ranges(source: DataFrame, ranges: DataFrame, chr_: str | None = None) -> DataFrame:
     """Rows of the source whose position lies in any closed range (chr, start, end), each once.
 
-    Equi-join on (chr, bin) with a residual; a range becomes one row for each bin that it touches, at 16384 positions a bin.
-    """
-    r, on = _binned(ranges.select("chr", "start", "end") if not chr_ else ranges.select("start", "end"), chr_)
-    return source.join(r, on(source), "left_semi")
+    Equi-join on (chr, bin) with a residual; of ranges longer than a cell only the ends are binned, the cells inside are
+    looked up as such.  Null and empty ranges hold nothing."""
+    fine, cells = _binned(ranges.select("chr", "start", "end") if not chr_ else ranges.select("start", "end"), chr_)
+    if cells is None:
+        return source.join(fine, _in_bin(source, fine), "left_semi")
+    # cells are distinct, so the join adds no rows
+    marked = source.join(cells.withColumn("_inside", F.lit(True)), _in_cell(source, cells), "left").select(*[source[c] for c in source.columns], "_inside")
+    rest = marked.where("_inside is null").drop("_inside")
+    return marked.where("_inside").drop("_inside").unionByName(rest.join(fine, _in_bin(rest, fine), "left_semi"))
 
 
 def by_index(source: DataFrame, index: DataFrame, column: str = "variant_idx") -> DataFrame:

@@ -323,3 +323,20 @@ def test_counters_by_name(spark, variants):
     for only in ({"known"}, {"cons_severe"}, {"feature", "qual"}, set()):
         got = {(x.stat, x.category): x.n for x in stats.counters(variants, r, only).collect()}
         assert {k: n for k, n in got.items() if k[0] in only} == {k: n for k, n in full.items() if k[0] in only}
+
+
+def test_long_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    size = lookup.BIN * lookup.CELL
+    edges = [0, 1, size - 1, size, size + 1, 2 * size, 3 * size - 1, 3 * size]
+    rows = [(i, rng.choice(["1", "chr1", "2", None]), rng.choice(edges) + rng.choice([-1, 0, 1, 7]) if rng.random() < 0.7 else rng.randrange(4 * size)) for i in range(800)] + [(900, "1", None)]
+    v = spark.createDataFrame(rows, "variant_idx long, chr string, position int").withColumns({"ref": F.lit("A"), "alt": F.lit("C"), "file_idx": F.lit(0)})
+    for n in range(3):
+        rs = [(rng.choice(["1", "2", "chr2"]), s, s + rng.choice([0, 5, size - 1, size, 2 * size, 3 * size + 3])) for s in (rng.choice(edges) + rng.choice([-1, 0, 1]) for _ in range(3))] + [(None, 1, 9), ("1", 5, None)]
+        r = spark.createDataFrame(rs, "chr string, start int, end int")
+        inside = lambda c, p: c is not None and p is not None and any(a and e is not None and a.removeprefix("chr") == c.removeprefix("chr") and b <= p <= e for a, b, e in rs)
+        want = sorted(i for i, c, p in rows if inside(c, p))
+        assert sorted(x.variant_idx for x in lookup.in_ranges(v, r).collect()) == want
+        assert sorted(x.variant_idx for x in lookup.annotate_ranges(v, [r.limit(0), r], [":position"]).collect()) == want
