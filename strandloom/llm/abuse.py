@@ -385,10 +385,11 @@ def _backward(w: dict, cache, index: np.ndarray, length: np.ndarray, dlogit: np.
     return g, dp[:-1]
 
 
-def train(texts: list[str], share: np.ndarray, seed: int = 1, rounds: int = 24, rate: float = 4e-3, log=None, start=None) -> dict[str, np.ndarray]:
+def train(texts: list[str], share: np.ndarray, seed: int = 1, rounds: int = 24, rate: float = 4e-3, log=None, start=None, trust: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Weights fitted to texts with the share of raters that found them abusive (0..1).
 
-    At most MOST_LABELLED texts are used; every text is used whole.  start: weights to go on from.
+    At most MOST_LABELLED texts are used; every text is used whole.  start: weights to go on from.  trust: how much
+    each text counts (1 by default).
     """
     texts, share = list(texts[:MOST_LABELLED]), np.asarray(share[:MOST_LABELLED], "f4")
     rng = np.random.default_rng(seed)
@@ -400,7 +401,8 @@ def train(texts: list[str], share: np.ndarray, seed: int = 1, rounds: int = 24,
     gram_word = np.repeat(np.arange(len(ids)), n_grams)
     m1 = {k: np.zeros_like(v) for k, v in w.items()}
     m2 = {k: np.zeros_like(v) for k, v in w.items()}
-    step, weight = 0, np.ones(len(texts), "f4")
+    step, trust = 0, np.ones(len(texts), "f4") if trust is None else np.asarray(trust[:MOST_LABELLED], "f4")
+    weight = trust
     for r in range(rounds):
         p = _project(w, embed(w, ids, grams))
         every = window_logits(w, p, word, begin, count, place)
@@ -414,7 +416,7 @@ def train(texts: list[str], share: np.ndarray, seed: int = 1, rounds: int = 24,
         np.maximum.at(top, of, logit)
         if r >= rounds // 2:  # votes far from the model are taken for raters' errors
             prob = 1 / (1 + np.exp(-top))
-            weight = np.where(np.abs(prob - share) > 0.8, 0.0, 1.0).astype("f4")
+            weight = np.where(np.abs(prob - share) > 0.8, 0.0, trust).astype("f4")
         noisy = logit + rng.normal(0, 1.0 if r < 3 else 0.1, len(logit))
         order = np.lexsort((-noisy, of))
         rank = np.arange(len(order)) - np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))[:-1]])[of[order]]
