@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import annotation as A
 from strandloom.operators import lookup, report, stats
-from strandloom.plans.annotation import _COUNTERS, _FIRST, _QUAL, _apart, _apart_sql, _source
+from strandloom.plans.annotation import _COUNTERS, _FIRST, _OF_VARIANTS, _QUAL, _apart, _apart_sql, _source
 from strandloom.session import checkpoint_dir, read, ship
 from strandloom.sources import favor, tables, vcf
 from strandloom.sources.footers import file_system
@@ -444,3 +444,13 @@ def report_shown(spark, d):
     """The line that stands for statistics, without the time."""
     got = report.collect(stats.counters(variants=read(spark, d, "variants")), "variants")
     return spark.createDataFrame([(repr(got).split(", created")[0] + ")",)], "shown string")
+
+
+@query("select 'n_var' as stat, 'n' as category, count(*) as n from variants union all select 'qual', category, n from (" + _REPORTED["qual"] + ")" + "".join(f" union all select '{k}', category, n from ({_COUNTERS[k]})" for k in _OF_VARIANTS) + f" union all select 'span', 'n', span::bigint from ({_SPAN})")
+def stat_merge_whole(spark, d):
+    """Statistics of two halves of the loads, each collected by itself, merged with their ranges."""
+    v = read(spark, d, "variants")
+    half = F.coalesce(F.col("load_id"), F.lit(0)) <= 3
+    a, b = (report.collect(stats.counters(variants=p), n, ranges=stats.position_ranges(p)) for n, p in (("a", v.where(half)), ("b", v.where(~half))))
+    got = a.merge(b)
+    return spark.createDataFrame([(s, k, n) for s, c in got.counts.items() for k, n in c.items()] + [("span", "n", got.span)], "stat string, category string, n bigint")

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.dictionaries import FAVOR_TYPES
+from strandloom.dictionaries import FAVOR_TYPES, about
 from strandloom.functions import annotation as A
 from strandloom.operators.rejects import KEYS
 from strandloom.session import cut, ship
@@ -22,7 +22,7 @@ def _finish(df: DataFrame, types: dict[str, str], id_column: str | None, filter_
 
     def cast(n: str):
         k, c = kinds[types.get(n, "character")], F.when(~F.col(f"`{n}`").isin("", "NA", "."), F.col(f"`{n}`"))
-        return (A.logical(c) if k == "boolean" else A.typed(c, k)).alias(n)
+        return (A.logical(c) if k == "boolean" else A.typed(c, k)).alias(n, metadata={"comment": about(n)})
 
     fields = [cast(n) for n in df.columns if n not in (*KEYS, "vid", "variant_idx")]
     info = F.struct(*fields)
