@@ -85,7 +85,7 @@ def _hits(source: DataFrame, keys: DataFrame, at: Column | None, small: bool) ->
     if not small:
         return rows
     wanted = F.broadcast(keys.select(*[F.col(k).alias(f"_{k}") for k in KEY]).dropna().distinct())  # of a checked size
-    on = (plain_chr(rows["chr"]) == F.col("_chr")) & (rows["position"] == F.col("_position")) & (rows["ref"] == F.col("_ref")) & (rows["alt"] == F.col("_alt"))
+    on = (plain_chr(rows["chr"]) == wanted["_chr"]) & (rows["position"] == wanted["_position"]) & (rows["ref"] == wanted["_ref"]) & (rows["alt"] == wanted["_alt"])
     return rows.join(wanted, on, "left_semi")
 
 
@@ -232,7 +232,7 @@ def in_ranges(source: DataFrame, ranges: DataFrame, chr_: str | None = None) ->
 def by_index(source: DataFrame, index: DataFrame, column: str = "variant_idx") -> DataFrame:
     """Rows of the source whose variant_idx is in a column of ``index``, each once; null indices select nothing."""
     wanted = index.select(F.col(column).alias("_i")).distinct()
-    return source.join(wanted, source["variant_idx"] == F.col("_i"), "left_semi")
+    return source.join(wanted, source["variant_idx"] == wanted["_i"], "left_semi")
 
 
 def add_annotations(variants: DataFrame, source: DataFrame, fields, root: str = "", replace: bool = False) -> DataFrame:

@@ -340,3 +340,21 @@ def test_long_ranges(spark):
         want = sorted(i for i, c, p in rows if inside(c, p))
         assert sorted(x.variant_idx for x in lookup.in_ranges(v, r).collect()) == want
         assert sorted(x.variant_idx for x in lookup.annotate_ranges(v, [r.limit(0), r], [":position"]).collect()) == want
+
+
+def test_clashing_names_nulls_and_empty_tables(spark, variants):
+    clash = variants.withColumns({n: F.lit("x") for n in ("_chr", "_row", "_i", "_at", "_v", "key", "k", "_position")})
+    keys = ["1-100-A-C", "2-50-G-GTT,A", "1-100-A-C"]
+    assert [r.s for r in lookup.annotate(keys, clash, {"s": ":id"}).collect()] == ["rs1", "", "rs1"]
+    assert [r.s for r in lookup.annotate(keys, clash.limit(0), {"s": ":id"}).collect()] == [None] * 3
+    df = spark.createDataFrame([(None, 100, "A", "C", "a"), ("1", None, "A", "C", "b"), ("1", 100, None, "C", "c"), ("1", 100, "A", "", "d"), ("chr1", 100, "A", "C", "e")], "chr string, pos int, ref string, alt string, id string")
+    assert [r.id for r in lookup.annotate(df, clash, [":id"]).collect()] == [None, None, None, None, "rs1"]
+    assert lookup.annotate(df.limit(0), clash, [":id"]).count() == 0
+    index = spark.createDataFrame([(2, "z"), (5, "z")], "i long, variant_idx string")
+    assert sorted(r.variant_idx for r in lookup.by_index(clash, index, "i").collect()) == [2, 5]
+    r = spark.createDataFrame([("1", 1, 200, 9)], "chr string, start int, end int, position int")
+    assert sorted(x.variant_idx for x in lookup.in_ranges(clash.withColumn("_c", F.lit("2")), r).collect()) == [1, 2]
+    e = clash.withColumns({"container": F.lit(1), "index": F.lit(2), "first": F.lit(3), "gene": F.when(F.col("variant_idx") < 3, "G")})
+    assert [tuple(x) for x in counts.unit_groups(e, ["gene"]).select("gene", "index", "start").collect()] == [("G", [1, 2], 100)]
+    assert counts.unit_groups(e.limit(0), ["gene"], ordered=True).count() == 0 and counts.unit_members(e, ["container"]).count() == 1
+    assert stats.annotated_counters(variants.limit(0)).count() == 0
