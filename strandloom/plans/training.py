@@ -92,20 +92,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _by_load(spark: SparkSession, d: str) -> DataFrame:
-    """The scores of all loads, one of them not delivered and one rounded, in a table with files of few loads each."""
+    """The scores of all loads, one of them not delivered and one the same within a load, in a table with files of one load each."""
     ship(spark)
     out = f"{checkpoint_dir(spark)}/by-load-{uuid.uuid4().hex}"
-    info = F.struct(F.col("info.cadd_phred").alias("cadd_phred"), F.lit(None).cast("float").alias("linsight"), (F.col("load_id") / 1).cast("float").alias("apc_conservation"))
-    read(spark, d, "variants").where("load_id is not null").select("load_id", info.alias("info")).repartitionByRange(64, "load_id").write.parquet(out)
+    info = F.struct(F.col("info.cadd_phred").alias("cadd_phred"), F.lit(None).cast("float").alias("linsight"), F.col("load_id").cast("float").alias("apc_conservation"))
+    rows = read(spark, d, "variants").where("load_id is not null").select("load_id", info.alias("info"), F.col("load_id").alias("part"))
+    rows.repartitionByRange(64, "load_id").write.partitionBy("part").parquet(out)
     return spark.read.parquet(out)
 
 
 def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Where the counts of such a table come from: the columns whose statistics settle chunks of a load."""
-    got = profile.chunk_counts(_by_load(spark, d), PROFILED, "load_id")
-    one = got.groupBy("load_id", "name").agg(F.max(F.when(F.col("scanned"), 1).otherwise(0)).alias("scanned"), F.sum("n").alias("n"))
-    # a load that shares a row group with another one is scanned; all others only where their values differ
-    return one.groupBy(F.col("name").alias("column_name")).agg(F.sum("n").alias("n_rows"), (F.sum("scanned") < F.count(F.lit(1))).alias("some_not_scanned"))
+    """Where the counts of such a table come from: the columns that are the same within a load are hardly read.  (Chunks of one or
+    two rows have no dictionary, so those are.)"""
+    got = profile.chunk_counts(_by_load(spark, d), PROFILED, "load_id").where("name <> 'cadd_phred'")
+    scanned = F.sum(F.when(F.col("scanned"), F.col("n")).otherwise(0))
+    return got.groupBy(F.col("name").alias("column_name")).agg(F.sum("n").alias("n_rows"), (scanned * 10 < F.sum("n")).alias("settled"))
 
 
 def p4_by_load(spark: SparkSession, d: str) -> DataFrame:
@@ -265,7 +266,7 @@ select load_id, column_name, issue from (select *, unnest([case when nulls / n >
 _DISTRIBUTION, _FOUND = SQL["p4_distribution"], SQL["p4_found"]
 _BY_LOAD = "select load_id, unnest(['cadd_phred', 'linsight', 'apc_conservation']) as column_name, unnest([info.cadd_phred, null, load_id::float])::double as v from variants where load_id is not null"
 SQL |= {
-    "p4_chunks": "select unnest(['cadd_phred', 'linsight', 'apc_conservation']) as column_name, count(*) as n_rows, unnest([false, true, true]) as some_not_scanned from variants where load_id is not null",
+    "p4_chunks": "select unnest(['linsight', 'apc_conservation']) as column_name, count(*) as n_rows, true as settled from variants where load_id is not null",
     "p4_by_load": _FOUND.replace(_VALUES, _BY_LOAD),
     "p4_changes": f"""with prof as ({_DISTRIBUTION}), s as (select load_id, column_name, n_null / n_rows as null_share, median, q75 - q25 as spread,
   case when n_rows - n_null - n_nan - n_infinite > 0 then n_distinct / (n_rows - n_null - n_nan - n_infinite) end as distinct_share from prof where load_id is not null)
