@@ -155,7 +155,7 @@ def annot_order(spark, d):
     """Annotations come in the order of the keys: the place of each row among those that come."""
     v = _variants(spark, d).where("chr is not null").withColumnRenamed("position", "pos")
     got = lookup.annotate(v.repartition(7, "ref"), _source(spark, d), [], row="variant_idx")
-    return vcf.numbered(got, "place").select("place", "_row", "variant_idx")
+    return vcf.numbered(got.select("_row", "variant_idx"), "place").select("place", "_row", "variant_idx")
 
 
 @query(f"with {_FIRST} " + _apart_sql("select v.variant_idx as _row, f.info.cadd_phred as cadd_phred from variants v left join first f on c = regexp_replace(v.chr, '^chr', '') and p = v.position and r = v.ref and a = v.alt", "cadd_phred"))

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from strandloom import dictionaries as D
 from strandloom.functions import annotation as A
+from strandloom.session import cut
 
 log = logging.getLogger(__name__)
 
@@ -72,8 +73,11 @@ def read_header(spark: SparkSession, path: str) -> Header:
 
 
 def numbered(df: DataFrame, name: str = "variant_idx") -> DataFrame:
-    """Consecutive numbers from 1 in the order of the partitions, such as those of a sorted table, from their counts."""
-    return _numbered(df.withColumn("_at", F.spark_partition_id()), ["_at"], name)
+    """Consecutive numbers from 1 in the order of the partitions, such as those of a sorted table, from their counts.
+
+    The table is made once and stored, then counted and numbered: one made twice is cut anew, as a sort draws its bounds from
+    what comes first and adaptive execution merges partitions by their bytes, which are fewer where only rows are counted."""
+    return _numbered(cut(df).withColumn("_at", F.spark_partition_id()), ["_at"], name)
 
 
 def numbered_files(parts: list[DataFrame], name: str = "variant_idx") -> DataFrame:

@@ -163,6 +163,14 @@ def test_row_numbers(spark, tmp_path):
     assert vcf.numbered(df.where("false"), "n").count() == 0
 
 
+def test_row_numbers_of_a_sorted_table(spark):
+    # wide rows: adaptive execution merges the partitions when rows are only counted, and not when they are read whole
+    text = F.concat_ws("", *[F.sha2(F.concat_ws("-", F.col("id"), F.lit(i)), 512) for i in range(8)])
+    df = spark.range(20_000, numPartitions=4).select(((F.col("id") * 7919 + 5) % 20_000).alias("v"), text.alias("text")).orderBy("v")
+    got = vcf.numbered(df, "n").select("v", "n", F.length("text").alias("k")).collect()
+    assert len(got) == 20_000 and all(r.n == r.v + 1 and r.k == 1024 for r in got)
+
+
 FIRST = {
     1: ("T|intron|LOW|G1,A|x|HIGH|G2", "T", "LOW"), 2: ('"T|a,b|LOW|G1",A|x|HIGH|G2', "T", "LOW"), 3: ("A|x|HIGH|G;T|y|LOW|G", "A", "HIGH"), 4: ("A|x|HIGH|G\tT|y|LOW|G", "A", "HIGH"),
     5: ("A|x|HIGH|G\nT|y|LOW|G", "A", "HIGH"), 6: ('  T|"a;b"|LOW|G|more , A|x|HIGH|G', "T", "LOW"), 7: (None, None, None), 8: ("", None, None), 9: (" . ", None, None), 10: (",;,", None, None),
